@@ -21,6 +21,7 @@ has rate 0. Copies of a null doc_id hash from an empty string.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from beatlake.llm.common import require
@@ -58,11 +59,10 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float, target: floa
     names = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)) if weights else F.create_map().cast("map<string,double>")
     total = float(sum(weights.values()) + other)
     mass = docs.groupBy(mix_source(weights).alias("mix_source")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("mass"))
-    whole = mass.agg(F.sum("mass").alias("whole"))
     share = F.coalesce(F.element_at(names, F.col("mix_source")), F.lit(float(other))) / total
-    rate = F.when(F.col("mass") > 0, F.least(share * float(target) * F.col("whole") / F.col("mass"), F.lit(MAX_RATE))).otherwise(0.0)
-    # `whole` is a single row
-    return mass.join(F.broadcast(whole)).select("mix_source", "mass", rate.alias("rate"))
+    rate = F.when(F.col("mass") > 0, F.least(share * float(target) * F.sum("mass").over(W.partitionBy(F.lit(0))) / F.col("mass"), F.lit(MAX_RATE))).otherwise(0.0)
+    # the window is over these few rows
+    return mass.select("mix_source", "mass", rate.alias("rate"))
 
 
 def mix_source(weights: dict[str, float]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatlake.llm import mixing, oracle, packing, secrets, simhash, toxicity
+from beatlake.llm import ann, chat, langid, mixing, oracle, outliers, packing, secrets, simhash, site_quality, toxicity
 from beatlake.llm.common import table
 
 
@@ -20,16 +20,43 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain, ["doc_id"])
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(spark, docs))
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the documents' sources; their paths are a source's sections by language."""
+    docs = table(spark, sf_dir, "documents")
+    return site_quality.classify(spark, docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(i).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))))).alias("r")).select("r.*")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_conversations(turns))
+
+
+def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = outliers.verdicts(spark, outliers.statistics(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", *outliers.COUNTS, "base_failed", "kept", F.round("distance", 6).alias("distance"))
+
+
 def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(spark, table(spark, sf_dir, "documents"))
     number = secrets.KINDS.index
