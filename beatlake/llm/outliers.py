@@ -157,12 +157,8 @@ def estimates(sums: DataFrame, factor: float) -> DataFrame:
                 d = len(least)
                 m = np.array(s) / n
                 cov = (np.array(ss).reshape(d, d) / n - np.outer(m, m)) * factor
-                sd = np.sqrt(np.clip(np.diag(cov), 0, None))
-                raised = np.maximum(sd, least)
-                cor = cov / np.outer(np.maximum(sd, 1e-9), np.maximum(sd, 1e-9))
-                np.fill_diagonal(cor, 1.0)
-                cor = 0.95 * cor + 0.05 * np.eye(d)  # kept away from singular
-                w = np.linalg.cholesky(np.linalg.inv(cor * np.outer(raised, raised))).T
+                cov += np.diag(np.clip(least**2 - np.diag(cov), 1e-6, None))
+                w = np.linalg.cholesky(np.linalg.inv(cov)).T
                 out.append((g, m.tolist(), w.ravel().tolist()))
             yield pd.DataFrame(out, columns=["g", "m", "w"])
 
