@@ -42,7 +42,7 @@ SPLIT = re.compile(rb"[\x20\x09-\x0d]+")
 
 SHARE, STEPS, MIN_GROUP = 0.75, 4, 200
 #: Statistics, with the least standard deviation of each.
-VECTOR = {"log_words": 1.5, "word_length": 0.8, "symbols": 0.25, "lines": 0.25, "repeats": 0.25}
+VECTOR = {"log_words": 1.5, "word_length": 0.8, "symbols": 0.25, "lines": 0.4, "repeats": 0.5}
 # Chi-square quantiles at 5 degrees of freedom for 0.975 and 0.99999, and the median's consistency at 0.75.
 INNER, CUT = 12.833, 30.856
 CONSISTENCY = 0.75 / 0.5163
