@@ -44,6 +44,8 @@ MAX_FEATURES = 2_000
 FOLDS = 4
 #: Least log-likelihood ratio of a feature (half the G statistic), and least count of documents.
 MIN_GAIN, MIN_DOCS = 10.0, 3
+#: Least share of positive documents among a feature's, in terms of the share among all: features that only go with a language or with length are left out.
+MIN_LIFT = 2.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.5
 
@@ -162,12 +164,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: int
 
 
 def gain(k: Column, d: Column, positive: int, n: int) -> Column:
-    """Log-likelihood ratio of a word's k positive among d documents against the share of all; 0 if the word is no more frequent there."""
+    """Log-likelihood ratio of a word's k positive among d documents against the share of all; 0 if its share is no `MIN_LIFT` times as large."""
     share = positive / n if n else 0.0
     if not 0 < share < 1:
         return F.lit(0.0)
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    return F.when(k / d > share, part(k, d * share) + part(d - k, d * (1 - share))).otherwise(0.0)
+    return F.when(k / d >= MIN_LIFT * share if MIN_LIFT * share < 1 else k == d, part(k, d * share) + part(d - k, d * (1 - share))).otherwise(0.0)
 
 
 def score(docs: DataFrame, chain: Chain, columns: list[str], threshold: float = THRESHOLD) -> DataFrame:
