@@ -43,7 +43,7 @@ def value_counts(df: DataFrame, *cols: str) -> DataFrame:
 
 def crosstab(df: DataFrame, a: str, b: str, values: list) -> DataFrame:
     """Counts of b's values by a, 0 where none."""
-    x = df.groupBy(a).pivot(b, values).agg(F.count("*"))
+    x = df.groupBy(a).pivot(b, values).agg(F.count(F.lit(1)))
     return x.select(a, *(F.coalesce(F.col(str(v).lower() if isinstance(v, bool) else str(v)), F.lit(0)).alias(f"n_{str(v).lower()}") for v in values))
 
 
@@ -137,7 +137,7 @@ def rank_of(col: str, order: list[str]) -> Column:
 
 def confusion(df: DataFrame, truth: str, pred: str, classes: list) -> DataFrame:
     """Counts of predictions by true class, each class a row and a column."""
-    x = df.groupBy(truth).pivot(pred, classes).agg(F.count("*"))
+    x = df.groupBy(truth).pivot(pred, classes).agg(F.count(F.lit(1)))
     spine = df.sparkSession.range(1).select(F.explode(F.array(*(F.lit(c) for c in classes))).alias(truth))
     return spine.join(x, truth, "left").na.fill(0)
 
