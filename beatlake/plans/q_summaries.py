@@ -14,12 +14,12 @@ PIVOT = ", ".join(f"round(avg(value) FILTER (WHERE event_type = '{t}'), 8) AS {t
 
 
 @query("patient_summary", """WITH r AS (SELECT o_custkey AS patient_id, count(DISTINCT o_orderkey) AS n_recordings, sum(o_totalprice) / 3600 AS hours FROM orders GROUP BY 1), e AS (SELECT o_custkey AS patient_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT patient_id, n_recordings, round(hours, 6) AS hours, coalesce(n, 0) AS n_events, round(hours / nullif(n, 0), 6) AS hours_per_event FROM r LEFT JOIN e USING (patient_id)""")
+SELECT patient_id, n_recordings, round(hours, 6) AS hours, coalesce(n, 0) AS n_events, round(hours / nullif(n, 0), 9) AS hours_per_event FROM r LEFT JOIN e USING (patient_id)""")
 def patient_summary(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     r = o.select(F.col("o_custkey").alias("patient_id"), "o_orderkey", "o_totalprice")
     e = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("patient_id"))
-    return rounded(U.patient_summary(r, e, "patient_id", "o_orderkey", "o_totalprice"), "hours", "hours_per_event")
+    return rounded(U.patient_summary(r, e, "patient_id", "o_orderkey", "o_totalprice").withColumn("hours_per_event", F.round("hours_per_event", 9)), "hours")
 
 
 @query("dataset_overview", """WITH a AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT o_custkey)::DOUBLE AS p, round(sum(o_totalprice), 2) AS s, round(median(o_totalprice), 3) AS m, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 3) AS q FROM orders)
