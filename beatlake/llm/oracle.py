@@ -1 +1,50 @@
-ORACLES: dict[str, str] = {}
+"""SQL of the queries that SQL can express, for DuckDB on the same tables."""
+
+from __future__ import annotations
+
+from beatlake.llm import mixing, secrets
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def op1() -> str:
+    weights = ", ".join(f"({quoted(s)}, {w!r}::DOUBLE)" for s, w in mixing.WEIGHTS.items())
+    names = ", ".join(map(quoted, mixing.WEIGHTS))
+    total = float(sum(mixing.WEIGHTS.values()) + mixing.OTHER)
+    seed = quoted(mixing.SEED + ":")
+    return f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN source IN ({names}) THEN source END AS ms FROM documents),
+m AS (SELECT ms, sum(length(coalesce(text, '')))::DOUBLE AS mass FROM d GROUP BY 1),
+r AS (SELECT ms, CASE WHEN mass > 0 THEN least(coalesce(v.w, {mixing.OTHER!r}::DOUBLE) / {total!r}::DOUBLE * {mixing.TARGET!r}::DOUBLE * (SELECT sum(mass) FROM m) / mass, {mixing.MAX_RATE!r}::DOUBLE) ELSE 0.0 END AS rate FROM m LEFT JOIN (VALUES {weights}) v(s, w) ON v.s = ms),
+c AS (SELECT ms, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM r UNION ALL SELECT ms, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM c WHERE k + 1 <= ceil(rate + 10 * sqrt(rate)) + 20),
+u AS (SELECT d.*, ('0x' || substr(md5({seed} || coalesce(doc_id::VARCHAR, '')), 1, {mixing.DIGITS}))::UBIGINT / {float(16**mixing.DIGITS)!r}::DOUBLE AS u FROM d),
+n AS (SELECT u.doc_id, u.source, u.text, r.rate, (SELECT count(*) FROM c WHERE c.ms IS NOT DISTINCT FROM u.ms AND c.cdf <= u.u) AS copies FROM u JOIN r ON r.ms IS NOT DISTINCT FROM u.ms)
+SELECT doc_id, source, copies, copy_no, round(rate, 6) AS rate, md5({seed} || coalesce(doc_id::VARCHAR, '') || ':' || copy_no) AS mix_key, text FROM (SELECT *, unnest(range(copies)) AS copy_no FROM n)"""
+
+
+def op8() -> str:
+    said = quoted("\\### Assistant: </turn> ok")
+    escaped = r"replace(replace(replace(replace(t, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>'), '<|', '\<|')"
+    role = escaped.replace("(t,", "(r,")
+    return f"""WITH x AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -7, 0, 'user', {said} UNION ALL SELECT -7, 1, 'assistant', {said})
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256, coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS loss_chars,
+sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256, sum(14 + length(replace({role}, ':', '\\:')) + length({escaped})) AS formatted_chars FROM x GROUP BY 1"""
+
+
+def op10() -> str:
+    parts = []
+    for number, (kind, pattern) in enumerate(secrets.PATTERNS.items()):
+        value = {"assign": "length(v) >= 6", "body": "regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')"}.get(kind, "TRUE")
+        p = quoted(pattern)
+        parts.append(f"""SELECT rid, {number} AS kind, s, s + length(m) AS e FROM (SELECT rid, ms[i] AS m, vs[i] AS v, list_sum([length(x) FOR x IN gs[1:i]]) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0) AS s
+FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, regexp_split_to_array(t, {p}) AS gs, regexp_extract_all(t, {p}, 0) AS ms, regexp_extract_all(t, {p}, {2 if kind == "assign" else 0}) AS vs FROM d WHERE regexp_matches(t, {p})))) WHERE {value}""")
+    names = "['assign', 'access', 'hex', 'body', 'endpoint'][kind + 1] || ':' || s || ':' || e"
+    near = f"b.s - a.e <= {secrets.SCOPE} AND a.s - b.e <= {secrets.SCOPE} AND floor(b.s / {secrets.SCOPE}) BETWEEN floor(a.s / {secrets.SCOPE}) - 1 AND floor(a.s / {secrets.SCOPE}) + 1"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), p AS ({" UNION ALL ".join(parts)}),
+k AS (SELECT * FROM p WHERE kind <= 2 UNION ALL SELECT a.* FROM p a WHERE a.kind >= 3 AND EXISTS (SELECT 1 FROM p b WHERE b.rid = a.rid AND (b.kind = 1 OR b.kind = 0 AND a.kind = 4) AND {near})),
+g AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg({names}, ',' ORDER BY s, kind) FILTER (WHERE kind <= 2) AS base, string_agg({names}, ',' ORDER BY s, kind) AS spans FROM k GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)"""
+
+
+ORACLES: dict[str, str] = {"op1_mix_sources": op1(), "op8_chat_parts": op8(), "op10_linked_secrets": op10()}
