@@ -16,6 +16,13 @@ def null_if_not_finite(x: Column) -> Column:
     return F.when(finite(x), x)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's coefficient as an aggregate; null where either side is constant."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def heart_rate(rr_s: Column) -> Column:
     """Beats a minute of an interval in seconds."""
     return 60.0 / F.greatest(rr_s, F.lit(TINY))

@@ -125,7 +125,7 @@ def slope_inflated(df: DataFrame, keys: Keys, order: list[str], y: str, n: int,
     w = series(keys, order)
     frame = w.rowsBetween(1 - n, 0)
     staged = df.withColumn("_i", F.row_number().over(w))
-    value = F.abs(F.covar_samp(y, F.col("_i").cast("double")).over(frame) / F.var_pop(F.col("_i").cast("double")).over(frame))
+    value = F.abs(F.covar_samp(y, F.col("_i").cast("double")).over(frame) / F.nullif(F.var_pop(F.col("_i").cast("double")).over(frame), F.lit(0.0)))
     return staged.withColumn(out, F.when(F.col("_i") >= n, value)).drop("_i")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beatlake.functions.scalars import correlation
+
 Keys = list[str]
 # Rows either side may be off by in floating point.
 SLACK = 1e-9
@@ -132,7 +134,7 @@ def rr_agreement(pairs: DataFrame, keys: Keys, ref: str, test: str) -> DataFrame
     """Mean absolute and root mean square error (ms), correlation, mean heart rates and their difference of paired intervals."""
     d = (F.col(test) - F.col(ref)) * 1000
     g = pairs.groupBy(*keys).agg(
-        F.count("*").alias("n_common"), F.avg(F.abs(d)).alias("rr_mae_ms"), F.sqrt(F.avg(d * d)).alias("rr_rmse_ms"), F.corr(ref, test).alias("rr_corr"),
+        F.count("*").alias("n_common"), F.avg(F.abs(d)).alias("rr_mae_ms"), F.sqrt(F.avg(d * d)).alias("rr_rmse_ms"), correlation(ref, test).alias("rr_corr"),
         (60 / F.avg(ref)).alias("mean_hr_ref"), (60 / F.avg(test)).alias("mean_hr_test"),
     )
     return g.withColumn("mean_hr_diff", F.col("mean_hr_test") - F.col("mean_hr_ref"))

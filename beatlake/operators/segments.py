@@ -110,7 +110,7 @@ def slices(chunks: DataFrame, spans: DataFrame, keys: Keys, span_id: list[str],
 
 def array_stats(x: Column) -> dict[str, Column]:
     """Statistics of a sample array: mean, min, max, population deviation, rms, peak to peak, median."""
-    n = F.size(x).cast("double")
+    n = F.nullif(F.size(x).cast("double"), F.lit(0.0))
     mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
     square = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / n
     var = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n

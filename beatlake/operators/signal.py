@@ -121,7 +121,7 @@ def band_powers(psds: DataFrame, keys: Keys, bands: dict[str, tuple[float, float
 
 def dft_power(x: Column) -> Column:
     """Power of each frequency bin 0..n/2 by the sums of the transform's definition, for short segments."""
-    n = F.size(x)
+    n = F.nullif(F.size(x), F.lit(0))
     idx = F.sequence(F.lit(0), n - 1)
     pairs = F.arrays_zip(x.alias("x"), idx.alias("i"))
     part = lambda k, fn: F.aggregate(pairs, F.lit(0.0), lambda a, s: a + s["x"] * fn(2 * np.pi * ((k * s["i"]) % n) / n))
@@ -240,10 +240,10 @@ def lag_between(df: DataFrame, keys: Keys, a: str, b: str) -> DataFrame:
 
 def qc_metrics(x: Column, limit: float = 1e-6) -> dict[str, Column]:
     """rms, deviation and share of flat steps of a segment."""
-    n = F.size(x)
+    n = F.nullif(F.size(x), F.lit(0))
     mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
     steps = F.zip_with(F.slice(x, 2, n - 1), F.slice(x, 1, n - 1), lambda b, a: F.abs(b - a) < limit)
-    return {"rms": F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / n), "std": F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n), "flat_pct": 100.0 * F.size(F.filter(steps, lambda s: s)) / (n - 1)}
+    return {"rms": F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / n), "std": F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n), "flat_pct": 100.0 * F.size(F.filter(steps, lambda s: s)) / F.nullif(n - 1, F.lit(0))}
 
 
 def spectral_uniqueness(psds: DataFrame, keys: Keys) -> DataFrame:

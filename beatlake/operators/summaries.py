@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from beatlake.functions.scalars import correlation
+
 Keys = list[str]
 
 
@@ -69,7 +71,7 @@ def paired_delta(df: DataFrame, index: Keys, method: str, value: str, base: str,
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Correlation of each pair of columns."""
-    one = df.agg(*(F.corr(a, b).alias(f"{a}__{b}") for a, b in combinations(cols, 2)))
+    one = df.agg(*(correlation(a, b).alias(f"{a}__{b}") for a, b in combinations(cols, 2)))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("r")) for a, b in combinations(cols, 2)))
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
