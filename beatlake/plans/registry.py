@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beatlake.session import with_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -49,13 +51,12 @@ def load() -> None:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load()
-    return QUERIES["detection_study"](spark, sf_dir)
+    return queries()["detection_study"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
     load()
-    return dict(QUERIES)
+    return {k: with_package(f) for k, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
