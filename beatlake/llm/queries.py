@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beatlake.llm import ann, chat, langid, mixing, oracle, outliers, packing, secrets, simhash, site_quality, toxicity
 from beatlake.llm.common import table
+from beatlake.session import with_package
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,8 @@ def queries() -> dict:
     import corpus_pipeline
 
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
-    return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0]))) | {"pipeline": corpus_pipeline.run}
+    ordered = sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0]))
+    return {k: with_package(f) for k, f in [*ordered, ("pipeline", corpus_pipeline.run)]}
 
 
 def oracle_sql() -> dict[str, str]:

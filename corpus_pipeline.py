@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from beatlake.llm import mixing, packing, queries, secrets, simhash, toxicity
 from beatlake.llm.common import table
 from beatlake.scratch import Scratch
+from beatlake.session import with_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +32,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_copies),
+    ("toxicity", with_package(drop_toxic)),
+    ("near_duplicates", with_package(drop_copies)),
     ("secrets", mask_secrets),
     ("mix", mix_sources),
-    ("pack", pack_sequences),
+    ("pack", with_package(pack_sequences)),
 ]
 
 #: The trained chain and the tokenizer can't be written in SQL; tests hold run() against a brute-force version.
