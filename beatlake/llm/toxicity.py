@@ -76,7 +76,7 @@ class Chain:
         return [1 / (1 + math.exp(-z)) for z in odds]
 
 
-def fit_logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, steps: int = 150, l2: float = 0.1) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, steps: int = 500, l2: float = 0.02) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression; rows hold indices of binary features, `extra` dense inputs.
 
     Each coordinate steps by its own bound on the curvature, with momentum.
