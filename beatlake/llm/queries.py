@@ -18,7 +18,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.fit(spark, docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain, ["doc_id"])
+    return toxicity.score(docs, chain, ["doc_id"]).withColumn("kept", ~F.col("is_toxic"))
 
 
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
