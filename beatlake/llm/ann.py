@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from beatlake.llm.common import require
@@ -89,8 +89,8 @@ def listed(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), lists(ids, sizes, pa.int64()), lists(scores, sizes, pa.float32())], ["node", "ids", "scores"])
 
 
-def merged(rows: DataFrame, k: int) -> DataFrame:
-    """Rows of `GRAPH`, several a node, to the k best of each; first by task, so that hubs are small when they meet."""
+def merged(rows: DataFrame, k: int, by_task: bool = False) -> DataFrame:
+    """Rows of `GRAPH`, several a node, to the k best of each; with `by_task` first within a task, so that hubs are small when they meet."""
 
     def cut(batches):
         for b in batches:
@@ -98,7 +98,7 @@ def merged(rows: DataFrame, k: int) -> DataFrame:
             owner = np.repeat(b.column("node").to_numpy(), sizes)
             yield listed(*best(owner, b.column("ids").flatten().to_numpy(), b.column("scores").flatten().to_numpy(), k))
 
-    part = arrow(rows, cut, GRAPH)
+    part = arrow(rows, cut, GRAPH) if by_task else rows
     gathered = part.groupBy("node").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("scores")).alias("scores"))
     return arrow(gathered, cut, GRAPH)
 
@@ -158,41 +158,48 @@ def dealt(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
-def first_lists(nodes: DataFrame, n: int, trees: int, at_once: int = 5) -> Iterator[DataFrame]:
-    """Lists from the random projection trees, some trees at a time."""
+def halved(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
+
+
+def whole(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+
+
+def first_lists(nodes: DataFrame, n: int, trees: int) -> DataFrame:
+    """Lists from the random projection trees: GRAPH rows, one for each node and tree. Vectors travel in half precision."""
     d = nodes.select(F.size("v").alias("d")).first()["d"]
     rows = nodes.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, max(64, SAMPLE_NUMBERS // d))).select("v").collect()
     depth = max(0, int(np.ceil(np.log2(n / LEAF)))) if n > LEAF else 0
     fitted = fit_trees(np.array([r["v"] for r in rows], np.float32), trees if depth else 1, depth)
-    shape = "tree int, leaf bigint, node bigint, v array<float>"
 
-    for low in range(0, len(fitted), at_once):
-
-        def send(batches, some=fitted[low : low + at_once]):
-            for b in batches:
-                x = matrix(b.column("v")).astype(np.float32)
-                sizes = np.full(len(x), x.shape[1])
-                for t, tree in enumerate(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(leaf(x, tree)), b.column("node"), lists(x.ravel(), sizes, pa.float32())], ["tree", "leaf", "node", "v"])
-
-        def compare(batches):
-            for b in runs(batches, ["tree", "leaf"], 4 * LEAF):
-                if b.num_rows > 1:
-                    x, node = matrix(b.column("v")), b.column("node").to_numpy()
-                    s = x @ x.T
-                    np.fill_diagonal(s, -np.inf)
-                    k = min(LEAF_K if depth else K, len(x) - 1)
-                    at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    yield listed(np.repeat(node, k)[order := np.argsort(np.repeat(node, k), kind="stable")], node[at].ravel()[order], np.take_along_axis(s, at, 1).ravel()[order])
-
-        yield arrow(dealt(arrow(nodes.select("node", "v"), send, shape), ["tree", "leaf"]), compare, GRAPH)
+    def send(batches):
+        for b in batches:
+            x = matrix(b.column("v")).astype(np.float32)
+            half = halved(x)
+            for t, tree in enumerate(fitted):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(leaf(x, tree)), b.column("node"), half], ["tree", "leaf", "node", "x"])
+
+    def compare(batches):
+        for b in runs(batches, ["tree", "leaf"], 4 * LEAF):
+            if b.num_rows > 1:
+                x, node = whole(b.column("x")), b.column("node").to_numpy()
+                s = x @ x.T
+                np.fill_diagonal(s, -np.inf)
+                k = min(LEAF_K if depth else K, len(x) - 1)
+                at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                order = np.argsort(np.repeat(node, k), kind="stable")
+                yield listed(np.repeat(node, k)[order], node[at].ravel()[order], np.take_along_axis(s, at, 1).ravel()[order])
+
+    sent = arrow(nodes.select("node", "v"), send, "tree int, leaf bigint, node bigint, x binary")
+    return arrow(dealt(sent, ["tree", "leaf"]), compare, GRAPH)
 
 
 def descend(graph: DataFrame, halves: DataFrame) -> DataFrame:
     """What a round of NN-descent finds: rows of `GRAPH`. `halves` has node and its vector in half precision, as bytes."""
     edge = graph.select(F.col("node").alias("u"), F.explode(F.arrays_zip("ids", "scores")).alias("e")).select("u", F.col("e.ids").alias("w"), F.col("e.scores").alias("s"))
     back = edge.select(F.col("w").alias("node"), F.array("u").alias("ids"), F.array("s").alias("scores"))
-    around = graph.unionByName(merged(back, K)).select(F.col("node").alias("v"), F.explode("ids").alias("a")).distinct()
+    around = graph.unionByName(merged(back, K, by_task=True)).select(F.col("node").alias("v"), F.explode("ids").alias("a"))
     worst = graph.select("node", F.when(F.size("scores") >= K, F.array_min("scores")).otherwise(F.lit(float("-inf")).cast("float")).alias("least"))
     members = halves.join(worst, "node")
     sent = around.join(members, around.a == members.node).select("v", "a", "x", "least")
@@ -201,11 +208,12 @@ def descend(graph: DataFrame, halves: DataFrame) -> DataFrame:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
         for b in runs(batches, ["v"], 1 << 12):
-            a = b.column("a").to_numpy()
-            x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.float16).reshape(len(a), -1).astype(np.float32)
+            # a node can be there twice, as neighbour and as one that names v
+            a, once = np.unique(b.column("a").to_numpy(), return_index=True)
+            x = whole(b.column("x"))[once]
             s = x @ x.T
             np.fill_diagonal(s, -np.inf)
-            i, j = np.nonzero(s > b.column("least").to_numpy()[:, None])
+            i, j = np.nonzero(s > b.column("least").to_numpy()[once][:, None])
             found.append((a[i], a[j], s[i, j]))
             held += len(i)
             if held > 1 << 19:
@@ -222,15 +230,9 @@ def build(spark: SparkSession, nodes: DataFrame, scratch: Scratch, n: int, trees
 
     def halve(batches):
         for b in batches:
-            x = matrix(b.column("v")).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), halved(matrix(b.column("v")))], ["node", "x"])
 
-    graph = None
-    for lists_ in first_lists(nodes, n, trees):
-        now = scratch.save(merged(lists_ if graph is None else graph.unionByName(lists_), K))
-        if graph is not None:
-            scratch.drop(graph)
-        graph = now
+    graph = scratch.save(merged(first_lists(nodes, n, trees), K))
     if n > LEAF:
         halves = scratch.save(arrow(nodes.select("node", "v"), halve, "node bigint, x binary"))
         for _ in range(rounds):
@@ -247,83 +249,127 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 # one shape for nodes (kind 0) and questions (kind 1): of a node the neighbours, of a query the nodes it asks for
 ROW = "bucket bigint, kind int, id bigint, v array<double>, least double, ids array<bigint>"
-REPLY = "q bigint, kind int, v array<double>, ids array<bigint>, scores array<double>, nexts array<array<bigint>>, seen array<bigint>"
+# a query's state (kind 0) or a reply to it (kind 1); near has K neighbours for each of ids, -1 where there are fewer
+REPLY = "q bigint, kind int, v array<double>, ids array<bigint>, scores array<double>, near array<bigint>, seen array<bigint>, want array<bigint>"
+
+
+class Lists:
+    """Rows of a list column as slices of one flat array."""
+
+    def __init__(self, column: pa.Array):
+        self.at, self.flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.at[i] : self.at[i + 1]]
+
+
+def packed(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    """Tuples of numbers and arrays to a batch."""
+    columns = []
+    for column, kind in zip(zip(*rows), types):
+        if pa.types.is_list(kind):
+            columns.append(lists(np.concatenate(column), np.array([len(x) for x in column]), kind.value_type))
+        else:
+            columns.append(pa.array(column, kind))
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def flushed(rows: Iterator[tuple], types: list[pa.DataType], names: list[str], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Batches of about `most` numbers."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, np.ndarray))
+        if size > most:
+            yield packed(held, types, names)
+            held, size = [], 0
+    if held:
+        yield packed(held, types, names)
+
+
+NONE, NO_SCORES = np.zeros(0, np.int64), np.zeros(0)
 
 
 def ask(state: DataFrame, buckets: int) -> DataFrame:
-    """Questions of each query (REPLY rows of kind 0, whose `nexts` has what to ask for), by bucket."""
+    """Questions of each query, by bucket of what it wants."""
 
-    def run(batches):
+    def questions(batches):
         for b in batches:
-            out = []
-            for q, v, scores, nexts in zip(*(b.column(c).to_pylist() for c in ("q", "v", "scores", "nexts"))):
-                if not nexts or not nexts[0]:
-                    continue
-                ids = np.array(nexts[0], np.int64)
-                home = bucket_of(ids, buckets)
-                order = np.argsort(home, kind="stable")
-                least = scores[-1] if len(scores) >= BEAM else float("-inf")
-                for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
-                    out.append((int(home[part[0]]), 1, q, v, least, ids[part].tolist()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
+            q, v, scores, want = b.column("q").to_pylist(), Lists(b.column("v")), Lists(b.column("scores")), Lists(b.column("want"))
+            for i, who in enumerate(q):
+                ids = want[i]
+                if len(ids):
+                    home = bucket_of(ids, buckets)
+                    order = np.argsort(home, kind="stable")
+                    least = float(scores[i][-1]) if len(scores[i]) >= BEAM else float("-inf")
+                    for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+                        yield int(home[part[0]]), 1, who, v[i], least, ids[part]
 
-    return arrow(state, run, ROW)
+    return arrow(state, lambda batches: flushed(questions(batches), TYPES, NAMES), ROW)
 
 
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of ROW to replies: a bucket's nodes come first, then the questions stream by."""
-    bucket, place, vectors, near = None, {}, [], []
-    for b in batches:
-        out = []
-        for home, kind, who, v, least, ids in zip(*(b.column(c).to_pylist() for c in NAMES)):
-            if home != bucket:
-                bucket, place, vectors, near = home, {}, [], []
-            if kind == 0:
-                place[who] = len(vectors)
-                vectors.append(v)
-                near.append(ids)
-                continue
-            if isinstance(vectors, list):
-                vectors = np.array(vectors, float)
-            at = [place[i] for i in ids]
-            scores = vectors[at] @ np.array(v, float)
-            good = np.flatnonzero(scores >= least)
-            if len(good) > BEAM:
-                good = good[np.argpartition(-scores[good], BEAM - 1)[:BEAM]]
-            if len(good):
-                out.append((who, 1, None, [ids[i] for i in good], scores[good].tolist(), [near[at[i]] for i in good], None))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), REPLY_TYPES)], REPLY_NAMES)
+
+    def replies():
+        bucket, nodes, index = None, [], None
+        for b in batches:
+            home, kind, who, least = (b.column(c).to_pylist() for c in ("bucket", "kind", "id", "least"))
+            v, ids = Lists(b.column("v")), Lists(b.column("ids"))
+            for i in range(b.num_rows):
+                if home[i] != bucket:
+                    bucket, nodes, index = home[i], [], None
+                if kind[i] == 0:
+                    near = np.full(K, -1, np.int64)
+                    near[: len(ids[i])] = ids[i]
+                    nodes.append((who[i], v[i].copy(), near))
+                    continue
+                if index is None:
+                    order = np.argsort([n[0] for n in nodes])
+                    index = np.array([nodes[k][0] for k in order]), np.array([nodes[k][1] for k in order]), np.array([nodes[k][2] for k in order])
+                    nodes = []
+                at = np.searchsorted(index[0], ids[i])
+                scores = index[1][at] @ v[i]
+                good = np.flatnonzero(scores >= least[i])
+                if len(good) > BEAM:
+                    good = good[np.argpartition(-scores[good], BEAM - 1)[:BEAM]]
+                if len(good):
+                    yield who[i], 1, NO_SCORES, ids[i][good], scores[good], index[2][at[good]].ravel(), NONE, NONE
+
+    return flushed(replies(), REPLY_TYPES, REPLY_NAMES)
 
 
 def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted REPLY rows, a query's state first and its replies after, to the next state."""
-    out: list[tuple] = []
-    now = None
 
-    def finish(q, v, beam, nexts, seen, asked):
-        rank = sorted(beam.items(), key=lambda x: (-x[1], x[0]))[:BEAM]
-        seen |= asked
-        new = set().union(*(nexts[i] for i, _ in rank if i in nexts)) - seen
-        out.append((q, 0, v, [i for i, _ in rank], [s for _, s in rank], [sorted(new)], sorted(seen)))
-
-    for b in batches:
-        for q, kind, v, ids, scores, nexts, seen in zip(*(b.column(c).to_pylist() for c in REPLY_NAMES)):
-            if kind == 0:
-                if now is not None:
-                    finish(*now)
-                now = (q, v, dict(zip(ids, scores)), {}, set(seen), set(nexts[0]))
-            else:
-                now[2].update(zip(ids, scores))
-                now[3].update(zip(ids, nexts))
-        if len(out) >= 64:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), REPLY_TYPES)], REPLY_NAMES)
-            out = []
-    if now is not None:
-        finish(*now)
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), REPLY_TYPES)], REPLY_NAMES)
+    def finish(q, v, seen, want, ids, scores, near):
+        known = len(ids[0])
+        all_ids, all_scores = np.concatenate(ids), np.concatenate(scores)
+        top = np.lexsort((all_ids, -all_scores))[:BEAM]
+        fresh = top[top >= known] - known
+        seen = np.union1d(seen, want)
+        new = np.setdiff1d(np.concatenate(near).reshape(-1, K)[fresh], seen) if len(fresh) else NONE
+        return q, 0, v, all_ids[top], all_scores[top], NONE, seen, new[new >= 0]
+
+    def states():
+        now = None
+        for b in batches:
+            q, kind = b.column("q").to_pylist(), b.column("kind").to_pylist()
+            v, ids, scores, near, seen, want = (Lists(b.column(c)) for c in ("v", "ids", "scores", "near", "seen", "want"))
+            for i, who in enumerate(q):
+                if kind[i] == 0:
+                    if now is not None:
+                        yield finish(*now)
+                    now = (who, v[i].copy(), seen[i].copy(), want[i].copy(), [ids[i].copy()], [scores[i].copy()], [])
+                else:
+                    now[4].append(ids[i].copy())
+                    now[5].append(scores[i].copy())
+                    now[6].append(near[i].copy())
+        if now is not None:
+            yield finish(*now)
+
+    return flushed(states(), REPLY_TYPES, REPLY_NAMES)
 
 
 def shape_of(ddl: str) -> tuple[list[pa.DataType], list[str]]:
@@ -353,15 +399,17 @@ def search(spark: SparkSession, graph: DataFrame, nodes: DataFrame, starts: Data
     store = scratch.save(arrow(nodes.join(graph, "node").select("node", "v", "ids"), place, ROW))
     own = starts.join(nodes, "node").join(graph, "node")
     none = F.array().cast("array<bigint>")
-    state = scratch.save(own.select(F.col("node").alias("q"), F.lit(0).alias("kind"), F.col("v").cast("array<double>").alias("v"), none.alias("ids"), F.array().cast("array<double>").alias("scores"), F.array("ids").alias("nexts"), F.array("node").alias("seen")))
+    state = scratch.save(own.select(F.col("node").alias("q"), F.lit(0).alias("kind"), F.col("v").cast("array<double>").alias("v"), none.alias("ids"), F.array().cast("array<double>").alias("scores"), none.alias("near"), F.array("node").alias("seen"), F.col("ids").alias("want")))
     for _ in range(MAX_STEPS):
-        if state.where(F.size(F.col("nexts")[0]) > 0).isEmpty():
-            break
         asked = dealt(store.unionByName(ask(state, buckets)), ["bucket"], "kind")
         replies = arrow(asked, answer, REPLY)
-        after = scratch.save(arrow(dealt(state.unionByName(replies), ["q"], "kind"), advance, REPLY))
+        left = Observation()
+        moved = arrow(dealt(state.unionByName(replies), ["q"], "kind"), advance, REPLY)
+        after = scratch.save(moved.observe(left, F.count(F.when(F.size("want") > 0, 1)).alias("n")))
         scratch.drop(state)
         state = after
+        if not left.get["n"]:
+            break
     return state.select("q", "ids", "scores")
 
 
