@@ -15,7 +15,8 @@ search ends when no beam changes. Scores are in double precision on the
 original vectors.
 
 The lists of nodes that name a node are bounded to its best `K`, as in the
-method; hubs are merged in two steps, by task and then by node.
+method; hubs are merged in two steps, by task and then by node. A search is cut
+off after `MAX_STEPS` rounds; on the tables here it ends after about ten.
 
 Defined results: vectors that are null, empty or zero, or hold a null or a
 non-finite component, take no part, nor do null ids and vectors of another
