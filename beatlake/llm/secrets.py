@@ -10,8 +10,8 @@ points; an endpoint also if a reported assignment is that near.
 
 Everything is SQL: each pattern splits a text into gaps and matches, whose
 lengths sum up to spans. Parts are joined on document, text and scope block,
-so a document with very many parts meets only those of its own and the two
-next blocks, and a block has room for a bounded number of them.
+so a document with very many parts meets only those near by, and a block has
+room for a bounded number of them.
 
 Defined results: null text counts as empty and has no span; repeated rows
 each return their row; rows without doc_id are told apart by their text.
@@ -85,14 +85,19 @@ def parts(docs: DataFrame) -> DataFrame:
 def linked(found: DataFrame) -> DataFrame:
     """doc_id, text_key and the weak spans of it that have a complementary part in their scope.
 
-    An interval join on the blocks of `SCOPE` code points. A part is in its
-    own block; the partner is looked up in that block and its two neighbours.
+    An interval join on the blocks of `SCOPE` code points. A weak part is in
+    every block that its span covers, a partner in every block that its span
+    covers when widened by `SCOPE` on both sides; so two parts in scope of one
+    another share a block, however long they are and wherever they start.
     """
     rows = found.where(F.exists("parts", lambda p: p["link"])).dropDuplicates(["doc_id", "text_key"])
-    part = rows.select("doc_id", "text_key", F.explode("parts").alias("p")).select("doc_id", "text_key", "p", F.floor(F.col("p.start") / SCOPE).alias("block"))
-    weak = part.where("p.link").withColumnRenamed("p", "w")
+    part = rows.select("doc_id", "text_key", F.explode("parts").alias("p"))
     number = KINDS.index
-    strong = part.where(F.col("p.kind").isin(number("access"), number("assign"))).withColumn("block", F.explode(F.array(*(F.col("block") + d for d in (-1, 0, 1))))).withColumnRenamed("p", "s")
+    block = lambda at: F.floor(at / SCOPE)
+    weak = part.where("p.link").select("doc_id", "text_key", F.col("p").alias("w"), F.explode(F.sequence(block(F.col("p.start")), block(F.col("p.end")))).alias("block"))
+    strong = part.where(F.col("p.kind").isin(number("access"), number("assign"))).select(
+        "doc_id", "text_key", F.col("p").alias("s"), F.explode(F.sequence(block(F.col("p.start") - SCOPE), block(F.col("p.end") + SCOPE))).alias("block")
+    )
     a, b = weak.alias("a"), strong.alias("b")
     on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key")) & (F.col("a.block") == F.col("b.block"))
     near = (F.col("s.start") - F.col("w.end") <= SCOPE) & (F.col("w.start") - F.col("s.end") <= SCOPE)

@@ -401,6 +401,25 @@ def test_secrets_and_links(spark):
     assert all(not any(s["link"] for s in r["spans"]) for r in got if r["doc_id"] in (2, 3))
 
 
+def test_links_wherever_the_parts_lie_and_however_long_they_are(spark):
+    pad = lambda n: "- " * (n // 2)
+    long = "aB3/" * 400
+    texts = [
+        pad(390) + BODY + pad(380) + KEY_ID,  # two blocks apart, a gap of 380
+        pad(390) + BODY + " " + pad(398) + " " + KEY_ID,  # a gap of 400
+        pad(390) + BODY + " " + pad(400) + KEY_ID,  # a gap of 401
+        long + " " + KEY_ID,
+        KEY_ID + " " + long,
+        "token=" + "x" * 1000 + " db.example.com:5432",
+        "db.example.com:5432 token=" + "x" * 1000,
+        "token=" + "x" * 1000 + pad(402) + "db.example.com:5432",
+    ]
+    got = {r["doc_id"]: r for r in secrets.find(spark, frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    found = [[texts[i][s["start"] : s["end"]] for s in got[i]["spans"] if s["link"]] for i in range(len(texts))]
+    end = "db.example.com:5432"
+    assert found == [[BODY], [BODY], [], [long], [long], [end], [end], []]
+
+
 def test_redaction(spark):
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(SECRETS)] + [(2, "clean text", None, None, None)]
     got = secrets.redact(spark, frame(spark, rows)).collect()
