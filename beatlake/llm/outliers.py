@@ -10,12 +10,15 @@ its squared Mahalanobis distance is above `CUT`.
 Every step is a grouped aggregation over all rows of the statistics table
 (quantile sketches and sums of products, both merged map-side), so a group
 with a third of all rows is never gathered. Only the parameters of groups,
-one row each, are inverted in Python. A standard deviation never counts as
-less than `LEAST_SD`, for statistics that most documents have in common.
+one row each, are inverted in Python. The deviations of `log_words` and
+`word_length` are the group's own; only where one degenerates does `LEAST` of
+that of all rows stand in. The shares, which are 0 in most documents, have a
+`VECTOR` floor, since nothing robust can be estimated from a spike.
 
 Groups under `MIN_GROUP` rows are pooled by language, and those under it by
-all; if that is still too small, the method gives no verdict and only the
-base rules count. Documents that fail those take no part in the estimates.
+all; if that is still too small, they are held against an estimate over all
+rows of the corpus. Only a corpus under `MIN_GROUP` rows gets no verdict but
+the base rules'. Documents that fail those take no part in the estimates.
 
 Defined results: null text counts as empty; null language or source is a
 group of its own. Repeated rows count and return once each.
@@ -41,8 +44,10 @@ SYMBOL = re.compile(rb"[#*$%&|<>]")
 SPLIT = re.compile(rb"[\x20\x09-\x0d]+")
 
 SHARE, STEPS, MIN_GROUP = 0.75, 4, 200
-#: Statistics, with the least standard deviation of each.
-VECTOR = {"log_words": 1.5, "word_length": 0.8, "symbols": 0.25, "lines": 0.4, "repeats": 0.5}
+#: Statistics, with the least standard deviation of each; None: as estimated.
+VECTOR = {"log_words": None, "word_length": None, "symbols": 0.25, "lines": 0.4, "repeats": 0.5}
+#: A deviation under this share of that of all rows counts as degenerate.
+LEAST = 0.1
 # Chi-square quantiles at 5 degrees of freedom for 0.975 and 0.99999, and the median's consistency at 0.75.
 INNER, CUT = 12.833, 30.856
 CONSISTENCY = 0.75 / 0.5163
@@ -110,8 +115,11 @@ def vector() -> dict[str, Column]:
     return {"log_words": F.log1p(F.col("n_words").cast("double")), "word_length": F.least(F.col("word_chars") / n, F.lit(40.0)), "symbols": share("n_symbols"), "lines": share("n_dup_lines"), "repeats": share("n_repeat_words")}
 
 
-def grouped(stats: DataFrame, scratch: Scratch, min_group: int) -> DataFrame:
-    """`stats` with the vector x and the group g that estimates it: language and source, language, all, or null."""
+def grouped(stats: DataFrame, scratch: Scratch, min_group: int) -> tuple[DataFrame, bool]:
+    """`stats` with the vector x and the group g that estimates it: language and source, language, all, or null.
+
+    The flag tells that the rows of `all` are too few, and all rows of the corpus estimate it.
+    """
     ok = scratch.save(stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n")))
     named = lambda kind, *cs: F.concat_ws("\x00", F.lit(kind), *(F.coalesce(c, F.lit("\x01")) for c in cs))
     rest = ok.where(F.col("n") < min_group).groupBy("lang").agg(F.sum("n").alias("n"))
@@ -119,10 +127,11 @@ def grouped(stats: DataFrame, scratch: Scratch, min_group: int) -> DataFrame:
     large = scratch.save(ok.where(F.col("n") >= min_group).select("lang", "source", named("source", "lang", "source").alias("g1")))
     pooled = scratch.save(rest.where(F.col("n") >= min_group).select("lang", named("lang", "lang").alias("g2")))
     left = rest.where(F.col("n") < min_group).agg(F.sum("n")).first()[0] or 0
+    borrow = 0 < left < min_group and ok.agg(F.sum("n")).first()[0] >= min_group
     a, b, c = stats.alias("a"), large.alias("b"), pooled.alias("c")
     first = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left")
     joined = first.join(c, F.col("a.lang").eqNullSafe(F.col("c.lang")), "left")
-    return joined.select("a.*", F.coalesce("g1", "g2", F.lit("all" if left >= min_group else None)).alias("g"), F.array(*vector().values()).alias("x"))
+    return joined.select("a.*", F.coalesce("g1", "g2", F.lit("all" if left >= min_group or borrow else None)).alias("g"), F.array(*vector().values()).alias("x")), borrow
 
 
 def distance(x: str = "x") -> Column:
@@ -146,9 +155,11 @@ def moments(rows: DataFrame) -> DataFrame:
     )
 
 
-def estimates(sums: DataFrame, factor: float) -> DataFrame:
-    """Centre and whitening of each group from its sums; a row a group, in Python where Spark put it."""
-    least = np.array(list(VECTOR.values()))
+def estimates(sums: DataFrame, factor: float, least: np.ndarray) -> DataFrame:
+    """Centre and whitening of each group from its sums; a row a group, in Python where Spark put it.
+
+    `least` has the least deviation of each statistic.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -168,12 +179,16 @@ def estimates(sums: DataFrame, factor: float) -> DataFrame:
 def verdicts(spark: SparkSession, stats: DataFrame, cut: float = CUT, min_group: int = MIN_GROUP) -> DataFrame:
     """`stats` with distance (null without a group) and kept."""
     scratch = Scratch(spark, "outliers")
-    rows = scratch.save(grouped(scratch.save(stats), scratch, min_group))
-    fit = rows.where("not base_failed and g is not null").select("g", "x")
+    table, borrow = grouped(scratch.save(stats), scratch, min_group)
+    rows = scratch.save(table)
+    sound = rows.where("not base_failed and g is not null").select("g", "x")
+    fit = sound.where("g <> 'all'").unionByName(sound.withColumn("g", F.lit("all"))) if borrow else sound
     d = len(VECTOR)
+    usual = sound.agg(*(F.stddev_pop(F.col("x")[i]) for i in range(d))).first()
+    least = np.array([max(LEAST * (usual[i] or 0.0), 1e-3) if sd is None else sd for i, sd in enumerate(VECTOR.values())])
     # start: coordinate-wise medians and their deviations
     middle = fit.groupBy("g").agg(*(F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(d)))
-    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(sd)) for i, sd in enumerate(VECTOR.values())]
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(float(sd))) for i, sd in enumerate(least)]
     flat = [1 / spread[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)]
     now = scratch.save(middle.select("g", F.array(*(F.col(f"q{i}")[1] for i in range(d))).alias("m"), F.array(*flat).alias("w")))
     for step in range(STEPS + 1):
@@ -183,7 +198,7 @@ def verdicts(spark: SparkSession, stats: DataFrame, cut: float = CUT, min_group:
             near = far.join(bound, "g").where("d2 <= h")
         else:
             near = far.where(F.col("d2") <= INNER)
-        now = scratch.save(estimates(moments(near), CONSISTENCY if step < STEPS else 1.0))
+        now = scratch.save(estimates(moments(near), CONSISTENCY if step < STEPS else 1.0, least))
     out = rows.join(now, "g", "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return out.select(*stats.columns, "distance", kept.alias("kept"))

@@ -359,6 +359,17 @@ def test_outliers_are_found_in_groups(spark):
     assert all(r["distance"] is None and r["kept"] == (not r["base_failed"]) for r in few)
 
 
+def test_deviations_are_the_groups_own(spark):
+    rows = [(i, prose(60 + i % 40, i), "en", "s", 1) for i in range(400)]
+    rows += [(1000 + i, " ".join(w + "yy" for w in prose(80, i).split()), "en", "s", 1) for i in range(10)]  # words two letters longer
+    rows += [(2000 + i, prose(60, 3000 + i), "de", "form", 1) for i in range(250)] + [(2500, prose(62, 3999), "de", "form", 1)]  # of one length
+    rows += [(3000 + i, prose(70, 4000 + i), "xx", "few", 1) for i in range(5)] + [(3100, " ".join(w + "***" for w in prose(80, 9).split()), "xx", "few", 1)]
+    got = {r["doc_id"]: r for r in outliers.verdicts(spark, outliers.statistics(frame(spark, rows))).collect()}
+    assert not any(got[1000 + i]["kept"] for i in range(10))
+    assert [i for i, r in got.items() if not r["kept"] and not 1000 <= i < 1010 and i != 3100] == []
+    assert got[3100]["distance"] is not None and not got[3100]["kept"]
+
+
 # --- secrets
 
 
