@@ -14,8 +14,11 @@ Each partition packs its own documents in one streaming pass: no shuffle,
 no state beyond the window, and a lost executor repeats its partition alone.
 Sequence ids carry the partition in their upper bits.
 
-Loss-bearing tokens of a piece are all but the first `context` ones of it
-(which nothing precedes) unless the caller counts them by `loss`.
+Loss-bearing tokens of a piece are all but its first one (which nothing
+precedes), unless `pack` is given a column of loss spans, such as those of
+chat turns: then they are the tokens that overlap a span, and the end token
+if a span reaches the end of the text. Without spans a loss limit below the
+token limit only makes sequences shorter, so the default leaves it open.
 
 Defined results: null and empty texts are a document of the end token alone.
 Repeated rows are packed once each. Special strings in a text become the ids
@@ -113,6 +116,18 @@ class Encoder:
             out[n] = [self.words[w] if ids is None else ids for w, ids in zip(found, out[n])]
         return list(map(b"".join, out))
 
+    def masked(self, raw: bytes | None, spans: list[dict]) -> tuple[bytes, np.ndarray]:
+        """Ids of one text, and which tokens and end token overlap spans of its code points."""
+        text = (raw or b"").decode()
+        got = self.tokenizer.encode(text, add_special_tokens=False)
+        at = np.array(got.offsets, np.int64).reshape(-1, 2)
+        loss = np.zeros(len(at) + 1, bool)
+        for s in spans:
+            if s["start"] < s["end"]:
+                loss[:-1] |= (at[:, 0] < s["end"]) & (at[:, 1] > s["start"])
+                loss[-1] |= s["end"] >= len(text)
+        return np.array(got.ids, "<u4").tobytes(), loss
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -234,9 +249,13 @@ PIECES = T.StructType(
 )
 
 
-def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end: int = END) -> DataFrame:
-    """doc_id and the pieces of every row: start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset."""
-    require(docs, "doc_id", "text")
+def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end: int = END, loss: str | None = None) -> DataFrame:
+    """doc_id and the pieces of every row: start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset.
+
+    `loss` names a column of arrays of (start, end), the loss-bearing spans in
+    code points of text; where it is null, the row counts as without spans.
+    """
+    require(docs, "doc_id", "text", *([loss] if loss else []))
     schema = T.StructType([docs.schema["doc_id"], *PIECES])
     names = schema.names
     tail = np.array([end], "<u4").tobytes()
@@ -266,13 +285,18 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end: int =
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                for doc_id, raw in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                texts = part.column(1).to_pylist()
+                spans = part.column(2).to_pylist() if loss else [None] * len(texts)
+                plain = iter(encode([t for t, s in zip(texts, spans) if s is None]))
+                for doc_id, text, s in zip(part.column(0).to_pylist(), texts, spans):
+                    raw, mask = (next(plain), None) if s is None else encode.masked(text, s)
                     raw += tail
-                    emit(packer.add(Item((doc_id, raw), 0, len(raw) // 4)))
+                    emit(packer.add(Item((doc_id, raw), 0, len(raw) // 4, mask)))
                 if size > 1 << 20:
                     yield flush()
         emit(packer.finish())
         if out:
             yield flush()
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("_b")).mapInArrow(run, schema).select(*names)
+    spans = [F.transform(loss, lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"))).alias("_s")] if loss else []
+    return docs.select("doc_id", F.col("text").cast("binary").alias("_b"), *spans).mapInArrow(run, schema).select(*names)

@@ -265,6 +265,31 @@ def test_limits_hold():
         assert sum(p[2] for p in s) <= 64 and len(s) <= 4 + 1
 
 
+def test_loss_spans_count_and_hold(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer())
+    rows = []
+    for i in range(60):
+        prompt, answer = prose(20 + 37 * i % 150, 6000 + i) + " ", prose(5 + 29 * i % 90, 7000 + i)
+        rows.append((i, prompt + answer, [(len(prompt), len(prompt) + len(answer))]))
+    df = spark.createDataFrame([*rows, (100, None, []), (101, prose(30, 1), None)], "doc_id bigint, text string, spans array<struct<start:bigint,end:bigint>>").coalesce(1)
+    got = packing.pack(df, tokenizer(), packing.Limits(tokens=256, segments=8, loss=64, window=16), loss="spans").collect()
+    mask = {}
+    for i, text, [(a, z)] in rows:
+        mask[i] = [x < z and y > a for x, y in t.encode(text, add_special_tokens=False).offsets] + [True]
+    total, bearing, longest = {}, {}, {}
+    for r in got:
+        k = r["sequence_id"]
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+        longest[k] = longest.get(k, 0) + r["length"]
+        here = sum(mask[r["doc_id"]][r["start"] : r["start"] + r["length"]]) if r["doc_id"] in mask else max(0, r["length"] - 1) if r["doc_id"] == 101 else 0
+        bearing[k] = bearing.get(k, 0) + here
+    assert all(total[i] == len(m) for i, m in mask.items()) and total[100] == 1
+    # up to 64 with loss, and longer than that by tokens without
+    assert max(bearing.values()) <= 64 and max(longest.values()) > 64 + 1
+
+
 # --- site quality
 
 
