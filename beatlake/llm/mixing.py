@@ -10,7 +10,10 @@ bound that the caller sets; so they may be broadcast, and a source with a
 third of all rows is never gathered in one task.
 
 All of it is DataFrame functions. The distribution is tabled once for each
-rate; a document counts the entries at or below its number.
+rate; a document counts the entries at or below its number. A rate above
+`MAX_RATE` is the sum of several such draws of equal means, so exp(-rate)
+never underflows and no target is cut. (The SQL cuts rates at `MAX_RATE`, so
+it states the result where all rates are at most that.)
 
 Defined results: sources that `weights` doesn't name (null too) share
 `other`, in proportion to their mass. Null or empty texts have no mass but
@@ -31,6 +34,7 @@ SEED = "mix-1"
 WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.10, "src3": 0.05, "src4": 0.05}
 OTHER = 0.50
 TARGET = 1.0
+#: The most weights, and the largest mean of one Poisson draw.
 MAX_WEIGHTS, MAX_RATE = 10_000, 256.0
 # Two digits of hexadecimal short of a double's precision.
 DIGITS = 12
@@ -60,7 +64,7 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float, target: floa
     total = float(sum(weights.values()) + other)
     mass = docs.groupBy(mix_source(weights).alias("mix_source")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("mass"))
     share = F.coalesce(F.element_at(names, F.col("mix_source")), F.lit(float(other))) / total
-    rate = F.when(F.col("mass") > 0, F.least(share * float(target) * F.sum("mass").over(W.partitionBy(F.lit(0))) / F.col("mass"), F.lit(MAX_RATE))).otherwise(0.0)
+    rate = F.when(F.col("mass") > 0, share * float(target) * F.sum("mass").over(W.partitionBy(F.lit(0))) / F.col("mass")).otherwise(0.0)
     # the window is over these few rows
     return mass.select("mix_source", "mass", rate.alias("rate"))
 
@@ -72,12 +76,16 @@ def mix_source(weights: dict[str, float]) -> Column:
 def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTHER, target: float = TARGET, seed: str = SEED) -> DataFrame:
     """`docs` repeated to the weights and shuffled, with rate, copies, copy_no (from 0) and mix_key."""
     require(docs, "doc_id", "text", "source")
-    table = rates(docs, weights, other, target).select("mix_source", "rate", poisson_table(F.col("rate")).alias("cdf"))
+    draws = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
+    table = rates(docs, weights, other, target).select("mix_source", "rate", draws.alias("draws"), poisson_table(F.col("rate") / draws).alias("cdf"))
     a, b = docs.withColumn("_mix", mix_source(weights)).alias("a"), F.broadcast(table).alias("b")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = a.join(b, F.col("a._mix").eqNullSafe(F.col("b.mix_source")))
-    u = uniform(F.lit(seed), ident)
-    counted = rows.select(*(F.col(f"a.{c}") for c in docs.columns), F.col("b.rate"), F.size(F.filter("b.cdf", lambda x: x <= u)).alias("copies"))
+    drawn = lambda u: F.size(F.filter("b.cdf", lambda x: x <= u))
+    first = drawn(uniform(F.lit(seed), ident))
+    more = F.aggregate(F.sequence(F.lit(1), F.col("b.draws") - 1), F.lit(0), lambda acc, j: acc + drawn(uniform(F.lit(seed), ident, F.lit("draw"), j.cast("string"))))
+    copies = F.when(F.col("b.draws") == 1, first).otherwise(first + more)
+    counted = rows.select(*(F.col(f"a.{c}") for c in docs.columns), F.col("b.rate"), copies.alias("copies"))
     out = counted.where("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), ident, F.col("copy_no").cast("string"))))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

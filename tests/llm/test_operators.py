@@ -94,6 +94,14 @@ def test_mix_like_brute_force(spark, clash):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_tiny_sources_reach_their_weight(spark):
+    rows = [(i, "x" * 4000, "en", "big", 1) for i in range(100)] + [(1000 + i, "y" * 10, "en", "tiny", 1) for i in range(4)]
+    got = mixing.mix(frame(spark, rows), {"tiny": 0.25, "big": 0.75}, 0.0, 1.0, "s")
+    mass = {r["source"]: r["m"] for r in got.groupBy("source").agg(F.sum(F.length("text")).alias("m")).collect()}
+    assert abs(mass["tiny"] / (100 * 4000 + 40) - 0.25) < 0.02  # a rate of 2,500
+    assert got.where("source = 'tiny'").select("doc_id", "copy_no").distinct().count() == mass["tiny"] / 10
+
+
 # --- toxicity
 
 
