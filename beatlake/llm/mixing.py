@@ -11,14 +11,15 @@ third of all rows is never gathered in one task.
 
 All of it is DataFrame functions. The distribution is tabled once for each
 rate; a document counts the entries at or below its number. A rate above
-`MAX_RATE` is the sum of several such draws of equal means, so exp(-rate)
-never underflows and no target is cut. (The SQL cuts rates at `MAX_RATE`, so
-it states the result where all rates are at most that.)
+`DRAW_RATE` is the sum of several such draws of equal means, so exp(-rate)
+never underflows and no target is cut, whatever the rate.
 
 Defined results: sources that `weights` doesn't name (null too) share
 `other`, in proportion to their mass. Null or empty texts have no mass but
 repeat like their source. Repeated rows repeat alike. A source without mass
-has rate 0. Copies of a null doc_id hash from an empty string.
+has rate 0. Copies of a null doc_id hash from an empty string. An empty table
+gives none. Of an input column named rate, copies, copy_no or mix_key, `mix`
+returns its own and `repeat` the input's.
 """
 
 from __future__ import annotations
@@ -27,15 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from beatlake.llm.common import require
+from beatlake.llm.common import boxed, require, unboxed
 
 SEED = "mix-1"
 #: Weights in the registered query; other sources share the rest.
 WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.10, "src3": 0.05, "src4": 0.05}
 OTHER = 0.50
 TARGET = 1.0
-#: The most weights, and the largest mean of one Poisson draw.
-MAX_WEIGHTS, MAX_RATE = 10_000, 256.0
+#: The most weights (more is an error), and the largest mean of one Poisson draw.
+MAX_WEIGHTS, DRAW_RATE = 10_000, 256.0
+#: What `mix` adds.
+OWN = ("rate", "copies", "copy_no", "mix_key")
 # Two digits of hexadecimal short of a double's precision.
 DIGITS = 12
 
@@ -73,20 +76,30 @@ def mix_source(weights: dict[str, float]) -> Column:
     return F.when(F.col("source").isin(*weights), F.col("source")) if weights else F.lit(None).cast("string")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTHER, target: float = TARGET, seed: str = SEED) -> DataFrame:
-    """`docs` repeated to the weights and shuffled, with rate, copies, copy_no (from 0) and mix_key."""
+def dealt(docs: DataFrame, weights: dict[str, float], other: float, target: float, seed: str) -> DataFrame:
+    """`row` (the struct of a document) once for each copy, with the columns of `OWN`, shuffled."""
     require(docs, "doc_id", "text", "source")
-    draws = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
+    draws = F.greatest(F.ceil(F.col("rate") / DRAW_RATE), F.lit(1)).cast("int")
     table = rates(docs, weights, other, target).select("mix_source", "rate", draws.alias("draws"), poisson_table(F.col("rate") / draws).alias("cdf"))
-    a, b = docs.withColumn("_mix", mix_source(weights)).alias("a"), F.broadcast(table).alias("b")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = a.join(b, F.col("a._mix").eqNullSafe(F.col("b.mix_source")))
-    drawn = lambda u: F.size(F.filter("b.cdf", lambda x: x <= u))
-    first = drawn(uniform(F.lit(seed), ident))
-    more = F.aggregate(F.sequence(F.lit(1), F.col("b.draws") - 1), F.lit(0), lambda acc, j: acc + drawn(uniform(F.lit(seed), ident, F.lit("draw"), j.cast("string"))))
-    copies = F.when(F.col("b.draws") == 1, first).otherwise(first + more)
-    counted = rows.select(*(F.col(f"a.{c}") for c in docs.columns), F.col("b.rate"), copies.alias("copies"))
-    out = counted.where("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), ident, F.col("copy_no").cast("string"))))
+    # `table` has a row for each weight and one more, so it may be broadcast
+    rows = boxed(docs, mix_source(weights).alias("own_source"), ident.alias("ident")).join(F.broadcast(table), F.col("own_source").eqNullSafe(F.col("mix_source")))
+    drawn = lambda u: F.size(F.filter("cdf", lambda x: x <= u))
+    first = drawn(uniform(F.lit(seed), F.col("ident")))
+    more = F.aggregate(F.sequence(F.lit(1), F.col("draws") - 1), F.lit(0), lambda acc, j: acc + drawn(uniform(F.lit(seed), F.col("ident"), F.lit("draw"), j.cast("string"))))
+    copies = F.when(F.col("draws") == 1, first).otherwise(first + more)
+    counted = rows.select("row", "ident", "rate", copies.alias("copies")).where("copies > 0")
+    out = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), "ident", F.col("copy_no").cast("string"))))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, "mix_key").sortWithinPartitions("mix_key")
+    return out.select("row", *OWN).repartition(n, "mix_key").sortWithinPartitions("mix_key")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTHER, target: float = TARGET, seed: str = SEED) -> DataFrame:
+    """`docs` repeated to the weights and shuffled, with rate, copies, copy_no (from 0) and mix_key."""
+    return dealt(docs, weights, other, target, seed).select(*unboxed(docs.columns, OWN), *OWN)
+
+
+def repeat(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTHER, target: float = TARGET, seed: str = SEED) -> DataFrame:
+    """The same rows with the columns of `docs` alone."""
+    return dealt(docs, weights, other, target, seed).select(*unboxed(docs.columns))

@@ -14,12 +14,17 @@ def op1() -> str:
     names = ", ".join(map(quoted, mixing.WEIGHTS))
     total = float(sum(mixing.WEIGHTS.values()) + mixing.OTHER)
     seed = quoted(mixing.SEED + ":")
+    draw = float(mixing.DRAW_RATE)
+    number = f"('0x' || substr(md5({seed} || coalesce(doc_id::VARCHAR, '') || CASE WHEN j > 0 THEN ':draw:' || j ELSE '' END), 1, {mixing.DIGITS}))::UBIGINT / {float(16**mixing.DIGITS)!r}::DOUBLE"
     return f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN source IN ({names}) THEN source END AS ms FROM documents),
 m AS (SELECT ms, sum(length(coalesce(text, '')))::DOUBLE AS mass FROM d GROUP BY 1),
-r AS (SELECT ms, CASE WHEN mass > 0 THEN least(coalesce(v.w, {mixing.OTHER!r}::DOUBLE) / {total!r}::DOUBLE * {mixing.TARGET!r}::DOUBLE * (SELECT sum(mass) FROM m) / mass, {mixing.MAX_RATE!r}::DOUBLE) ELSE 0.0 END AS rate FROM m LEFT JOIN (VALUES {weights}) v(s, w) ON v.s = ms),
-c AS (SELECT ms, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM r UNION ALL SELECT ms, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM c WHERE k + 1 <= ceil(rate + 10 * sqrt(rate)) + 20),
-u AS (SELECT d.*, ('0x' || substr(md5({seed} || coalesce(doc_id::VARCHAR, '')), 1, {mixing.DIGITS}))::UBIGINT / {float(16**mixing.DIGITS)!r}::DOUBLE AS u FROM d),
-n AS (SELECT u.doc_id, u.source, u.text, r.rate, (SELECT count(*) FROM c WHERE c.ms IS NOT DISTINCT FROM u.ms AND c.cdf <= u.u) AS copies FROM u JOIN r ON r.ms IS NOT DISTINCT FROM u.ms)
+r0 AS (SELECT ms, CASE WHEN mass > 0 THEN coalesce(v.w, {mixing.OTHER!r}::DOUBLE) / {total!r}::DOUBLE * {mixing.TARGET!r}::DOUBLE * (SELECT sum(mass) FROM m) / mass ELSE 0.0 END AS rate FROM m LEFT JOIN (VALUES {weights}) v(s, w) ON v.s = ms),
+r AS (SELECT *, greatest(ceil(rate / {draw!r}), 1)::INT AS draws, rate / greatest(ceil(rate / {draw!r}), 1) AS mean FROM r0),
+c AS (SELECT ms, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS cdf FROM r UNION ALL SELECT ms, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) FROM c WHERE k + 1 <= ceil(mean + 10 * sqrt(mean)) + 20),
+t AS (SELECT ms, list(cdf) AS cdfs FROM c GROUP BY 1),
+u AS (SELECT row_number() OVER () AS rid, doc_id, source, text, ms FROM d),
+x AS (SELECT u.*, r.rate, unnest(range(r.draws)) AS j FROM u JOIN r ON r.ms IS NOT DISTINCT FROM u.ms),
+n AS (SELECT rid, any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(text) AS text, any_value(rate) AS rate, sum(length(list_filter(cdfs, lambda z: z <= number)))::INT AS copies FROM (SELECT x.*, {number} AS number FROM x) x JOIN t ON t.ms IS NOT DISTINCT FROM x.ms GROUP BY rid)
 SELECT doc_id, source, copies, copy_no, round(rate, 6) AS rate, md5({seed} || coalesce(doc_id::VARCHAR, '') || ':' || copy_no) AS mix_key, text FROM (SELECT *, unnest(range(copies)) AS copy_no FROM n)"""
 
 
@@ -40,7 +45,7 @@ def op10() -> str:
         parts.append(f"""SELECT rid, {number} AS kind, s, s + length(m) AS e FROM (SELECT rid, ms[i] AS m, vs[i] AS v, list_sum([length(x) FOR x IN gs[1:i]]) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0) AS s
 FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, regexp_split_to_array(t, {p}) AS gs, regexp_extract_all(t, {p}, 0) AS ms, regexp_extract_all(t, {p}, {2 if kind == "assign" else 0}) AS vs FROM d WHERE regexp_matches(t, {p})))) WHERE {value}""")
     names = "['assign', 'access', 'hex', 'body', 'endpoint'][kind + 1] || ':' || s || ':' || e"
-    near = f"b.s - a.e <= {secrets.SCOPE} AND a.s - b.e <= {secrets.SCOPE} AND floor(b.s / {secrets.SCOPE}) BETWEEN floor(a.s / {secrets.SCOPE}) - 1 AND floor(a.s / {secrets.SCOPE}) + 1"
+    near = f"b.s - a.e <= {secrets.SCOPE} AND a.s - b.e <= {secrets.SCOPE}"
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), p AS ({" UNION ALL ".join(parts)}),
 k AS (SELECT * FROM p WHERE kind <= 2 UNION ALL SELECT a.* FROM p a WHERE a.kind >= 3 AND EXISTS (SELECT 1 FROM p b WHERE b.rid = a.rid AND (b.kind = 1 OR b.kind = 0 AND a.kind = 4) AND {near})),
 g AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg({names}, ',' ORDER BY s, kind) FILTER (WHERE kind <= 2) AS base, string_agg({names}, ',' ORDER BY s, kind) AS spans FROM k GROUP BY 1)
