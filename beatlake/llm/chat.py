@@ -8,21 +8,26 @@ tokens are counted by its extent (image tiles, audio seconds, pages).
 A turn is written as `### <role>:`, a line end, the content, `</turn>` and a
 line end. Inside roles and texts a backslash goes before every backslash and
 before whatever would start a control string, so the output can be read back
-to the same turns. The loss mask is a list of spans of the output, one for
-each assistant text.
+to the same turns. Text parts that follow one another are escaped as one, so
+no control string can be put together from pieces; they are read back as one.
+The loss mask is a list of spans of the output, one for each assistant text.
 
 Rows are sorted by conversation and turn within hash partitions and formatted
 in one pass, so a task holds one conversation's output at a time, never all
-of a partition.
+of a partition. A conversation is one row of the result, so the longest one
+(that of a null conv_id, too) must fit a task's memory.
 
-Defined results: null role or text counts as empty; rows of equal turn are
-ordered by role, then text, null turns first; repeated rows are turns of
+Defined results: null role, text or parts count as empty; rows of equal turn
+are ordered by role, then text, null turns first; repeated rows are turns of
 their own. A null conv_id is a conversation. Unknown part types are text.
+An empty table gives no conversation. Extra columns, whatever their names,
+are not read: typed parts only from the column that `parts` names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -32,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from beatlake.llm.common import SLICE, map_rows, require
+from beatlake.llm.common import map_rows, require, slices
 
 # The template's control strings.
 OPEN, CLOSE, ATTACH, END = "### ", "</turn>", "<|", "\n"
 IMAGE_TILE, IMAGE_TOKENS, AUDIO_RATE, PAGE_TOKENS = 512, 170, 25, 500
+TEXT, ATTACHED = "text", ("image", "audio", "document")
 SPECIAL = re.compile(r"\\|### |</turn>|<\|")
 UNESCAPE = re.compile(r"\\(.)", re.S)
 
@@ -80,15 +86,23 @@ class Visitor:
 
     def turn(self, role: str | None, parts: list[dict]) -> None:
         self.write(f"{OPEN}{escape(role or '', ':')}:{END}")
-        for part in parts:
+        for kind, group in itertools.groupby(parts, key=self.kind):
             start = self.size
-            getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_text)(part)
-            if role == "assistant" and self.size > start and (part.get("type") or "text") not in ("image", "audio", "document"):
-                self.loss.append((start, self.size))
+            if kind == TEXT:
+                self.visit_text("".join(p.get("text") or "" for p in group))
+                if role == "assistant" and self.size > start:
+                    self.loss.append((start, self.size))
+            else:
+                for part in group:
+                    getattr(self, f"visit_{kind}")(part)
         self.write(f"{CLOSE}{END}")
 
-    def visit_text(self, part: dict) -> None:
-        self.write(escape(part.get("text") or ""))
+    @staticmethod
+    def kind(part: dict) -> str:
+        return part.get("type") if part.get("type") in ATTACHED else TEXT
+
+    def visit_text(self, text: str) -> None:
+        self.write(escape(text))
 
     def attach(self, part: dict, tokens: int) -> None:
         number = len(self.attachments)
@@ -106,16 +120,13 @@ class Visitor:
         self.attach(part, (part.get("pages") or 0) * PAGE_TOKENS)
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+def format_conversations(turns: DataFrame, parts: str | None = None) -> DataFrame:
     """One row a conversation: conv_id, formatted, loss (spans), attachments.
 
-    `turns` has conv_id, turn, role, and text or `parts` (an array of `PART`).
+    `turns` has conv_id, turn, role, and text; or `parts` names a column of arrays of `PART`.
     """
-    require(turns, "conv_id", "turn", "role")
-    typed = "parts" in turns.columns
-    if not typed:
-        require(turns, "text")
-    content = "parts" if typed else "text"
+    typed, content = parts is not None, parts or "text"
+    require(turns, "conv_id", "turn", "role", content)
     schema = T.StructType([turns.schema["conv_id"], T.StructField("formatted", T.StringType()), T.StructField("loss", T.ArrayType(SPAN)), T.StructField("attachments", T.ArrayType(ATTACHMENT))])
     target = to_arrow_schema(schema)
 
@@ -131,8 +142,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, target.types)], schema=target)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch):
                 for conv_id, role, body in zip(*(part.column(i).to_pylist() for i in range(3))):
                     if visitor is None or conv_id != now:
                         if visitor is not None:
@@ -154,21 +164,36 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return dealt.select("conv_id", "role", content).mapInArrow(run, schema)
 
 
-TURN = re.compile(r"### ((?:[^\\:]+|\\.)*):\n((?:[^\\<]+|\\.|<(?!/turn>))*)</turn>\n", re.S)
+ROLE = re.compile(r"### ((?:[^\\:]|\\.)*+):\n", re.S)
+#: A run of text, a placeholder, or the end of the turn; texts hold no bare control string.
+CONTENT = re.compile(r"(?P<text>(?:[^\\<]|\\.|<(?!/turn>\n|\|))++)|<\|(?P<type>[a-z]+):(?P<number>[0-9]+)\|>|(?P<end></turn>\n)", re.S)
 
 
-def read_turns(formatted: str) -> list[tuple[str, str]]:
-    """Role and content of each turn of a formatted conversation, unescaped."""
+def read_turns(formatted: str) -> list[tuple[str, list[tuple[str, str | int]]]]:
+    """Role and parts of each turn of a formatted conversation: (`text`, unescaped) or (type, number of the attachment)."""
     out, at = [], 0
     while at < len(formatted):
-        found = TURN.match(formatted, at)
-        if not found:
+        role = ROLE.match(formatted, at)
+        if not role:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(found[1]), unescape(found[2])))
-        at = found.end()
+        parts: list[tuple[str, str | int]] = []
+        at = role.end()
+        while True:
+            found = CONTENT.match(formatted, at)
+            if not found:
+                raise ValueError(f"no content at {at}")
+            at = found.end()
+            if found["end"]:
+                break
+            parts.append((TEXT, unescape(found["text"])) if found["text"] else (found["type"], int(found["number"])))
+        out.append((unescape(role[1]), parts))
     return out
 
 
+def text_of(parts: list[tuple[str, str | int]]) -> str:
+    return "".join(str(v) for kind, v in parts if kind == TEXT)
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what a reader of the output gets: turns, and text under the loss mask."""
     fields = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
@@ -179,7 +204,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         def one(conv_id, text, loss):
             turns = read_turns(text)
             learned = "".join(unescape(text[s["start"] : s["end"]]) for s in loss)
-            yield conv_id, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), sha(learned), len(text)
+            yield conv_id, len(turns), sha("".join(f"{r}\n{text_of(p)}\n" for r, p in turns)), len(learned), sha(learned), len(text)
 
         return one
 

@@ -21,7 +21,9 @@ tables in the shared folder.
 Defined results: null text counts as empty; a text without a word has
 fingerprint zero and is linked like any other. Repeated rows each return
 their row. Rows whose doc_id is null have a fingerprint too, but can't name a
-component: theirs is the smallest id there, or null if none has one.
+component: theirs is the smallest id there, or null if none has one. An empty
+table gives none. Extra columns of any name are returned by `keep_first` as
+they are.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatlake.llm.common import map_rows, require
+from beatlake.llm.common import boxed, map_rows, require, unboxed
 from beatlake.scratch import Scratch
 
 RADIUS, SHINGLE, SEED, BUCKET = 3, 3, 42, 1024
@@ -58,18 +60,19 @@ def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and `fp` (the 64 bits as a signed long) of every row."""
+    """doc_id, `text_key` (a hash of the text) and `fp` (the 64 bits as a signed long) of every row."""
     require(docs, "doc_id", "text")
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())])
 
     def make():
-        def one(doc_id, text):
+        def one(doc_id, key, text):
             fp = simhash(text)
-            yield doc_id, fp - (1 << 64) if fp >> 63 else fp
+            yield doc_id, key, fp - (1 << 64) if fp >> 63 else fp
 
         return one
 
-    return map_rows(docs.select("doc_id", F.col("text").cast("binary").alias("_b")), ["doc_id", "_b"], schema, make)
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.col("text").cast("binary").alias("raw"))
+    return map_rows(rows, ["doc_id", "text_key", "raw"], schema, make)
 
 
 def masks(positions: list[int], radius: int, seed: int) -> list[int]:
@@ -89,11 +92,8 @@ def positions(mask: int) -> list[int]:
 def refined(mask: Column, radius: int, level: int, seen: list[int]) -> Column:
     """Masks of the next level, each with the bits of the mask before: an array for each mask in `seen`."""
     whole = (1 << 64) - 1
-    table = {m: [m | x for x in masks(positions(~m & whole), radius, level)] for m in seen}
-    out = F.lit(None).cast("array<bigint>")
-    for m, fine in table.items():
-        out = F.when(mask == m, F.array(*(F.lit(x) for x in fine))).otherwise(out)
-    return out
+    table = F.create_map(*(x for m in seen for x in (F.lit(m), F.array(*(F.lit(m | fine) for fine in masks(positions(~m & whole), radius, level))))))
+    return F.element_at(table, mask)
 
 
 def links(batches, radius: int = RADIUS):
@@ -175,24 +175,38 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         state = new
 
 
+def families(marks: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """fp and the fingerprint that stands for its component, for each distinct fingerprint of `marks`."""
+    nodes = scratch.save(marks.select("fp").distinct())
+    roots = components(candidate_links(nodes, scratch, radius), scratch)
+    return scratch.save(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of every row of `docs`."""
     scratch = Scratch(spark, "simhash")
     marks = scratch.save(fingerprints(docs))
-    nodes = scratch.save(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(candidate_links(nodes, scratch, radius), scratch)
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.save(rooted)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = families(marks, scratch, radius)
+    # minima by fingerprint first, so a fingerprint that is everywhere is one row when it is joined
+    least = marks.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component, the one that names it; of repeated rows one stays.
+    """`docs` with one row of each component: the smallest doc_id, null last; of different texts with that id, the one whose text hashes lowest.
 
-    Rows without doc_id can't be told apart by it, and stay.
+    Rows are told apart by id and text, so of repeated rows one stays.
     """
-    chosen = near_duplicates(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    require(docs, "doc_id", "text")
+    scratch = Scratch(spark, "simhash")
+    marks = scratch.save(fingerprints(docs))
+    # minima by fingerprint first, so a fingerprint that is everywhere is one row when it is joined
+    each = marks.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("f"))
+    first = each.join(families(marks, scratch), "fp").groupBy("root").agg(F.min("f").alias("f"))
+    ids = lambda c: (F.col(c).isNull().alias("no_id"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id"))
+    chosen = first.select(F.col("f.doc_id").alias("d"), F.col("f.text_key").alias("text_key")).select(*ids("d"), "text_key")
+    # keys without nulls, so that the join and the choice among repeated rows share one exchange
+    rows = boxed(docs, *ids("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    keys = ["no_id", "id", "text_key"]
+    return rows.join(chosen, keys, "left_semi").dropDuplicates(keys).select(*unboxed(docs.columns))
