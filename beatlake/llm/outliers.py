@@ -1,32 +1,35 @@
 """Quality rules: base counts, then robust multivariate outliers.
 
-Each text gives a vector of transformed statistics. For each group (language
-and source) the minimum covariance determinant is estimated by concentration
-steps: from coordinate-wise medians, the `SHARE` of the group nearest to the
-centre gives the next centre and covariance, `STEPS` times; then all rows
-within a chi-square bound give the final estimate. A document is rejected if
-its squared Mahalanobis distance is above `CUT`.
+Each text gives a vector of transformed statistics, all of which vary in any
+clean text. For every group of documents (language and source), every
+language and the whole corpus the minimum covariance determinant is
+estimated: from several starts (coordinate-wise medians, and small subsets
+whose ids hash lowest) the `SHARE` of the group nearest to the centre gives
+the next centre and covariance; after `STEPS` such concentration steps the
+start with the least determinant goes on for as many; then all rows within a
+chi-square bound give the final estimate. Covariances are regularised only
+against singularity, by `RIDGE` of the variance over all rows.
+
+An estimate of n rows is shrunk to that above it (a group's to its
+language's, that to the corpus's), which counts as `PRIOR` rows; so small
+groups lean on their language and no group is left out. A document is
+rejected if its squared Mahalanobis distance is above `CUT`.
 
 Every step is a grouped aggregation over all rows of the statistics table
 (quantile sketches and sums of products, both merged map-side), so a group
-with a third of all rows is never gathered. Only the parameters of groups,
-one row each, are inverted in Python. The deviations of `log_words` and
-`word_length` are the group's own; only where one degenerates does `LEAST` of
-that of all rows stand in. The shares, which are 0 in most documents, have a
-`VECTOR` floor, since nothing robust can be estimated from a spike.
-
-Groups under `MIN_GROUP` rows are pooled by language, and those under it by
-all; if that is still too small, they are held against an estimate over all
-rows of the corpus. Only a corpus under `MIN_GROUP` rows gets no verdict but
-the base rules'. Documents that fail those take no part in the estimates.
+with a third of all rows is never gathered. Only the parameters of groups, a
+few rows each, are inverted in Python.
 
 Defined results: null text counts as empty; null language or source is a
-group of its own. Repeated rows count and return once each.
+group of its own. Repeated rows count and return once each. Documents that
+fail the base rules take no part in the estimates and have no distance. An
+empty table gives no row. Extra columns of any name are not read.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -43,14 +46,15 @@ MIN_WORDS, MAX_REPEAT = 20, 30
 SYMBOL = re.compile(rb"[#*$%&|<>]")
 SPLIT = re.compile(rb"[\x20\x09-\x0d]+")
 
-SHARE, STEPS, MIN_GROUP = 0.75, 4, 200
-#: Statistics, with the least standard deviation of each; None: as estimated.
-VECTOR = {"log_words": None, "word_length": None, "symbols": 0.25, "lines": 0.4, "repeats": 0.5}
-#: A deviation under this share of that of all rows counts as degenerate.
-LEAST = 0.1
-# Chi-square quantiles at 5 degrees of freedom for 0.975 and 0.99999, and the median's consistency at 0.75.
-INNER, CUT = 12.833, 30.856
-CONSISTENCY = 0.75 / 0.5163
+SHARE, STEPS, STARTS, SUBSET = 0.75, 2, 3, 40
+PRIOR, RIDGE = 100.0, 1e-4
+VECTOR = ("log_words", "word_length", "punctuation", "capitals")
+# At 4 degrees of freedom the chi-square quantile for 0.975, and the consistency factors of covariances cut at 0.75 and 0.975.
+INNER, CONSISTENT, CONSISTENT_INNER = 11.143, 0.75 / 0.5045, 0.975 / 0.9159
+#: Eight deviations: statistics of short texts have heavier tails than a normal distribution.
+CUT = 64.0
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+CAPITALS = string.ascii_uppercase.encode()
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -78,21 +82,22 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-def counts(text: bytes | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of UTF-8 text."""
+def counts(text: bytes | None) -> tuple[int, ...]:
+    """`COUNTS` of UTF-8 text."""
     raw = text or b""
     words = raw.split()
     joined = b"".join(words)
     chars = len(joined) if joined.isascii() else len(joined.decode("utf-8", "replace"))
     lines = Counter(line for line in raw.split(b"\n") if line and not line.isspace()) if b"\n" in raw else {}
-    return len(words), chars, len(SYMBOL.findall(raw)), sum(lines.values()) - len(lines), repeated_words(words)
+    marks, capitals = (len(raw) - len(raw.translate(None, c)) for c in (PUNCTUATION, CAPITALS))
+    return len(words), chars, len(SYMBOL.findall(raw)), sum(lines.values()) - len(lines), repeated_words(words), marks, capitals
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_punctuation", "n_capitals")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the five counts and base_failed of every row."""
+    """doc_id, lang, source, the counts and base_failed of every row."""
     require(docs, "doc_id", "text", "lang", "source")
     kept = [docs.schema[c] for c in ("doc_id", "lang", "source")]
     schema = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in COUNTS)])
@@ -103,102 +108,118 @@ def statistics(docs: DataFrame) -> DataFrame:
 
         return one
 
-    rows = docs.select("doc_id", "lang", "source", F.col("text").cast("binary").alias("_b"))
+    rows = docs.select("doc_id", "lang", "source", F.col("text").cast("binary").alias("raw"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return map_rows(rows, ["doc_id", "lang", "source", "_b"], schema, make).withColumn("base_failed", failed)
+    return map_rows(rows, ["doc_id", "lang", "source", "raw"], schema, make).withColumn("base_failed", failed)
 
 
-def vector() -> dict[str, Column]:
+def vector() -> list[Column]:
     """The transformed statistics, from the counts; zero words count as one."""
     n = F.greatest("n_words", F.lit(1))
-    share = lambda c: F.log1p(20.0 * F.col(c) / n)
-    return {"log_words": F.log1p(F.col("n_words").cast("double")), "word_length": F.least(F.col("word_chars") / n, F.lit(40.0)), "symbols": share("n_symbols"), "lines": share("n_dup_lines"), "repeats": share("n_repeat_words")}
-
-
-def grouped(stats: DataFrame, scratch: Scratch, min_group: int) -> tuple[DataFrame, bool]:
-    """`stats` with the vector x and the group g that estimates it: language and source, language, all, or null.
-
-    The flag tells that the rows of `all` are too few, and all rows of the corpus estimate it.
-    """
-    ok = scratch.save(stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n")))
-    named = lambda kind, *cs: F.concat_ws("\x00", F.lit(kind), *(F.coalesce(c, F.lit("\x01")) for c in cs))
-    rest = ok.where(F.col("n") < min_group).groupBy("lang").agg(F.sum("n").alias("n"))
-    # written, so that Spark sees how small they are
-    large = scratch.save(ok.where(F.col("n") >= min_group).select("lang", "source", named("source", "lang", "source").alias("g1")))
-    pooled = scratch.save(rest.where(F.col("n") >= min_group).select("lang", named("lang", "lang").alias("g2")))
-    left = rest.where(F.col("n") < min_group).agg(F.sum("n")).first()[0] or 0
-    borrow = 0 < left < min_group and ok.agg(F.sum("n")).first()[0] >= min_group
-    a, b, c = stats.alias("a"), large.alias("b"), pooled.alias("c")
-    first = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left")
-    joined = first.join(c, F.col("a.lang").eqNullSafe(F.col("c.lang")), "left")
-    return joined.select("a.*", F.coalesce("g1", "g2", F.lit("all" if left >= min_group or borrow else None)).alias("g"), F.array(*vector().values()).alias("x")), borrow
-
-
-def distance(x: str = "x") -> Column:
-    """Squared Mahalanobis distance of x under centre m and whitening rows w (the inverse's Cholesky factor, row by row)."""
-    d = len(VECTOR)
-    diff = [F.col(x)[i] - F.col("m")[i] for i in range(d)]
-    total = None
-    for i in range(d):
-        row = sum((F.col("w")[i * d + j] * diff[j] for j in range(i, d)), F.lit(0.0))
-        total = row * row if total is None else total + row * row
-    return total
+    return [F.log1p(F.col("n_words").cast("double")), F.col("word_chars") / n, F.sqrt(F.col("n_punctuation") / n), F.sqrt(F.col("n_capitals") / n)]
+
+
+def named(kind: str, *columns: str) -> Column:
+    """The name of a group, null values told apart from any other."""
+    return F.concat_ws("\x00", F.lit(kind), *(F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in columns))
+
+
+ALL = "all"
+D = len(VECTOR)
+ESTIMATE = "g string, start int, n double, m array<double>, c array<double>, w array<double>, logdet double"
 
 
 def moments(rows: DataFrame) -> DataFrame:
-    d = len(VECTOR)
-    x = [F.col("x")[i] for i in range(d)]
-    return rows.groupBy("g").agg(
-        F.count("*").alias("n"),
-        F.array(*(F.sum(v) for v in x)).alias("s"),
-        F.array(*(F.sum(x[i] * x[j]) for i in range(d) for j in range(d))).alias("ss"),
-    )
+    """Count, sums and sums of products of each group and start."""
+    x = [F.col("x")[i] for i in range(D)]
+    return rows.groupBy("g", "start").agg(F.count("*").alias("n"), F.array(*map(F.sum, x)).alias("s"), F.array(*(F.sum(a * b) for a in x for b in x)).alias("ss"))
 
 
-def estimates(sums: DataFrame, factor: float, least: np.ndarray) -> DataFrame:
-    """Centre and whitening of each group from its sums; a row a group, in Python where Spark put it.
+def distance() -> Column:
+    """Squared Mahalanobis distance of x under centre m and whitening rows w (the inverse's Cholesky factor, row by row)."""
+    diff = [F.col("x")[i] - F.col("m")[i] for i in range(D)]
+    rows = [sum((F.col("w")[i * D + j] * diff[j] for j in range(i, D)), F.lit(0.0)) for i in range(D)]
+    return sum((r * r for r in rows), F.lit(0.0))
+
+
+def whitened(c: np.ndarray) -> np.ndarray:
+    return np.linalg.cholesky(np.linalg.inv(c)).T
 
-    `least` has the least deviation of each statistic.
-    """
+
+def estimates(sums: DataFrame, factor: float, ridge: np.ndarray) -> DataFrame:
+    """Centre, covariance, whitening and log-determinant of each group and start from its sums; a few rows a group, in Python where Spark put them."""
 
     def run(batches):
         for pdf in batches:
             out = []
-            for g, n, s, ss in zip(pdf["g"], pdf["n"], pdf["s"], pdf["ss"]):
-                d = len(least)
+            for g, start, n, s, ss in zip(pdf["g"], pdf["start"], pdf["n"], pdf["s"], pdf["ss"]):
                 m = np.array(s) / n
-                cov = (np.array(ss).reshape(d, d) / n - np.outer(m, m)) * factor
-                cov += np.diag(np.clip(least**2 - np.diag(cov), 1e-6, None))
-                w = np.linalg.cholesky(np.linalg.inv(cov)).T
-                out.append((g, m.tolist(), w.ravel().tolist()))
+                c = (np.array(ss).reshape(D, D) / n - np.outer(m, m)) * factor + np.diag(ridge)
+                # rounding can leave a variance below zero by less than the ridge's share
+                c += np.diag(np.maximum(ridge - np.diag(c), 0.0))
+                out.append((g, start, float(n), m.tolist(), c.ravel().tolist(), whitened(c).ravel().tolist(), float(np.linalg.slogdet(c)[1])))
+            yield pd.DataFrame(out, columns=["g", "start", "n", "m", "c", "w", "logdet"])
+
+    return sums.mapInPandas(run, ESTIMATE)
+
+
+def concentrated(fit: DataFrame, now: DataFrame, ridge: np.ndarray, scratch: Scratch) -> DataFrame:
+    """One step: the `SHARE` of each group nearest to each start's centre gives its next estimate."""
+    far = fit.join(now.select("g", "start", "m", "w"), "g").select("g", "start", "x", distance().alias("d2"))
+    bound = scratch.save(far.groupBy("g", "start").agg(F.percentile_approx("d2", SHARE, 2000).alias("h")))
+    near = far.join(bound, ["g", "start"]).where("d2 <= h")
+    return scratch.save(estimates(moments(near), CONSISTENT, ridge))
+
+
+def first_estimates(fit: DataFrame, ridge: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Start 0: coordinate-wise medians and quartile deviations. Others: about `SUBSET` rows each."""
+    quartiles = [F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(D)]
+    middle = scratch.save(fit.groupBy("g").agg(F.count("*").alias("size"), *quartiles))
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(float(ridge[i]) ** 0.5)) for i in range(D)]
+    flat = lambda f: F.array(*(f(i) if i == j else F.lit(0.0) for i in range(D) for j in range(D)))
+    medians = middle.select("g", F.lit(0).alias("start"), F.col("size").cast("double").alias("n"), F.array(*(F.col(f"q{i}")[1] for i in range(D))).alias("m"), flat(lambda i: spread[i] * spread[i]).alias("c"), flat(lambda i: 1 / spread[i]).alias("w"), F.lit(0.0).alias("logdet"))
+    each = F.filter(F.sequence(F.lit(1), F.lit(STARTS - 1)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(1 << 30)) < F.lit(float(1 << 30)) * SUBSET / F.col("size"))
+    drawn = fit.join(middle.select("g", "size"), "g").select("g", "x", F.explode(each).alias("start"))
+    return scratch.save(medians.unionByName(estimates(moments(drawn), 1.0, ridge)))
+
+
+def shrunk(parts: DataFrame, above: tuple[str, ...]) -> DataFrame:
+    """g, m, w of each group from its own estimate (columns n, m, c) and those of the levels in `above` (n_l, m_l, c_l), the last one widest."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                m, c = np.array(getattr(r, f"m_{above[-1]}")), np.array(getattr(r, f"c_{above[-1]}"))
+                for level in (*reversed(above[:-1]), None):
+                    n, own_m, own_c = (getattr(r, k if level is None else f"{k}_{level}") for k in "nmc")
+                    m, c = (n * np.array(own_m) + PRIOR * m) / (n + PRIOR), (n * np.array(own_c) + PRIOR * c) / (n + PRIOR)
+                out.append((r.g, m.tolist(), whitened(c.reshape(D, D)).ravel().tolist()))
             yield pd.DataFrame(out, columns=["g", "m", "w"])
 
-    return sums.mapInPandas(run, "g string, m array<double>, w array<double>")
+    return parts.mapInPandas(run, "g string, m array<double>, w array<double>")
 
 
-def verdicts(spark: SparkSession, stats: DataFrame, cut: float = CUT, min_group: int = MIN_GROUP) -> DataFrame:
-    """`stats` with distance (null without a group) and kept."""
+def verdicts(spark: SparkSession, stats: DataFrame, cut: float = CUT) -> DataFrame:
+    """`stats` with distance (null where the base rules failed) and kept."""
     scratch = Scratch(spark, "outliers")
-    table, borrow = grouped(scratch.save(stats), scratch, min_group)
-    rows = scratch.save(table)
-    sound = rows.where("not base_failed and g is not null").select("g", "x")
-    fit = sound.where("g <> 'all'").unionByName(sound.withColumn("g", F.lit("all"))) if borrow else sound
-    d = len(VECTOR)
-    usual = sound.agg(*(F.stddev_pop(F.col("x")[i]) for i in range(d))).first()
-    least = np.array([max(LEAST * (usual[i] or 0.0), 1e-3) if sd is None else sd for i, sd in enumerate(VECTOR.values())])
-    # start: coordinate-wise medians and their deviations
-    middle = fit.groupBy("g").agg(*(F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(d)))
-    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(float(sd))) for i, sd in enumerate(least)]
-    flat = [1 / spread[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)]
-    now = scratch.save(middle.select("g", F.array(*(F.col(f"q{i}")[1] for i in range(d))).alias("m"), F.array(*flat).alias("w")))
-    for step in range(STEPS + 1):
-        far = fit.join(now, "g").select("g", "x", distance().alias("d2"))
-        if step < STEPS:
-            bound = scratch.save(far.groupBy("g").agg(F.percentile_approx("d2", SHARE, 2000).alias("h")))
-            near = far.join(bound, "g").where("d2 <= h")
-        else:
-            near = far.where(F.col("d2") <= INNER)
-        now = scratch.save(estimates(moments(near), CONSISTENCY if step < STEPS else 1.0, least))
-    out = rows.join(now, "g", "left").withColumn("distance", distance())
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
-    return out.select(*stats.columns, "distance", kept.alias("kept"))
+    rows = scratch.save(stats.select(F.struct(*stats.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("string")).alias("id"), named("lang", "lang").alias("g1"), named("source", "lang", "source").alias("g2"), F.array(*vector()).alias("x")))
+    sound = rows.where("not row.base_failed")
+    fit = sound.select("id", "x", F.explode(F.array(F.lit(ALL), "g1", "g2")).alias("g"))
+    usual = sound.agg(*(F.var_pop(F.col("x")[i]) for i in range(D))).first()
+    ridge = np.array([RIDGE * (v or 0.0) + 1e-9 for v in usual])
+    now = first_estimates(fit, ridge, scratch)
+    for _ in range(STEPS):
+        now = concentrated(fit, now, ridge, scratch)
+    best = now.groupBy("g").agg(F.min(F.struct("logdet", "start", "n", "m", "c", "w")).alias("b")).select("g", "b.*")
+    now = scratch.save(best)
+    for _ in range(STEPS):
+        now = concentrated(fit, now, ridge, scratch)
+    inner = fit.join(now.select("g", "start", "m", "w"), "g").where(distance() <= INNER)
+    final = scratch.save(estimates(moments(inner), CONSISTENT_INNER, ridge))
+    level = lambda key, tag: final.select(F.col("g").alias(key), *(F.col(c).alias(f"{c}_{tag}") for c in "nmc"))
+    groups = sound.select("g1", F.col("g2").alias("g"), F.lit(ALL).alias("g0")).distinct()
+    parts = groups.join(final.select("g", "n", "m", "c"), "g").join(level("g1", "lang"), "g1").join(level("g0", "all"), "g0")
+    used = scratch.save(shrunk(parts, ("lang", "all")))
+    out = rows.join(used, rows.g2 == used.g, "left").select("row.*", F.when(~F.col("row.base_failed"), distance()).alias("distance"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True)))
