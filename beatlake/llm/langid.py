@@ -5,16 +5,19 @@ family; within it, one machine for each pair of languages votes. Features
 are square roots of the shares of hashed byte trigrams of the lower-cased
 text, so they don't depend on its length.
 
-Training reads about `PER_LANG` documents of a language (those whose id
-hashes below the language's share), chosen by crc32(doc_id) mod 4 and a
-non-null lang. Each machine is trained in a Spark task of its own on at most
-that many documents of each language it tells apart. Prediction is one pass
-over whole texts and reads nothing else.
+Every language that occurs is learned. Training reads about `PER_LANG`
+documents of each (those whose id hashes below the language's share), chosen
+by crc32(doc_id) mod 4 and a non-null lang. Each machine is trained in a Spark
+task of its own, on sparse rows: a pair's on its two languages' documents, a
+family's on about `FAMILY_ROWS` documents of all languages, evenly. Prediction
+is one pass over whole texts and reads nothing else. A table of more than
+`MAX_LANGS` lang values is an error, since those can't be languages.
 
 Defined results: `und` with score 0 where text is null or holds no letter, or
 where there was nothing to learn from. A family of one language needs no
 vote. Ties go to the larger summed margin, then to the smaller name. Repeated
-rows predict alike.
+rows predict alike. An empty table gives no row. Extra columns of any name are
+not read.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ FAMILIES = {
 FAMILY = {lang: f for f, langs in FAMILIES.items() for lang in langs}
 
 BITS = 12
-PER_LANG, MAX_LANGS = 800, 200
+PER_LANG, FAMILY_ROWS, MAX_LANGS = 800, 12_000, 10_000
 FOLDS, HELD_OUT = 4, 2
 UNDEFINED = "und"
 #: Bytes whose trigrams are counted at once.
@@ -68,17 +71,18 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, passes: int = 15) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (classes weighted evenly) by dual coordinate descent; the bias is a constant input."""
-    x = np.column_stack([x, np.full(len(x), 0.3)])
+def train_machine(at: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, c: float = 10.0, passes: int = 15) -> tuple[np.ndarray, float]:
+    """A linear support vector machine (classes weighted evenly) by dual coordinate descent over sparse rows; the bias is a constant input."""
+    at = [np.append(a, 1 << BITS) for a in at]
+    x = [np.append(v, 0.3) for v in x]
     bound = c * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
-    norm, alpha, w = (x * x).sum(1), np.zeros(len(y)), np.zeros(x.shape[1])
+    norm, alpha, w = [float(v @ v) for v in x], np.zeros(len(y)), np.zeros((1 << BITS) + 1)
     order = np.random.default_rng(0)
     for _ in range(passes):
         for i in order.permutation(len(y)):
-            new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / norm[i], 0.0), bound[i])
+            new = min(max(alpha[i] - (y[i] * (w[at[i]] @ x[i]) - 1) / norm[i], 0.0), bound[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[at[i]] += (new - alpha[i]) * y[i] * x[i]
                 alpha[i] = new
     return w[:-1], float(w[-1] * 0.3)
 
@@ -121,54 +125,59 @@ def fit(spark: SparkSession, docs: DataFrame, per_lang: int = PER_LANG) -> Model
     """Learns from text and lang of the documents that aren't held out."""
     require(docs, "doc_id", "text", "lang")
     seen = docs.where(F.coalesce(fold(F.col("doc_id")) != HELD_OUT, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    found = seen.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(found) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} lang values")
+    counts = {r["lang"]: r["count"] for r in found}
     if not counts:
         return Model({}, {})
     families: dict[str, tuple[str, ...]] = {}
     for lang in sorted(counts):
         f = FAMILY.get(lang, f"only {lang}")
         families[f] = (*families.get(f, ()), lang)
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))))
-    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    shape = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))])
+    shares = spark.createDataFrame([(lang, min(1.0, per_lang / n)) for lang, n in counts.items()], "lang string, share double")
+    shape = T.StructType([T.StructField("lang", T.StringType()), T.StructField("rank", T.DoubleType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))])
 
     def make():
-        def one(lang, text):
+        def one(lang, rank, text):
             if has_letter(text):
                 at, x = trigrams(text)
-                yield lang, at.tolist(), x.tolist()
+                yield lang, rank, at.tolist(), x.tolist()
 
         return one
 
     scratch = Scratch(spark, "langid")
-    sample = scratch.save(map_rows(seen.where(u < share[F.col("lang")]), ["lang", "text"], shape, make))
+    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    # `shares` has a row a language, MAX_LANGS at most, so it may be broadcast; rank says how far down its language's sample a document is
+    drawn = seen.select("lang", "text", u.alias("u")).join(F.broadcast(shares), "lang").where("u < share").select("lang", (F.col("u") / F.col("share")).alias("rank"), "text")
+    sample = scratch.save(map_rows(drawn, ["lang", "rank", "text"], shape, make))
     learned = {r["lang"] for r in sample.select("lang").distinct().collect()}
     families = {f: tuple(x for x in langs if x in learned) for f, langs in families.items()}
     families = {f: langs for f, langs in families.items() if langs}
     if not families:
         return Model({}, {})
     family_of = {lang: f for f, langs in families.items() for lang in langs}
-    # the tasks that a language's documents go to: each family's machine, and its own pairs
-    goes: dict[str, list[tuple[str, str, int]]] = {lang: [] for lang in family_of}
+    # the tasks that a language's documents go to, and the part of them: each family's machine, and its own pairs
+    some = min(1.0, FAMILY_ROWS / (per_lang * len(family_of)))
+    goes: dict[str, list[tuple[str, str, int, float]]] = {lang: [] for lang in family_of}
     if len(families) > 1:
         for lang, f in family_of.items():
-            goes[lang] += [(g, "", 1 if g == f else -1) for g in families]
+            goes[lang] += [(g, "", 1 if g == f else -1, 1.0 if g == f else some) for g in families]
     for langs in families.values():
         for a, b in itertools.combinations(langs, 2):
-            goes[a].append((a, b, 1))
-            goes[b].append((a, b, -1))
+            goes[a].append((a, b, 1, 1.0))
+            goes[b].append((a, b, -1, 1.0))
     if not any(goes.values()):
         return Model(families, {})
-    plan = spark.createDataFrame([(lang, *g) for lang, gs in goes.items() for g in gs], "lang string, name string, other string, y int")
+    plan = spark.createDataFrame([(lang, *g) for lang, gs in goes.items() for g in gs], "lang string, name string, other string, y int, part double")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((len(pdf), 1 << BITS), np.float32)
-        for i, (at, v) in enumerate(zip(pdf["at"], pdf["x"])):
-            x[i, np.asarray(at)] = v
-        w, b = train_machine(x, pdf["y"].to_numpy(float))
+        w, b = train_machine(list(pdf["at"]), list(pdf["x"]), pdf["y"].to_numpy(float))
         return pd.DataFrame({"name": pdf["name"][:1], "other": pdf["other"][:1], "w": [w], "b": [b]})
 
-    made = sample.join(F.broadcast(plan), "lang").groupBy("name", "other").applyInPandas(train, "name string, other string, w array<double>, b double")
+    # the plan is written, so that Spark sees its size
+    rows = sample.join(scratch.save(plan), "lang").where("rank < part").select("name", "other", "y", "at", "x")
+    made = rows.groupBy("name", "other").applyInPandas(train, "name string, other string, w array<double>, b double")
     return Model(families, {(r["name"], r["other"]): (np.array(r["w"]), r["b"]) for r in made.collect()})
 
 
@@ -183,5 +192,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
         return one
 
-    rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("_h"), "text")
-    return map_rows(rows, ["doc_id", "_h", "text"], schema, make)
+    rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held"), "text")
+    return map_rows(rows, ["doc_id", "held", "text"], schema, make)

@@ -41,9 +41,15 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts are the documents' sources; their paths are a source's sections by language."""
-    docs = table(spark, sf_dir, "documents")
-    return site_quality.classify(spark, docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    """All documents and all pages. Pages have the host and first path segment of their URL; documents have no URL, so a document's source is its host.
+
+    A page's doc_id is -1 - page_id, so it can't be a document's.
+    """
+    pages = table(spark, sf_dir, "pages")
+    host, path = site_quality.site_of(F.col("url"))
+    web = pages.select((-1 - F.col("page_id")).alias("doc_id"), site_quality.visible_text(F.col("html")).alias("text"), host.alias("host"), path.alias("path"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.lit(None).cast("string").alias("path"))
+    return site_quality.classify(spark, docs.unionByName(web), table(spark, sf_dir, "labels"), F.col("host"), F.col("path"))
 
 
 def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
