@@ -6,13 +6,15 @@ longer than a sequence first fill whole sequences of their own; what is left
 of them, and all shorter documents, wait in a window of items. A bin takes,
 among the items that fit, the one whose demand has the largest dot product
 with what the bin has left (both as shares of the limits), until none fits;
-then the largest waiting item is cut to fill it exactly. So a bin is closed
-full, or at the end of a partition, where the rest is cut to sequences whose
-lengths are powers of two and need no padding.
+then the waiting item of which most tokens fit is cut to fill it. A bin that
+segments or loss-bearing tokens close stays as it is; only what is left at the
+end of a partition is cut to sequences whose lengths are powers of two and
+need no padding.
 
 Each partition packs its own documents in one streaming pass: no shuffle,
 no state beyond the window, and a lost executor repeats its partition alone.
-Sequence ids carry the partition in their upper bits.
+A waiting item holds only what is left of its document. Sequence ids carry the
+partition in their upper bits.
 
 Loss-bearing tokens of a piece are all but its first one (which nothing
 precedes), unless `pack` is given a column of loss spans, such as those of
@@ -22,7 +24,8 @@ token limit only makes sequences shorter, so the default leaves it open.
 
 Defined results: null and empty texts are a document of the end token alone.
 Repeated rows are packed once each. Special strings in a text become the ids
-that the tokenizer gives them.
+that the tokenizer gives them. An empty table gives no piece. Extra columns of
+any name are not read, but for the one that `loss` names.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatlake.llm.common import SLICE, require
+from beatlake.llm.common import require, slices
 
 END = 2
 #: Distinct words and chunks that a worker remembers.
@@ -141,16 +144,44 @@ def encoder(path: str) -> Encoder:
 
 @dataclass
 class Item:
-    """What is left of a document: a key, where it starts, its tokens and its loss-bearing tokens a token."""
+    """What is left of a document: its key, its ids (4 bytes each), where they start in it, and its number of tokens."""
 
-    key: tuple
-    start: int
-    length: int
-    #: The document's loss mask, or None where all but the first token of a piece bear loss.
+    key: object
+    ids: bytes
+    total: int
+    start: int = 0
+    #: Running counts of loss-bearing tokens, or None where all but the first token of a piece bear loss.
     loss: np.ndarray | None = None
+    #: Tokens of `ids` that are packed.
+    at: int = 0
+
+    @property
+    def length(self) -> int:
+        return len(self.ids) // 4 - self.at
+
+    def base(self) -> int:
+        return int(self.loss[self.at - 1]) if self.at else 0
 
     def loss_of(self, n: int) -> int:
-        return n - 1 if self.loss is None else int(self.loss[self.start : self.start + n].sum())
+        return n - 1 if self.loss is None else int(self.loss[self.at + n - 1]) - self.base()
+
+    def most(self, tokens: int, loss: int) -> int:
+        """The most tokens that keep both."""
+        n = min(self.length, tokens)
+        if self.loss is None:
+            return min(n, loss + 1)
+        return min(n, int(np.searchsorted(self.loss[self.at : self.at + n], self.base() + loss, side="right")))
+
+    def take(self, n: int) -> tuple:
+        """key, start, ids and the document's tokens of the next n."""
+        piece = self.key, self.start + self.at, self.ids[4 * self.at : 4 * (self.at + n)], self.total
+        self.at += n
+        return piece
+
+    def rest(self) -> Item:
+        """The same without what is packed."""
+        loss = None if self.loss is None else self.loss[self.at :] - self.base()
+        return Item(self.key, self.ids[4 * self.at :], self.total, self.start + self.at, loss)
 
 
 @dataclass
@@ -162,25 +193,21 @@ class Packer:
     def __post_init__(self):
         self.next = self.first
 
-    def whole(self, item: Item) -> Iterator[tuple]:
-        """Full sequences of one document, each a single piece."""
-        while item.length >= self.limits.tokens and item.loss_of(self.limits.tokens) <= self.limits.loss:
-            yield self.close([(item, item.start, self.limits.tokens)])
-            item.start += self.limits.tokens
-            item.length -= self.limits.tokens
-
     def add(self, item: Item) -> Iterator[list[tuple]]:
-        yield from self.whole(item)
+        """Full sequences of one document, then bins as long as too many items wait."""
+        while item.length >= self.limits.tokens and item.loss_of(self.limits.tokens) <= self.limits.loss:
+            yield self.close([item.take(self.limits.tokens)])
         if item.length:
-            self.waiting.append(item)
+            self.waiting.append(item.rest() if item.at else item)
         while len(self.waiting) > self.limits.window:
             yield from self.fill()
 
-    def close(self, pieces: list[tuple[Item, int, int]]) -> list[tuple]:
+    def close(self, pieces: list[tuple]) -> list[tuple]:
+        """The pieces with their sequence and offset."""
         out, at = [], 0
-        for item, start, n in pieces:
-            out.append((item.key, start, n, self.next, at))
-            at += n
+        for key, start, ids, total in pieces:
+            out.append((key, start, ids, total, self.next, at))
+            at += len(ids) // 4
         self.next += 1
         return out
 
@@ -194,40 +221,37 @@ class Packer:
             fits = free & (demand <= left).all(1) & ((left[1] > 1) | (demand[:, 0] == left[0]))
             if not fits.any():
                 break
-            at = int(np.argmax(np.where(fits, (demand / cap) @ (left / cap), -1.0)))
-            item = self.waiting[at]
-            pieces.append((item, item.start, item.length))
+            at = int(np.argmax(np.where(fits, (demand / np.maximum(cap, 1)) @ (left / np.maximum(cap, 1)), -1.0)))
+            pieces.append(self.waiting[at].take(self.waiting[at].length))
             left -= demand[at]
             free[at] = False
         rest = np.flatnonzero(free)
         if left[0] and left[1] and len(rest):
-            item = self.waiting[int(rest[np.argmax(demand[rest, 0])])]
-            n = self.cut(item, int(left[0]), int(left[2]))
-            if n:
-                pieces.append((item, item.start, n))
-                item.start += n
-                item.length -= n
+            longest = [self.waiting[i].most(int(left[0]), int(left[2])) for i in rest]
+            at = int(np.argmax(longest))
+            if longest[at]:
+                pieces.append(self.waiting[rest[at]].take(longest[at]))
+                left[0] -= longest[at]
+            elif not pieces:
+                # a token that bears loss, where none may: alone, so that no token is lost
+                pieces.append(self.waiting[rest[0]].take(1))
         self.waiting = [self.waiting[i] for i in rest if self.waiting[i].length]
-        yield from self.trim(pieces)
-
-    def cut(self, item: Item, tokens: int, loss: int) -> int:
-        n = min(item.length, tokens)
-        while n and item.loss_of(n) > loss:
-            n -= max(1, min(n, item.loss_of(n) - loss))
-        return n
-
-    def trim(self, pieces: list[tuple[Item, int, int]]) -> Iterator[list[tuple]]:
-        """The bin as it is if full or of a power of two tokens, else cut into sequences of such lengths."""
-        total = sum(n for _, _, n in pieces)
+        if self.waiting or not left[0]:
+            yield self.close(pieces)
+        else:
+            yield from self.powers(pieces)
+
+    def powers(self, pieces: list[tuple]) -> Iterator[list[tuple]]:
+        """The pieces in sequences whose lengths are powers of two."""
+        total = sum(len(p[2]) // 4 for p in pieces)
         while total:
-            size = self.limits.tokens if total >= self.limits.tokens else 1 << (total.bit_length() - 1)
-            taken, now = 0, []
+            size, taken, now = 1 << (total.bit_length() - 1), 0, []
             while taken < size:
-                item, start, n = pieces.pop(0)
-                use = min(n, size - taken)
-                now.append((item, start, use))
-                if use < n:
-                    pieces.insert(0, (item, start + use, n - use))
+                key, start, ids, of = pieces.pop(0)
+                use = min(len(ids) // 4, size - taken)
+                now.append((key, start, ids[: 4 * use], of))
+                if 4 * use < len(ids):
+                    pieces.insert(0, (key, start + use, ids[4 * use :], of))
                 taken += use
             total -= size
             yield self.close(now)
@@ -271,9 +295,9 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end: int =
         def emit(sequences: Iterator[list[tuple]]) -> None:
             nonlocal size
             for pieces in sequences:
-                for (doc_id, raw), start, n, sequence, offset in pieces:
-                    out.append((doc_id, start, n, raw[4 * start : 4 * (start + n)], len(raw) // 4, sequence, offset))
-                    size += n
+                for doc_id, start, ids, total, sequence, offset in pieces:
+                    out.append((doc_id, start, len(ids) // 4, ids, total, sequence, offset))
+                    size += len(ids) // 4
 
         def flush() -> pa.RecordBatch:
             nonlocal size
@@ -283,20 +307,19 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end: int =
             return made
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch):
                 texts = part.column(1).to_pylist()
                 spans = part.column(2).to_pylist() if loss else [None] * len(texts)
                 plain = iter(encode([t for t, s in zip(texts, spans) if s is None]))
                 for doc_id, text, s in zip(part.column(0).to_pylist(), texts, spans):
                     raw, mask = (next(plain), None) if s is None else encode.masked(text, s)
                     raw += tail
-                    emit(packer.add(Item((doc_id, raw), 0, len(raw) // 4, mask)))
+                    emit(packer.add(Item(doc_id, raw, len(raw) // 4, loss=None if mask is None else np.cumsum(mask))))
                 if size > 1 << 20:
                     yield flush()
         emit(packer.finish())
         if out:
             yield flush()
 
-    spans = [F.transform(loss, lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"))).alias("_s")] if loss else []
-    return docs.select("doc_id", F.col("text").cast("binary").alias("_b"), *spans).mapInArrow(run, schema).select(*names)
+    spans = [F.transform(F.col(f"`{loss}`"), lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"))).alias("spans")] if loss else []
+    return docs.select("doc_id", F.col("text").cast("binary").alias("raw"), *spans).mapInArrow(run, schema).select(*names)
