@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     if master == "local" or master.startswith("local["):
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     else:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        raise RuntimeError(f"{KEY} is not set: name a folder that the driver and all executors share")
     spark.conf.set(KEY, root)
     return root
 
@@ -45,6 +45,19 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def bucketed(self, df: DataFrame, buckets: int, *columns: str) -> DataFrame:
+        """Writes `df` once as a table bucketed by `columns`, a file a bucket, so that later joins and groups on them don't exchange it."""
+        self._n += 1
+        name = f"scratch_{uuid.uuid4().hex}"
+        df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).option("path", f"{self.root}/{self._n}").format("parquet").saveAsTable(name)
+        out = self.spark.table(name)
+        out.scratch_table = name
+        return out
+
+    def forget(self, table: DataFrame) -> None:
+        """Drops a bucketed table's name; its files go with the shared folder."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {table.scratch_table}")
+
     def drop(self, table: DataFrame) -> None:
         """Deletes a saved table that no later step reads."""
         jvm = self.spark.sparkContext._jvm
