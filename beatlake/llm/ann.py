@@ -3,30 +3,35 @@
 The graph has a node for each distinct vector, so copies never fill each
 other's lists. Random projection trees, fitted on a bounded sample, give
 first lists: each tree sends every vector to one leaf, and a leaf's vectors
-are compared in one block. NN-descent then joins neighbours of neighbours:
-every node gathers its neighbours and those that have it as a neighbour, and
-those that are better for each other than what they have are told so.
-
-A query starts from its own list and holds the `BEAM` best nodes found. In
-each round it asks for the neighbours of the beam's new nodes that it has not
-seen. Nodes lie in buckets of about `BUCKET`; a bucket's task holds its nodes
-and streams the questions by, answering only what still enters a beam. The
-search ends when no beam changes. Scores are in double precision on the
-original vectors.
+are compared in one block; a leaf that the sample's cuts left too long is cut
+on at the medians of its own vectors. NN-descent then joins neighbours of
+neighbours: every node gathers its neighbours and those that have it as a
+neighbour, and those that are better for each other than what they have are
+told so. Rounds go on until they change less than `DELTA` of all entries.
+
+A query starts from its own list and holds the best nodes found in a beam
+that grows with the number of nodes. In each round it asks for the neighbours
+of the nodes that are new in its beam. Nodes lie in buckets of about `BUCKET`,
+dealt once into a bucketed table; in each round only the questions are
+exchanged, and a bucket answers only what still enters a beam. The search ends
+when no beam changes, which it must: beams only get better, so a node that
+left one never comes back. Scores are in double precision on the original
+vectors.
 
 The lists of nodes that name a node are bounded to its best `K`, as in the
-method; hubs are merged in two steps, by task and then by node. A search is cut
-off after `MAX_STEPS` rounds; on the tables here it ends after about ten.
+method; hubs are merged in two steps, by task and then by node.
 
 Defined results: vectors that are null, empty or zero, or hold a null or a
-non-finite component, take no part, nor do null ids and vectors of another
-dimension than most have (of equally frequent ones, the smaller). A repeated
-vec_id counts once, with the smallest vector.
+non-finite component, take no part, nor do null ids. Vectors of each
+dimension are searched on their own. A repeated vec_id counts once, with its
+smallest vector. A query without candidates, and an empty table, give no row.
+Extra columns of any name are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +42,13 @@ from beatlake.llm.common import require
 from beatlake.scratch import Scratch
 
 K, TREES, LEAF, LEAF_K = 32, 20, 400, 16
-ROUNDS, BEAM, BUCKET = 2, 144, 2048
+DELTA, BUCKET = 0.1, 2048
+#: Places of a beam for each doubling of the nodes.
+BEAM = 13
 #: Vectors that the trees are fitted on, and the most numbers among them.
 SAMPLE, SAMPLE_NUMBERS = 20_000, 1 << 23
-MAX_STEPS = 40
+#: A leaf longer than this is cut.
+WIDE = 4 * LEAF
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -48,8 +56,7 @@ def valid(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & e.isNotNull()).where(fine).select(F.col("vec_id").cast("bigint").alias("vec_id"), e.alias("v"))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (dims["d"] if dims else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -167,7 +174,7 @@ def whole(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
 
 
-def first_lists(nodes: DataFrame, n: int, trees: int) -> DataFrame:
+def first_lists(nodes: DataFrame, n: int, trees: int, scratch: Scratch) -> DataFrame:
     """Lists from the random projection trees: GRAPH rows, one for each node and tree. Vectors travel in half precision."""
     d = nodes.select(F.size("v").alias("d")).first()["d"]
     rows = nodes.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, max(64, SAMPLE_NUMBERS // d))).select("v").collect()
@@ -181,8 +188,15 @@ def first_lists(nodes: DataFrame, n: int, trees: int) -> DataFrame:
             for t, tree in enumerate(fitted):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(leaf(x, tree)), b.column("node"), half], ["tree", "leaf", "node", "x"])
 
+    def place(batches):
+        for b in batches:
+            x = matrix(b.column("v")).astype(np.float32)
+            for t, tree in enumerate(fitted):
+                leaves, sizes = np.unique(leaf(x, tree), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaves), t), pa.int32()), pa.array(leaves), pa.array(sizes)], ["tree", "leaf", "n"])
+
     def compare(batches):
-        for b in runs(batches, ["tree", "leaf"], 4 * LEAF):
+        for b in runs(batches, ["tree", "leaf"], 2 * WIDE):
             if b.num_rows > 1:
                 x, node = whole(b.column("x")), b.column("node").to_numpy()
                 s = x @ x.T
@@ -193,7 +207,36 @@ def first_lists(nodes: DataFrame, n: int, trees: int) -> DataFrame:
                 yield listed(np.repeat(node, k)[order], node[at].ravel()[order], np.take_along_axis(s, at, 1).ravel()[order])
 
     sent = arrow(nodes.select("node", "v"), send, "tree int, leaf bigint, node bigint, x binary")
-    return arrow(dealt(sent, ["tree", "leaf"]), compare, GRAPH)
+    sizes = arrow(nodes.select("v"), place, "tree int, leaf bigint, n bigint").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
+    long = scratch.save(sizes.where(F.col("n") > WIDE).select("tree", "leaf"))
+    if long.isEmpty():
+        return arrow(dealt(sent, ["tree", "leaf"]), compare, GRAPH)
+    out = arrow(dealt(sent.join(long, ["tree", "leaf"], "left_anti"), ["tree", "leaf"]), compare, GRAPH)
+    for short in cut_leaves(scratch.save(sent.join(long, ["tree", "leaf"], "left_semi")), scratch):
+        out = out.unionByName(arrow(dealt(short, ["tree", "leaf"]), compare, GRAPH))
+    return out
+
+
+def cut_leaves(rows: DataFrame, scratch: Scratch) -> Iterator[DataFrame]:
+    """Rows of long leaves in halves of halves, at the median along a random direction a level, until none is long; equal projections go by a hash."""
+    level = 0
+    while not rows.isEmpty():
+        level += 1
+
+        def project(batches, level=level):
+            for b in batches:
+                x, tree, p = whole(b.column("x")), b.column("tree").to_numpy(), np.zeros(b.num_rows, np.float32)
+                for t in np.unique(tree):
+                    p[tree == t] = x[tree == t] @ np.random.default_rng([level, int(t)]).standard_normal(x.shape[1]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "p"])
+
+        flat = scratch.save(arrow(rows, project, "tree int, leaf bigint, node bigint, x binary, p float"))
+        cuts = scratch.save(flat.groupBy("tree", "leaf").agg(F.percentile_approx("p", 0.5, 1000).alias("at")))
+        side = F.when(F.col("p") == F.col("at"), F.pmod(F.xxhash64("node", F.lit(level)), F.lit(2))).otherwise((F.col("p") > F.col("at")).cast("bigint"))
+        halves = scratch.save(flat.join(cuts, ["tree", "leaf"]).select("tree", F.xxhash64("leaf", side).alias("leaf"), "node", "x"))
+        long = scratch.save(halves.groupBy("tree", "leaf").count().where(F.col("count") > WIDE).select("tree", "leaf"))
+        yield halves.join(long, ["tree", "leaf"], "left_anti")
+        rows = scratch.save(halves.join(long, ["tree", "leaf"], "left_semi"))
 
 
 def descend(graph: DataFrame, halves: DataFrame) -> DataFrame:
@@ -226,21 +269,23 @@ def descend(graph: DataFrame, halves: DataFrame) -> DataFrame:
     return arrow(dealt(sent, ["v"]), introduce, GRAPH)
 
 
-def build(spark: SparkSession, nodes: DataFrame, scratch: Scratch, n: int, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
+def build(spark: SparkSession, nodes: DataFrame, scratch: Scratch, n: int, trees: int = TREES, delta: float = DELTA) -> DataFrame:
     """The graph: node, ids and scores of its neighbours, best first."""
 
     def halve(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("node"), halved(matrix(b.column("v")))], ["node", "x"])
 
-    graph = scratch.save(merged(first_lists(nodes, n, trees), K))
-    if n > LEAF:
-        halves = scratch.save(arrow(nodes.select("node", "v"), halve, "node bigint, x binary"))
-        for _ in range(rounds):
-            now = scratch.save(merged(graph.unionByName(descend(graph, halves)), K))
-            scratch.drop(graph)
-            graph = now
-    return graph
+    graph = scratch.save(merged(first_lists(nodes, n, trees, scratch), K))
+    halves = scratch.save(arrow(nodes.select("node", "v"), halve, "node bigint, x binary"))
+    while True:
+        now = scratch.save(merged(graph.unionByName(descend(graph, halves)), K))
+        before = graph.select("node", F.col("ids").alias("old"))
+        moved = now.join(before, "node", "left").agg(F.sum(F.size(F.array_except("ids", F.coalesce("old", F.array().cast("array<bigint>"))))).alias("new"), F.sum(F.size("ids")).alias("all")).first()
+        scratch.drop(graph)
+        graph = now
+        if not moved["all"] or moved["new"] <= delta * moved["all"]:
+            return graph
 
 
 def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -248,10 +293,12 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-# one shape for nodes (kind 0) and questions (kind 1): of a node the neighbours, of a query the nodes it asks for
-ROW = "bucket bigint, kind int, id bigint, v array<double>, least double, ids array<bigint>"
+# a node in its bucket: its neighbours, as many as it has
+STORE = "bucket bigint, id bigint, v array<double>, ids array<bigint>"
+# a query's question to a bucket: the nodes it asks for, and the least score that enters its beam
+ASKED = "bucket bigint, q bigint, v array<double>, least double, ids array<bigint>"
 # a query's state (kind 0) or a reply to it (kind 1); near has K neighbours for each of ids, -1 where there are fewer
-REPLY = "q bigint, kind int, v array<double>, ids array<bigint>, scores array<double>, near array<bigint>, seen array<bigint>, want array<bigint>"
+REPLY = "q bigint, kind int, v array<double>, ids array<bigint>, scores array<double>, near array<bigint>, want array<bigint>"
 
 
 class Lists:
@@ -292,7 +339,7 @@ def flushed(rows: Iterator[tuple], types: list[pa.DataType], names: list[str], m
 NONE, NO_SCORES = np.zeros(0, np.int64), np.zeros(0)
 
 
-def ask(state: DataFrame, buckets: int) -> DataFrame:
+def ask(state: DataFrame, buckets: int, beam: int) -> DataFrame:
     """Questions of each query, by bucket of what it wants."""
 
     def questions(batches):
@@ -303,74 +350,73 @@ def ask(state: DataFrame, buckets: int) -> DataFrame:
                 if len(ids):
                     home = bucket_of(ids, buckets)
                     order = np.argsort(home, kind="stable")
-                    least = float(scores[i][-1]) if len(scores[i]) >= BEAM else float("-inf")
+                    least = float(scores[i][-1]) if len(scores[i]) >= beam else float("-inf")
                     for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
-                        yield int(home[part[0]]), 1, who, v[i], least, ids[part]
+                        yield int(home[part[0]]), who, v[i], least, ids[part]
 
-    return arrow(state, lambda batches: flushed(questions(batches), TYPES, NAMES), ROW)
+    return arrow(state, lambda batches: flushed(questions(batches), ASKED_TYPES, ASKED_NAMES), ASKED)
 
 
-def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of ROW to replies: a bucket's nodes come first, then the questions stream by."""
+def answers(beam: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A bucket's nodes and the questions put to it, to replies."""
 
-    def replies():
-        bucket, nodes, index = None, [], None
-        for b in batches:
-            home, kind, who, least = (b.column(c).to_pylist() for c in ("bucket", "kind", "id", "least"))
-            v, ids = Lists(b.column("v")), Lists(b.column("ids"))
-            for i in range(b.num_rows):
-                if home[i] != bucket:
-                    bucket, nodes, index = home[i], [], None
-                if kind[i] == 0:
-                    near = np.full(K, -1, np.int64)
-                    near[: len(ids[i])] = ids[i]
-                    nodes.append((who[i], v[i].copy(), near))
-                    continue
-                if index is None:
-                    order = np.argsort([n[0] for n in nodes])
-                    index = np.array([nodes[k][0] for k in order]), np.array([nodes[k][1] for k in order]), np.array([nodes[k][2] for k in order])
-                    nodes = []
-                at = np.searchsorted(index[0], ids[i])
-                scores = index[1][at] @ v[i]
+    def answer(nodes: pa.Table, asked: pa.Table) -> pa.Table:
+        if not nodes.num_rows or not asked.num_rows:
+            return pa.Table.from_batches([], REPLY_SHAPE)
+        nodes, asked = (x.combine_chunks().to_batches()[0] for x in (nodes, asked))
+        order = np.argsort(nodes.column("id").to_numpy())
+        ids, x, lists_ = nodes.column("id").to_numpy()[order], matrix(nodes.column("v"))[order], Lists(nodes.column("ids"))
+        near = np.full((len(ids), K), -1, np.int64)
+        for row, i in enumerate(order):
+            near[row, : len(lists_[i])] = lists_[i]
+        who, least, v, wanted = asked.column("q").to_pylist(), asked.column("least").to_pylist(), Lists(asked.column("v")), Lists(asked.column("ids"))
+
+        def replies():
+            for i in range(asked.num_rows):
+                at = np.searchsorted(ids, wanted[i])
+                scores = x[at] @ v[i]
                 good = np.flatnonzero(scores >= least[i])
-                if len(good) > BEAM:
-                    good = good[np.argpartition(-scores[good], BEAM - 1)[:BEAM]]
+                if len(good) > beam:
+                    good = good[np.argpartition(-scores[good], beam - 1)[:beam]]
                 if len(good):
-                    yield who[i], 1, NO_SCORES, ids[i][good], scores[good], index[2][at[good]].ravel(), NONE, NONE
+                    yield who[i], 1, NO_SCORES, wanted[i][good], scores[good], near[at[good]].ravel(), NONE
+
+        return pa.Table.from_batches(flushed(replies(), REPLY_TYPES, REPLY_NAMES), REPLY_SHAPE)
 
-    return flushed(replies(), REPLY_TYPES, REPLY_NAMES)
+    return answer
 
 
-def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def advances(beam: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sorted REPLY rows, a query's state first and its replies after, to the next state."""
 
-    def finish(q, v, seen, want, ids, scores, near):
+    def finish(q, v, ids, scores, near):
         known = len(ids[0])
         all_ids, all_scores = np.concatenate(ids), np.concatenate(scores)
-        top = np.lexsort((all_ids, -all_scores))[:BEAM]
+        # a node asked for again while it is in the beam counts once, as known
+        once = np.sort(np.unique(all_ids, return_index=True)[1])
+        top = once[np.lexsort((all_ids[once], -all_scores[once]))[:beam]]
         fresh = top[top >= known] - known
-        seen = np.union1d(seen, want)
-        new = np.setdiff1d(np.concatenate(near).reshape(-1, K)[fresh], seen) if len(fresh) else NONE
-        return q, 0, v, all_ids[top], all_scores[top], NONE, seen, new[new >= 0]
+        new = np.setdiff1d(np.concatenate(near).reshape(-1, K)[fresh], np.append(all_ids[top], [q, -1])) if len(fresh) else NONE
+        return q, 0, v, all_ids[top], all_scores[top], NONE, new
 
-    def states():
+    def states(batches):
         now = None
         for b in batches:
             q, kind = b.column("q").to_pylist(), b.column("kind").to_pylist()
-            v, ids, scores, near, seen, want = (Lists(b.column(c)) for c in ("v", "ids", "scores", "near", "seen", "want"))
+            v, ids, scores, near = (Lists(b.column(c)) for c in ("v", "ids", "scores", "near"))
             for i, who in enumerate(q):
                 if kind[i] == 0:
                     if now is not None:
                         yield finish(*now)
-                    now = (who, v[i].copy(), seen[i].copy(), want[i].copy(), [ids[i].copy()], [scores[i].copy()], [])
+                    now = (who, v[i].copy(), [ids[i].copy()], [scores[i].copy()], [])
                 else:
-                    now[4].append(ids[i].copy())
-                    now[5].append(scores[i].copy())
-                    now[6].append(near[i].copy())
+                    now[2].append(ids[i].copy())
+                    now[3].append(scores[i].copy())
+                    now[4].append(near[i].copy())
         if now is not None:
             yield finish(*now)
 
-    return flushed(states(), REPLY_TYPES, REPLY_NAMES)
+    return lambda batches: flushed(states(batches), REPLY_TYPES, REPLY_NAMES)
 
 
 def shape_of(ddl: str) -> tuple[list[pa.DataType], list[str]]:
@@ -383,46 +429,56 @@ def shape_of(ddl: str) -> tuple[list[pa.DataType], list[str]]:
     return [kind(t) for _, t in fields], [n for n, _ in fields]
 
 
-TYPES, NAMES = shape_of(ROW)
+ASKED_TYPES, ASKED_NAMES = shape_of(ASKED)
 REPLY_TYPES, REPLY_NAMES = shape_of(REPLY)
+REPLY_SHAPE = pa.schema(list(zip(REPLY_NAMES, REPLY_TYPES)))
 
 
-def search(spark: SparkSession, graph: DataFrame, nodes: DataFrame, starts: DataFrame, scratch: Scratch, n: int) -> DataFrame:
-    """q, ids and scores (best first) of each query node in `starts.node`."""
-    buckets = max(1, n // BUCKET)
+def stored(spark: SparkSession, nodes: DataFrame, graph: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
+    """The nodes as a table bucketed by `bucket`, so that a join on it leaves them where they are."""
 
     def place(batches):
         for b in batches:
             home = pa.array(bucket_of(b.column("node").to_numpy(), buckets))
-            k = b.num_rows
-            yield pa.RecordBatch.from_arrays([home, pa.array(np.zeros(k, np.int32)), b.column("node"), b.column("v").cast(pa.list_(pa.float64())), pa.array(np.zeros(k)), b.column("ids")], NAMES)
+            yield pa.RecordBatch.from_arrays([home, b.column("node"), b.column("v").cast(pa.list_(pa.float64())), b.column("ids")], ["bucket", "id", "v", "ids"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return scratch.bucketed(arrow(nodes.join(graph, "node").select("node", "v", "ids"), place, STORE), parts, "bucket")
 
-    store = scratch.save(arrow(nodes.join(graph, "node").select("node", "v", "ids"), place, ROW))
+
+def search(spark: SparkSession, graph: DataFrame, nodes: DataFrame, starts: DataFrame, scratch: Scratch, n: int, beam: int) -> DataFrame:
+    """q, ids and scores (best first) of each query node in `starts.node`."""
+    buckets = max(1, n // BUCKET)
+    store = stored(spark, nodes, graph, scratch, buckets)
     own = starts.join(nodes, "node").join(graph, "node")
     none = F.array().cast("array<bigint>")
-    state = scratch.save(own.select(F.col("node").alias("q"), F.lit(0).alias("kind"), F.col("v").cast("array<double>").alias("v"), none.alias("ids"), F.array().cast("array<double>").alias("scores"), none.alias("near"), F.array("node").alias("seen"), F.col("ids").alias("want")))
-    for _ in range(MAX_STEPS):
-        asked = dealt(store.unionByName(ask(state, buckets)), ["bucket"], "kind")
-        replies = arrow(asked, answer, REPLY)
+    state = scratch.save(own.select(F.col("node").alias("q"), F.lit(0).alias("kind"), F.col("v").cast("array<double>").alias("v"), none.alias("ids"), F.array().cast("array<double>").alias("scores"), none.alias("near"), F.col("ids").alias("want")))
+    open_ = True
+    while open_:
+        replies = store.groupBy("bucket").cogroup(ask(state, buckets, beam).groupBy("bucket")).applyInArrow(answers(beam), REPLY)
         left = Observation()
-        moved = arrow(dealt(state.unionByName(replies), ["q"], "kind"), advance, REPLY)
+        moved = arrow(dealt(state.unionByName(replies), ["q"], "kind"), advances(beam), REPLY)
         after = scratch.save(moved.observe(left, F.count(F.when(F.size("want") > 0, 1)).alias("n")))
         scratch.drop(state)
         state = after
-        if not left.get["n"]:
-            break
+        open_ = left.get["n"] > 0
+    scratch.forget(store)
     return state.select("q", "ids", "scores")
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 20, beam: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row that `is_query` (of vec_id) picks."""
     scratch = Scratch(spark, "ann")
     rows = scratch.save(valid(vectors))
+    sizes = sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect())
+    found = [nearest_of_size(spark, rows.where(F.size("v") == d) if len(sizes) > 1 else rows, is_query, k, beam, scratch) for d in sizes]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+
+
+def nearest_of_size(spark: SparkSession, rows: DataFrame, is_query: Column, k: int, beam: int | None, scratch: Scratch) -> DataFrame:
+    """`nearest` for vectors of one dimension, vec_id and v."""
     nodes = scratch.save(rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
     n = nodes.count()
-    shape = "query_id bigint, rank int, vec_id bigint, score double"
-    if n == 0:
-        return spark.createDataFrame([], shape)
     graph = build(spark, nodes, scratch, n) if n > 1 else None
     named = rows.join(nodes.where("copies > 1").select("v", "node"), "v").select("node", "vec_id")
     # of copies the k + 1 smallest ids are enough; first by task, so a vector that is everywhere is small when its ids meet
@@ -433,7 +489,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     own = starts.join(nodes, "node").select(F.col("node").alias("q"), "node", F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x * x).alias("score"))
     found = own
     if graph is not None:
-        hits = scratch.save(search(spark, graph, nodes.select("node", "v"), starts, scratch, n))
+        wide = max(4 * k, beam or BEAM * int(np.ceil(np.log2(n))))
+        hits = scratch.save(search(spark, graph, nodes.select("node", "v"), starts, scratch, n, wide))
         found = found.unionByName(hits.select("q", F.explode(F.arrays_zip("ids", "scores")).alias("e")).select("q", F.col("e.ids").alias("node"), F.col("e.scores").alias("score")))
     each = found.join(copies, "node", "left").select("q", "score", F.explode(F.coalesce("members", F.array("node"))).alias("vec_id"))
     # at most the beam's nodes times k + 1 a query
