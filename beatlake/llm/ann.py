@@ -166,15 +166,16 @@ def dealt(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
-def halved(x: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
+def halved(x: np.ndarray, scale: float) -> pa.Array:
+    """Rows in half precision, scaled so that none overflows; only the graph is ranked by them."""
+    return pa.array([r.tobytes() for r in (x.astype(np.float64) * scale).astype(np.float16)], pa.binary())
 
 
 def whole(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
 
 
-def first_lists(nodes: DataFrame, n: int, trees: int, scratch: Scratch) -> DataFrame:
+def first_lists(nodes: DataFrame, n: int, trees: int, scale: float, scratch: Scratch) -> DataFrame:
     """Lists from the random projection trees: GRAPH rows, one for each node and tree. Vectors travel in half precision."""
     d = nodes.select(F.size("v").alias("d")).first()["d"]
     rows = nodes.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, max(64, SAMPLE_NUMBERS // d))).select("v").collect()
@@ -184,7 +185,7 @@ def first_lists(nodes: DataFrame, n: int, trees: int, scratch: Scratch) -> DataF
     def send(batches):
         for b in batches:
             x = matrix(b.column("v")).astype(np.float32)
-            half = halved(x)
+            half = halved(x, scale)
             for t, tree in enumerate(fitted):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(leaf(x, tree)), b.column("node"), half], ["tree", "leaf", "node", "x"])
 
@@ -274,9 +275,11 @@ def build(spark: SparkSession, nodes: DataFrame, scratch: Scratch, n: int, trees
 
     def halve(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), halved(matrix(b.column("v")))], ["node", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), halved(matrix(b.column("v")), scale)], ["node", "x"])
 
-    graph = scratch.save(merged(first_lists(nodes, n, trees, scratch), K))
+    # a component is 1 at most
+    scale = 1.0 / float(nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0])
+    graph = scratch.save(merged(first_lists(nodes, n, trees, scale, scratch), K))
     halves = scratch.save(arrow(nodes.select("node", "v"), halve, "node bigint, x binary"))
     while True:
         now = scratch.save(merged(graph.unionByName(descend(graph, halves)), K))

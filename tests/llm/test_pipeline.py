@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from beatlake.llm import mixing, packing, queries, secrets, toxicity
@@ -22,6 +23,8 @@ def folder(spark, tmp_path_factory):
         if i % 9 == 0:
             t += ' token = "abcdef123456"'
         rows.append((i, t, "en", f"src{i % 6}", len(t)))
+    # null and empty texts, a repeated row, one id with two texts, a null source, a null id
+    rows += [(501, None, None, None, None), (502, "", "en", "src1", 0), rows[3], (503, prose(40, 9001), "en", None, 1), (503, prose(40, 9002), "en", "src2", 1), (None, prose(40, 9003), "en", "src1", 1)]
     path = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(150)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -33,11 +36,13 @@ def test_run_like_plain_stages(spark, folder):
 
     path, rows = folder
     got = corpus_pipeline.run(spark, path).collect()
-    docs = [r for r in rows if r[0] % 7]  # toxic ones go
-    root = roots([r[0] for r in docs], {r[0]: brute_simhash(r[1]) for r in docs}, 3)
-    docs = [r for r in docs if root[r[0]] == r[0]]
+    docs = sorted((r for r in rows if r[0] is None or r[0] % 7 or r[0] > 200), key=lambda r: (r[0] is None, r[0] or 0))  # toxic ones go
+    root = roots(list(range(len(docs))), [brute_simhash(r[1]) for r in docs], 3)
+    docs = [r for i, r in enumerate(docs) if root[i] == i]
 
     def masked(text):
+        if text is None:
+            return None
         out, at = "", 0
         for a, _, z in brute_spans(text):
             out += text[at:a] + secrets.MASK
@@ -48,15 +53,15 @@ def test_run_like_plain_stages(spark, folder):
     mass = {}
     for r in docs:
         k = r[3] if r[3] in mixing.WEIGHTS else None
-        mass[k] = mass.get(k, 0) + len(r[1])
+        mass[k] = mass.get(k, 0) + len(r[1] or "")
     t = Tokenizer.from_file(queries.tokenizer())
     want = {}
     for r in docs:
         k = r[3] if r[3] in mixing.WEIGHTS else None
         rate = mixing.WEIGHTS.get(k, mixing.OTHER) * sum(mass.values()) / mass[k]
-        u = int(hashlib.md5(f"{mixing.SEED}:{r[0]}".encode()).hexdigest()[:12], 16) / 16**12
+        u = int(hashlib.md5(f"{mixing.SEED}:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:12], 16) / 16**12
         if n := poisson(u, rate):
-            want[r[0]] = n * (len(t.encode(r[1], add_special_tokens=False).ids) + 1)
+            want[r[0]] = want.get(r[0], 0) + n * (len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1)
     mine = {}
     for r in got:
         mine[r["doc_id"]] = mine.get(r["doc_id"], 0) + r["length"]
@@ -69,10 +74,11 @@ def test_run_like_plain_stages(spark, folder):
 
 def test_stages_keep_the_columns(spark, folder):
     path, _ = folder
-    docs = spark.read.parquet(f"{path}/documents.parquet")
+    clash = ("copies", "rate", "copy_no", "mix_key", "spans", "text_key", "is_toxic", "p_toxic", "fp", "row", "raw", "id", "c0")
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit("clash") for c in clash})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, path)
-        assert out.columns == docs.columns
+        assert out.columns == docs.columns and out.where(" or ".join(f"{c} <> 'clash'" for c in clash)).count() == 0
         assert stage(spark, docs.limit(0), path).count() == 0
     assert set(packing.PIECES.names) < set(corpus_pipeline.STAGES[-1][1](spark, docs, path).columns)
 
@@ -81,7 +87,7 @@ def test_clean_documents_stay(spark, folder):
     path, rows = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
     kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, path).collect()}
-    assert kept == {r[0] for r in rows if r[0] % 7}
+    assert kept == {r[0] for r in rows if r[0] is None or r[0] % 7 or r[0] > 200}
     assert toxicity.THRESHOLD == 0.5
 
 
