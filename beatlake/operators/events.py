@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,16 +50,25 @@ def merge_overlaps(events: DataFrame, keys: Keys, start: str = "t_start", end: s
 
 
 def refractory(rows: DataFrame, keys: Keys, t: str, hold: float) -> DataFrame:
-    """Times that are at least `hold` after the last one kept: a fold over each recording's sorted times."""
-    times = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(t).cast("double"))).alias("_t"))
-    start = F.array().cast("array<double>")
-    kept = F.aggregate(
-        "_t",
-        F.struct(F.lit(None).cast("double").alias("last"), start.alias("out")),
-        lambda acc, x: F.when(acc["last"].isNull() | (x - acc["last"] >= hold), F.struct(x.alias("last"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc),
-        lambda acc: acc["out"],
-    )
-    return times.select(*keys, F.explode(kept).alias(t))
+    """Times that are at least `hold` after the last one kept: one pass over each recording's sorted times, which carries the last one alone."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = rows.select(*keys, F.col(t).cast("double").alias(t)).where(F.col(t).isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, -np.inf
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(keys))]
+            kept = []
+            for i, x in enumerate(batch.column(len(keys)).to_pylist()):
+                key = tuple(c[i] for c in columns)
+                if key != now:
+                    now, last = key, -np.inf
+                if x - last >= hold:
+                    last = x
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return given.repartition(n, *keys).sortWithinPartitions(*keys, t).mapInArrow(run, given.schema)
 
 
 def refractory_events(rows: DataFrame, keys: Keys, order: list[str], t: str, value: str, threshold: Column | float, gap: float, min_duration: float, hold: float) -> DataFrame:

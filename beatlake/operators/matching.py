@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from beatlake.functions.scalars import correlation
@@ -14,6 +13,8 @@ from beatlake.functions.scalars import correlation
 Keys = list[str]
 # Rows either side may be off by in floating point.
 SLACK = 1e-9
+#: Events of a recording that are matched in one task, or as many as have no gap.
+PIECE = 4096
 
 
 def band_match(ref: DataFrame, test: DataFrame, keys: Keys, t: str, tol: float) -> DataFrame:
@@ -43,18 +44,28 @@ def walk(a: np.ndarray, b: np.ndarray, tol: float) -> tuple[list[int], list[int]
     return left, right
 
 
-def greedy_match(ref: DataFrame, test: DataFrame, keys: Keys, t: str, tol: float, shift: float = 0.0) -> DataFrame:
+def greedy_match(ref: DataFrame, test: DataFrame, keys: Keys, t: str, tol: float | list[float], shift: float = 0.0, piece: int = PIECE) -> DataFrame:
     """One row an event: kind TP (t_ref and t_test), FN (t_ref) or FP (t_test); the test train is moved by `shift` first.
 
-    Sequential within a recording, so a recording is one group; an empty train
-    leaves only FN or FP.
+    Sequential within a recording, but no match spans a gap longer than the
+    tolerance; so a recording is cut at the first such gap after every `piece`
+    events, and its pieces are matched apart. An empty train leaves only FN or
+    FP. With a list of tolerances each is matched in the same plan, and tol_s
+    is a column.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (ref.schema[k] for k in keys))
-    both = ref.select(*keys, F.col(t).cast("double").alias("_t"), F.lit(0).alias("_s")).unionByName(test.select(*keys, (F.col(t).cast("double") + shift).alias("_t"), F.lit(1).alias("_s")))
+    many = isinstance(tol, list)
+    spine = F.array(*(F.lit(float(x)) for x in (tol if many else [tol])))
+    side = lambda df, s, moved: df.select(*keys, (F.col(t).cast("double") + moved).alias("_t"), F.lit(s).alias("_s"))
+    both = side(ref, 0, 0.0).unionByName(side(test, 1, float(shift))).withColumn("_tol", F.explode(spine))
+    w = W.partitionBy(*keys, "_tol").orderBy("_t", "_s")
+    apart = F.coalesce(F.col("_t") - F.lag("_t").over(w) > F.col("_tol") + 2 * SLACK, F.lit(True))
+    numbered = both.withColumns({"_cut": apart, "_i": F.row_number().over(w)})
+    pieces = numbered.withColumn("_p", F.floor(F.last(F.when(F.col("_cut"), F.col("_i")), True).over(w.rowsBetween(W.unboundedPreceding, 0)) / piece)).drop("_cut", "_i")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (ref.schema[k] for k in keys)) + (", tol_s double" if many else "")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (np.sort(pdf["_t"][pdf["_s"] == s].to_numpy()) for s in (0, 1))
-        left, right = walk(a, b, tol)
+        left, right = walk(a, b, float(pdf["_tol"].iloc[0]))
         fn, fp = np.delete(a, left), np.delete(b, right)
         out = pd.DataFrame({
             "kind": ["TP"] * len(left) + ["FN"] * len(fn) + ["FP"] * len(fp),
@@ -62,11 +73,13 @@ def greedy_match(ref: DataFrame, test: DataFrame, keys: Keys, t: str, tol: float
             "t_test": np.concatenate([b[right], np.full(len(fn), np.nan), fp]),
         })
         out = out.astype({"t_ref": "Float64", "t_test": "Float64"})
+        if many:
+            out.insert(0, "tol_s", pdf["_tol"].iloc[0])
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    return both.groupBy(*keys).applyInPandas(run, f"{fields}, kind string, t_ref double, t_test double")
+    return pieces.groupBy(*keys, "_tol", "_p").applyInPandas(run, f"{fields}, kind string, t_ref double, t_test double")
 
 
 def metrics(matched: DataFrame, keys: Keys) -> DataFrame:
@@ -171,6 +184,5 @@ def minute_scores(matched: DataFrame, keys: Keys, step: float = 60.0) -> DataFra
 
 
 def tolerance_sweep(ref: DataFrame, test: DataFrame, keys: Keys, t: str, tolerances: list[float]) -> DataFrame:
-    """Match metrics at each tolerance."""
-    each = [metrics(greedy_match(ref, test, keys, t, tol), keys).withColumn("tol_s", F.lit(float(tol))) for tol in tolerances]
-    return reduce(DataFrame.unionByName, each)
+    """Match metrics at each tolerance, all in one plan."""
+    return metrics(greedy_match(ref, test, keys, t, tolerances), [*keys, "tol_s"])

@@ -10,10 +10,10 @@ from beatlake.operators import intervals as I
 from beatlake.operators import matching as M
 from beatlake.operators import signal as S
 from beatlake.operators.segments import event_profile, sliding
-from beatlake.plans.q_beats import ORDER, RR, TYPE, intervals
-from beatlake.plans.q_events import HOUR, TRUTH, USER, trains, truth
+from beatlake.plans.q_beats import ORDER, RR, intervals
+from beatlake.plans.q_events import HOUR, PAIR, TRUTH, USER, rates_sql, trains, truth, walk_sql
 from beatlake.plans.q_quality import WIN, six_hours
-from beatlake.plans.q_signal import FS, segments
+from beatlake.plans.q_signal import FS, PSD, band_sql, segments
 from beatlake.plans.registry import E, events_table, query, rounded, table
 
 
@@ -23,7 +23,7 @@ def short_annotations(spark, sf_dir):
     return rounded(A.short_annotations(e, "t", "f").select("event_id", "duration_s"), "duration_s", digits=4)
 
 
-@query("audit_candidates")
+@query("audit_candidates", f"{PAIR}, {walk_sql('21600.0')}, {rates_sql('user_id')} SELECT user_id, round(f1, 6) AS f1, fn + fp AS mismatches FROM g WHERE coalesce(f1 < 0.2 OR fn + fp > 15 OR p95 > 2e7, TRUE)")
 def audit_candidates(spark, sf_dir):
     a, b = trains(spark, sf_dir)
     x = M.metrics(M.greedy_match(a, b, USER, "t", 6 * HOUR), USER)
@@ -58,11 +58,11 @@ def painted_scores(spark, sf_dir):
     return rounded(x.select("user_id", "event_id", "mx"), "mx", digits=8)
 
 
-@query("compare_definitions", f"""WITH {RR}, x AS (SELECT event_type, rr, quantile_cont(rr, 0.5) OVER (PARTITION BY event_type ORDER BY t, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM rr)
-SELECT event_type, count(*) AS n, round(corr(rr, m), 6) AS corr, round(median(abs(rr - m)), 3) AS median_abs_diff, round(quantile_cont(abs(rr - m), 0.99), 3) AS p99_abs_diff FROM x GROUP BY 1""")
+@query("compare_definitions", f"""WITH {RR}, x AS (SELECT user_id, rr, quantile_cont(rr, 0.5) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM rr)
+SELECT user_id, count(*) AS n, round(corr(rr, m), 6) AS corr, round(median(abs(rr - m)), 3) AS median_abs_diff, round(quantile_cont(abs(rr - m), 0.99), 3) AS p99_abs_diff FROM x GROUP BY 1""")
 def compare_definitions(spark, sf_dir):
-    x = B.median_beats(intervals(spark, sf_dir), TYPE, ORDER, mode="shrink", out="m")
-    x = A.compare_definitions(x, TYPE, "rr", "m").select("event_type", "n", "corr", "median_abs_diff", "p99_abs_diff")
+    x = B.median_beats(intervals(spark, sf_dir), USER, ORDER, mode="shrink", out="m")
+    x = A.compare_definitions(x, USER, "rr", "m").select("user_id", "n", "corr", "median_abs_diff", "p99_abs_diff")
     return rounded(rounded(x, "corr"), "median_abs_diff", "p99_abs_diff", digits=3)
 
 
@@ -84,15 +84,15 @@ def beat_sqi(spark, sf_dir):
     return rounded(A.beat_sqi(A.beat_correlation(segments(spark, sf_dir), ["label"], "vec_id"), ["label"]), "mean_corr", "share_good")
 
 
-@query("rr_consistency", f"WITH {RR}, x AS (SELECT event_type, rr, lag(rr) OVER (PARTITION BY event_type ORDER BY t, event_id) AS p FROM rr) SELECT event_type, round(avg((abs(rr - p) <= 0.2 * p)::INT), 6) AS consistency FROM x WHERE p IS NOT NULL GROUP BY 1")
+@query("rr_consistency", f"WITH {RR}, x AS (SELECT user_id, rr, lag(rr) OVER (PARTITION BY user_id ORDER BY t, event_id) AS p FROM rr) SELECT user_id, round(avg((abs(rr - p) <= 0.2 * p)::INT), 6) AS consistency FROM x WHERE p IS NOT NULL GROUP BY 1")
 def rr_consistency(spark, sf_dir):
-    return rounded(A.rr_consistency(intervals(spark, sf_dir), TYPE, ORDER), "consistency")
+    return rounded(A.rr_consistency(intervals(spark, sf_dir), USER, ORDER), "consistency")
 
 
-@query("mse_offset", """WITH s AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, LATERAL (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), b AS (SELECT (label + 1) % 10 AS label, i, x FROM s WHERE label < 10), o AS (SELECT r AS rank, r - 5 AS off FROM range(11) t(r)),
-g AS (SELECT a.label, rank, off, round(avg((a.x - b.x) ** 2), 9) AS mse FROM s a JOIN b ON a.label = b.label JOIN o ON a.i = b.i + off WHERE a.label < 10 GROUP BY ALL) SELECT label, off AS "offset", round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mse, rank) AS rn FROM g) WHERE rn = 1""")
+@query("mse_offset", """WITH s AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, LATERAL (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), b AS (SELECT (label + 1) % 10 AS label, i, x FROM s), o AS (SELECT r AS rank, r - 5 AS off FROM range(11) t(r)),
+g AS (SELECT a.label, rank, off, round(avg((a.x - b.x) ** 2), 9) AS mse FROM s a JOIN b ON a.label = b.label JOIN o ON a.i = b.i + off GROUP BY ALL) SELECT label, off AS "offset", round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mse, rank) AS rn FROM g) WHERE rn = 1""")
 def mse_offset(spark, sf_dir):
-    s = segments(spark, sf_dir).where("label < 10").select("label", F.posexplode("samples").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    s = segments(spark, sf_dir).select("label", F.posexplode("samples").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     b = s.withColumn("label", (F.col("label") + 1) % 10)
     return rounded(A.mse_offset(s, b, ["label"], "i", "x", list(range(-5, 6))), "mse")
 
@@ -114,9 +114,9 @@ def sliding_windows(spark, sf_dir):
     return sliding(r, "dur", 48 * HOUR, 24 * HOUR).select("user_id", "window_idx", "win_start_s", "win_end_s")
 
 
-@query("noise_index")
+@query("noise_index", f"WITH {PSD}, {band_sql({'lf': (0, 4), 'hf': (56, 64)})} SELECT vec_id, round(least(1.0, 5 * max(share) FILTER (WHERE band = 'lf') + 20 * max(share) FILTER (WHERE band = 'hf')), 6) AS noise_index FROM sh GROUP BY 1")
 def noise_index(spark, sf_dir):
-    p = S.band_powers(S.psd(segments(spark, sf_dir), ["vec_id"], "samples", FS, 64), ["vec_id"], {"lf": (0.0, 1.0), "hf": (28.0, 32.0)})
+    p = S.band_powers(S.psd(segments(spark, sf_dir), ["vec_id"], "samples", FS, 64), ["vec_id"], {"lf": (0.0, 4.0), "hf": (56.0, 64.0)})
     x = p.groupBy("vec_id").pivot("band", ["lf", "hf"]).agg(F.first("share"))
     return rounded(x.select("vec_id", A.noise_index(F.col("lf"), F.col("hf")).alias("noise_index")), "noise_index")
 

@@ -229,6 +229,19 @@ n AS (SELECT user_id, count(a.t) AS na FROM u LEFT JOIN a USING (user_id) GROUP
 SELECT user_id, tp, na - tp AS fn, nb - tp AS fp, round(tp / nullif(na, 0), 6) AS sens, round(tp / nullif(nb, 0), 6) AS ppv, round(2 * tp / nullif(na + nb, 0), 6) AS f1 FROM m JOIN n USING (user_id) JOIN o USING (user_id)"""
 
 
+def walk_sql(tol: str) -> str:
+    """Steps of the greedy match in SQL: the pair (i, j) that each step looks at and its time difference, by `tol` seconds."""
+    return f"""u AS (SELECT DISTINCT user_id FROM a UNION SELECT DISTINCT user_id FROM b), k AS (SELECT user_id, 1 AS i, 1 AS j FROM u UNION ALL
+SELECT k.user_id, k.i + CASE WHEN b.t - a.t >= -({tol}) - 1e-9 THEN 1 ELSE 0 END, k.j + CASE WHEN b.t - a.t <= {tol} + 1e-9 THEN 1 ELSE 0 END FROM k JOIN a ON a.user_id = k.user_id AND a.i = k.i JOIN b ON b.user_id = k.user_id AND b.j = k.j),
+tp AS (SELECT a.user_id, a.t AS t_ref, b.t AS t_test, k.i, k.j FROM k JOIN a ON a.user_id = k.user_id AND a.i = k.i JOIN b ON b.user_id = k.user_id AND b.j = k.j WHERE abs(b.t - a.t) <= {tol} + 1e-9),
+mt AS (SELECT user_id, 'TP' AS kind, t_ref, t_test FROM tp UNION ALL SELECT user_id, 'FN', t, NULL FROM a WHERE NOT EXISTS (SELECT 1 FROM tp WHERE tp.user_id = a.user_id AND tp.i = a.i) UNION ALL SELECT user_id, 'FP', NULL, t FROM b WHERE NOT EXISTS (SELECT 1 FROM tp WHERE tp.user_id = b.user_id AND tp.j = b.j))"""
+
+
+def rates_sql(by: str) -> str:
+    n = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k.lower()}" for k in ("TP", "FN", "FP"))
+    return f"c AS (SELECT {by}, {n}, median((t_test - t_ref) * 1000) FILTER (WHERE kind = 'TP') AS md, quantile_cont(abs(t_test - t_ref) * 1000, 0.95) FILTER (WHERE kind = 'TP') AS p95 FROM mt GROUP BY ALL), g AS (SELECT *, tp / nullif(tp + fn, 0) AS sens, tp / nullif(tp + fp, 0) AS ppv, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM c)"
+
+
 def trains(spark, sf_dir):
     e = events_table(spark, sf_dir)
     return e.where("event_type = 'click'").select("user_id", "t"), e.where("event_type = 'view'").select("user_id", "t")
@@ -290,22 +303,28 @@ def rr_agreement(spark, sf_dir):
     return rounded(rounded(x.select("k", "n_common", "rr_mae_ms", "rr_rmse_ms", "mean_hr_ref"), "rr_mae_ms", "rr_rmse_ms", digits=3), "mean_hr_ref", digits=5)
 
 
-@query("peak_error_log")
+@query("peak_error_log", f"{PAIR}, {walk_sql('21600.0')} SELECT user_id, kind AS error_type, round(coalesce(t_ref, t_test), 6) AS t_s, floor(coalesce(t_ref, t_test) / 3600)::BIGINT AS window_idx, 21600.0::DOUBLE AS tol_s, round((t_test - t_ref) * 1000, 3) AS dt_ms FROM mt")
 def peak_error_log(spark, sf_dir):
     a, b = trains(spark, sf_dir)
-    return M.error_log(M.greedy_match(a, b, USER, "t", 6 * HOUR), HOUR, 6 * HOUR, with_tp=True)
+    x = M.error_log(M.greedy_match(a, b, USER, "t", 6 * HOUR), HOUR, 6 * HOUR, with_tp=True)
+    return rounded(rounded(x, "t_s"), "dt_ms", digits=3)
 
 
-@query("minute_scores")
+@query("minute_scores", f"{PAIR}, {walk_sql('21600.0')}, {rates_sql('user_id, floor(coalesce(t_ref, t_test) / 86400)::BIGINT AS bin')} SELECT user_id, bin, tp, fn, fp, round(sens, 6) AS sens, round(ppv, 6) AS ppv, round(f1, 6) AS f1 FROM g")
 def minute_scores(spark, sf_dir):
     a, b = trains(spark, sf_dir)
-    return M.minute_scores(M.greedy_match(a, b, USER, "t", 6 * HOUR), USER, 24 * HOUR)
+    return rounded(M.minute_scores(M.greedy_match(a, b, USER, "t", 6 * HOUR), USER, 24 * HOUR), "sens", "ppv", "f1")
+
+
+SWEEP = "WITH RECURSIVE " + E + ", v AS (SELECT * FROM (VALUES (3600.0::DOUBLE), (21600.0)) v(tol_s)), a AS (SELECT user_id, tol_s, t, row_number() OVER (PARTITION BY user_id, tol_s ORDER BY t) AS i FROM e, v WHERE event_type = 'click'), b AS (SELECT user_id, tol_s, t, row_number() OVER (PARTITION BY user_id, tol_s ORDER BY t) AS j FROM e, v WHERE event_type = 'view'), "
+SWEEP += walk_sql("a.tol_s").replace("user_id FROM", "user_id, tol_s FROM").replace("SELECT user_id, 1 AS i", "SELECT user_id, tol_s, 1 AS i").replace("SELECT k.user_id,", "SELECT k.user_id, k.tol_s,").replace("SELECT a.user_id,", "SELECT a.user_id, a.tol_s,").replace("a.user_id = k.user_id", "a.user_id = k.user_id AND a.tol_s = k.tol_s").replace("b.user_id = k.user_id", "b.user_id = k.user_id AND b.tol_s = k.tol_s").replace("SELECT user_id, '", "SELECT user_id, tol_s, '").replace("tp.user_id = a.user_id", "tp.user_id = a.user_id AND tp.tol_s = a.tol_s").replace("tp.user_id = b.user_id", "tp.user_id = b.user_id AND tp.tol_s = b.tol_s")
 
 
-@query("tolerance_sweep")
+@query("tolerance_sweep", f"{SWEEP}, {rates_sql('user_id, tol_s')} SELECT user_id, tol_s, tp, fn, fp, round(md, 3) AS median_dt_ms, round(p95, 3) AS p95_abs_dt_ms, round(sens, 6) AS sens, round(ppv, 6) AS ppv, round(f1, 6) AS f1 FROM g")
 def tolerance_sweep(spark, sf_dir):
     a, b = trains(spark, sf_dir)
-    return M.tolerance_sweep(a, b, USER, "t", [HOUR, 6 * HOUR])
+    x = M.tolerance_sweep(a, b, USER, "t", [HOUR, 6 * HOUR])
+    return rounded(rounded(x, "sens", "ppv", "f1"), "median_dt_ms", "p95_abs_dt_ms", digits=3)
 
 
 @query("segment_index", f"""WITH {E}, {TRUTH}, r AS (SELECT user_id, max(t) AS dur FROM e GROUP BY 1), w AS (SELECT user_id, i AS window_idx, i * 21600.0::DOUBLE AS a, (i + 1) * 21600.0::DOUBLE AS b FROM r, LATERAL (SELECT unnest(range(floor(dur / 21600)::BIGINT)) AS i))

@@ -8,7 +8,8 @@ from beatlake.operators import beats as B
 from beatlake.operators import events as V
 from beatlake.operators import scoring as S
 from beatlake.operators import thresholds as T
-from beatlake.plans.q_beats import FEATURES, ORDER, TYPE, intervals
+from beatlake.plans import studies
+from beatlake.plans.q_beats import FEATURES, ORDER, RR, N, intervals
 from beatlake.plans.q_events import HOUR, TRUTH, USER, truth
 from beatlake.plans.q_quality import WIN, six_hours
 from beatlake.plans.registry import E, events_table, query, rounded
@@ -124,15 +125,53 @@ def peak_scores(spark, sf_dir):
     return S.peak_scores(found, truth(spark, sf_dir), USER, "t_peak", ("t0", "t1"), 2 * HOUR)
 
 
-@query("detection_study", f"""{FEATURES}, v AS (SELECT event_type, event_id, t_s, modcsi * slope AS x FROM feat), sp AS (SELECT event_type, max(t_s) / 2 AS half, max(x) AS g FROM v GROUP BY 1),
-th AS (SELECT sp.event_type, 1.05 * coalesce(max(v.x), any_value(g)) AS thr FROM sp LEFT JOIN v ON v.event_type = sp.event_type AND v.t_s < half GROUP BY 1), ov AS (SELECT v.* FROM v JOIN th USING (event_type) WHERE x > thr),
-o AS (SELECT *, CASE WHEN t_s - lag(t_s) OVER (PARTITION BY event_type ORDER BY t_s, event_id) > 3600 THEN 1 ELSE 0 END AS b FROM ov), i AS (SELECT *, sum(b) OVER (PARTITION BY event_type ORDER BY t_s, event_id) AS isl FROM o)
-SELECT event_type, round(min(t_s), 6) AS t_start, round(max(t_s), 6) AS t_end, round(max(x), 3) AS peak_value, count(*) AS n_points FROM i GROUP BY event_type, isl""")
+#: Beats of two sources for each recording, windows and annotated events on the axis from its first beat, features, thresholds of patients, events by mode.
+STUDY = f"""WITH {RR}, fst AS (SELECT user_id, min(t) AS tf FROM e GROUP BY 1), truth AS (SELECT user_id, t - tf - 300 AS t0, t - tf + 300 AS t1 FROM e JOIN fst USING (user_id) WHERE event_type = 'error' AND value > 150),
+win AS (SELECT user_id, floor((t - tf) / 21600)::BIGINT AS window_idx, max(value) <= 150 AS ok FROM e JOIN fst USING (user_id) GROUP BY 1, 2), s AS (SELECT user_id, v.rr_source, event_id, t, CASE WHEN v.rr_source = 'labview' THEN rr ELSE rr + event_id % 7 END AS rr FROM rr, (VALUES ('labview'), ('python')) v(rr_source)), c AS"""
+STUDY += FEATURES.split(", c AS", 1)[1].replace("FROM rr),", "FROM s),").replace("PARTITION BY user_id", "PARTITION BY rr_source, user_id").replace("feat AS (SELECT user_id,", "feat AS (SELECT rr_source, user_id,")
+STUDY += f""", x AS (SELECT user_id % 10 AS patient_id, user_id AS recording_uid, t_s AS t, modcsi * slope AS value FROM feat WHERE rr_source = 'labview'), {AUTO.format('rn = 1').split("FROM e), ", 1)[1].replace("m AS (SELECT h.", "free AS (SELECT h.").replace("first_96h', 345600.0", "first_20d', 1728000.0").replace("first_48h', 172800.0", "first_14d', 1209600.0")},
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY rank) AS rn FROM free) WHERE rn = 1), wm AS (SELECT patient_id, max(value) AS g FROM x GROUP BY 1), th AS (SELECT wm.patient_id, 1.05 * coalesce(m, g) AS thr FROM wm LEFT JOIN b USING (patient_id)),
+pt AS (SELECT f.rr_source, f.user_id, f.event_id, f.t_s, f.modcsi * f.slope AS v, coalesce(w.ok, TRUE) AS ok FROM feat f LEFT JOIN win w ON w.user_id = f.user_id AND w.window_idx = floor(f.t_s / 21600)::BIGINT), q AS (SELECT 'off' AS sqi, * FROM pt UNION ALL SELECT 'on', * FROM pt WHERE ok),
+o AS (SELECT q.*, CASE WHEN t_s - lag(t_s) OVER (PARTITION BY sqi, rr_source, user_id ORDER BY t_s, event_id) > 43200 THEN 1 ELSE 0 END AS b FROM q JOIN th ON th.patient_id = q.user_id % 10 WHERE v > thr), i AS (SELECT *, sum(b) OVER (PARTITION BY sqi, rr_source, user_id ORDER BY t_s, event_id) AS isl FROM o),
+f0 AS (SELECT rr_source, sqi, user_id, min(t_s) AS f0, max(t_s) AS f1, max(v) AS peak, count(*) AS n_points FROM i GROUP BY rr_source, sqi, user_id, isl), s0 AS (SELECT DISTINCT q.rr_source, q.sqi, tr.* FROM truth tr JOIN q USING (user_id)), hr AS (SELECT count(*) * 6.0 AS hours FROM win)"""
+
+
+def study_result(spark, sf_dir) -> dict:
+    """The detection study over events: a recording is a user, ten of which make a patient; of two beat sources the first one calibrates."""
+    e = events_table(spark, sf_dir)
+    start = e.groupBy("user_id").agg(F.min("t").alias("_first"))
+    x = e.join(start, "user_id").withColumn("rel", F.col("t") - F.col("_first"))
+    ids = [F.col("user_id").alias("recording_uid"), (F.col("user_id") % 10).alias("patient_id"), F.when(F.col("user_id") % 3 == 0, "a").when(F.col("user_id") % 3 == 1, "b").alias("enrollment_id"), F.col("user_id").alias("recording_id")]
+    recordings = start.select(*ids)
+    beats = intervals(spark, sf_dir).withColumn("ord", F.row_number().over(B.series(USER, ORDER)))
+    pairs = beats.select(*ids[1:], F.lit("algo").alias("algo_id"), "ord", F.col("rr").alias("rr_labview_s"), (F.col("rr") + F.col("event_id") % 7).alias("rr_python_s"))
+    w = x.groupBy(F.col("user_id").alias("recording_uid"), F.floor(F.col("rel") / (6 * HOUR)).cast("bigint").alias("window_idx")).agg((F.max("value") <= 150).alias("is_acceptable"))
+    w = w.withColumns({"win_start_s": F.col("window_idx") * 21600.0, "win_end_s": (F.col("window_idx") + 1) * 21600.0})
+    seizures = x.where("event_type = 'error' and value > 150").select(F.col("user_id").alias("recording_uid"), (F.col("rel") - 300).alias("t0"), (F.col("rel") + 300).alias("t1"))
+    cfg = studies.DetectionConfig(n_beats=N, gap_s=12 * HOUR, pad_s=6 * HOUR, segments=(("first_20d", 1728000.0), ("first_14d", 1209600.0), ("first_half", None)), responders=(0, 3, 6, 9))
+    return studies.detection_study(pairs, recordings, w, seizures, cfg)
+
+
+RESPONDERS = "JOIN (VALUES ('all'), ('true'), ('false')) g(is_responder) ON g.is_responder = 'all' OR (g.is_responder = 'true') = (user_id % 10 IN (0, 3, 6, 9))"
+COUNTS_SQL = """hit AS (SELECT {by}, count(*) AS n_true, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM f0 WHERE f0.rr_source = s0.rr_source AND f0.sqi = s0.sqi AND f0.user_id = s0.user_id AND f0 <= t1 + 21600 AND f1 >= t0 - 21600)) AS n_detected FROM s0 {join} GROUP BY ALL),
+false_ AS (SELECT {by}, count(*) AS n_events, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM s0 WHERE s0.rr_source = f0.rr_source AND s0.sqi = f0.sqi AND s0.user_id = f0.user_id AND f0 <= t1 + 21600 AND f1 >= t0 - 21600)) AS n_false FROM f0 {join} GROUP BY ALL)
+SELECT {by}, coalesce(n_events, 0) AS n_events, coalesce(n_true, 0) AS n_true, coalesce(n_detected, 0) AS n_detected, coalesce(n_false, 0) AS n_false, round(n_detected / nullif(n_true, 0), 6) AS recall, round(coalesce(n_false, 0) / hours, 6) AS far_per_h FROM hit FULL JOIN false_ USING ({by}), hr"""
+
+
+@query("detection_study", f"{STUDY}, {COUNTS_SQL.format(by='rr_source, sqi', join='')}")
 def detection_study(spark, sf_dir):
-    """Beats to features, thresholds from the first half of each recording, events above them."""
-    x = B.seizure_features(intervals(spark, sf_dir), TYPE, ORDER)
-    none = x.select("event_type", F.lit(0.0).alias("t0"), F.lit(0.0).alias("t1")).limit(0)
-    x = x.withColumn("recording", F.col("event_type"))
-    thr = T.segment_thresholds(x, none.withColumnRenamed("event_type", "recording"), "event_type", "recording", "t_s", "ModCSI_x_Slope", ("t0", "t1"), {"first_half": None})
-    found = V.event_list(T.attach(x, thr, "event_type"), TYPE, ["event_id"], "t_s", "ModCSI_x_Slope", F.col("threshold"), HOUR)
-    return rounded(rounded(found.select("event_type", "t_start", "t_end", "peak_value", "n_points"), "t_start", "t_end"), "peak_value", digits=3)
+    """Windows and their overlap with annotated events, features, calibrated thresholds, events with and without the quality mask, scores."""
+    x = study_result(spark, sf_dir)["scores"]
+    return rounded(x.select("rr_source", "sqi", "n_events", "n_true", "n_detected", "n_false", "recall", "far_per_h"), "recall", "far_per_h")
+
+
+@query("detection_responders", f"{STUDY}, {COUNTS_SQL.format(by='rr_source, sqi, is_responder', join=RESPONDERS)}")
+def detection_responders(spark, sf_dir):
+    x = study_result(spark, sf_dir)["responder_scores"]
+    return rounded(x.select("rr_source", "sqi", "is_responder", "n_events", "n_true", "n_detected", "n_false", "recall", "far_per_h"), "recall", "far_per_h")
+
+
+@query("detection_events", f"{STUDY} SELECT rr_source, sqi, user_id AS recording_uid, round(f0, 3) AS t_start, round(f1, 3) AS t_end, round(peak, 3) AS peak_value, n_points FROM f0")
+def detection_events(spark, sf_dir):
+    x = study_result(spark, sf_dir)["events"]
+    return rounded(x.select("rr_source", "sqi", "recording_uid", "t_start", "t_end", "peak_value", "n_points"), "t_start", "t_end", "peak_value", digits=3)

@@ -1,4 +1,4 @@
-"""Signal operators over embeddings: each vector is a segment of 64 samples at 64 Hz."""
+"""Signal operators over embeddings: each vector is a segment of 64 samples at 128 Hz (bins of 2 Hz up to 64)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from beatlake.operators import segments as G
 from beatlake.operators import signal as S
 from beatlake.plans.registry import query, rounded, table
 
-KEY, FS = ["vec_id"], 64.0
+KEY, FS = ["vec_id"], 128.0
 
 
 def segments(spark, sf_dir):
@@ -72,9 +72,22 @@ def decimate_polarity(spark, sf_dir):
     return rounded(x.select("vec_id", kept.alias("kept_sum"), S.polarity(F.col("samples")).alias("polarity")), "kept_sum", digits=8)
 
 
-@query("psd_bands")
+#: The density of a segment in SQL: the transform's sums over the windowed samples less their mean.
+PSD = f"""{X}, y AS (SELECT vec_id, [(x[n + 1] - list_avg(x)) * (0.5 - 0.5 * cos(2 * pi() * n / 64)) FOR n IN range(64)] AS y FROM x),
+d AS (SELECT vec_id, k * {FS} / 64 AS f, (pow(list_sum([y[n + 1] * cos(2 * pi() * ((k * n) % 64) / 64) FOR n IN range(64)]), 2) + pow(list_sum([y[n + 1] * sin(2 * pi() * ((k * n) % 64) / 64) FOR n IN range(64)]), 2)) / ({FS} * 24) * CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END AS p FROM y, LATERAL (SELECT unnest(range(33)) AS k)),
+tr AS (SELECT *, lead(f) OVER (PARTITION BY vec_id ORDER BY f) AS f1, lead(p) OVER (PARTITION BY vec_id ORDER BY f) AS p1 FROM d)"""
+BANDS = {"lf": (0, 5), "qrs": (5, 15), "hf": (15, 40), "line": (49, 53)}
+
+
+def band_sql(bands: dict[str, tuple[int, int]]) -> str:
+    """Power and share of each band, by trapezoids."""
+    rows = ", ".join(f"('{b}', {lo}, {hi})" for b, (lo, hi) in bands.items())
+    return f"""bw AS (SELECT vec_id, band, coalesce(sum((f1 - f) * (p + p1) / 2) FILTER (WHERE f >= lo AND f1 <= hi), 0) AS power, sum((f1 - f) * (p + p1) / 2) AS total FROM tr, (VALUES {rows}) v(band, lo, hi) GROUP BY 1, 2), sh AS (SELECT *, power / nullif(total, 0) AS share FROM bw)"""
+
+
+@query("psd_bands", f"WITH {PSD}, {band_sql(BANDS)} SELECT vec_id, band, round(power, 6) AS power, round(share, 6) AS share FROM sh")
 def psd_bands(spark, sf_dir):
-    return rounded(S.band_powers(S.psd(segments(spark, sf_dir), KEY, "samples", FS, 64), KEY, {"lf": (0.0, 5.0), "qrs": (5.0, 15.0), "hf": (15.0, 32.0)}), "power", "share")
+    return rounded(S.band_powers(S.psd(segments(spark, sf_dir), KEY, "samples", FS, 64), KEY, {b: (float(lo), float(hi)) for b, (lo, hi) in BANDS.items()}), "power", "share")
 
 
 @query("psd_percentiles")
@@ -90,7 +103,7 @@ def spectral_uniqueness(spark, sf_dir):
 @query("noise_features")
 def noise_features(spark, sf_dir):
     cols = ("rms", "bw_ratio", "hf_ratio", "pl_ratio", "zcr", "snr_db")
-    x = S.noise_features(segments(spark, sf_dir), KEY, "samples", FS, 20.0)
+    x = S.noise_features(segments(spark, sf_dir), KEY, "samples", FS, 51.0)
     score = S.composite_sqi(F.col("snr_db"), F.col("bw_ratio"), F.col("pl_ratio"), F.lit(0.0), F.lit(0.0))
     return rounded(x.withColumn("sqi", score), *cols, "sqi")
 
@@ -108,7 +121,7 @@ def wavelet_energy(spark, sf_dir):
 
 @query("scalogram")
 def scalogram(spark, sf_dir):
-    return rounded(S.scalogram(segments(spark, sf_dir), KEY, "samples", FS, [4.0, 8.0, 16.0]), "magnitude")
+    return rounded(S.scalogram(segments(spark, sf_dir), KEY, "samples", FS, [8.0, 16.0, 32.0]), "magnitude")
 
 
 @query("detect_peaks")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from beatlake.operators import beats, events, intervals, matching, quality, scoring, segments, signal, thresholds
 from beatlake.schema import assert_unique, require_columns
+from beatlake.scratch import Scratch
 
 SERIES = ["recording_uid", "patient_id", "algo_id", "rr_source"]
 
@@ -35,22 +36,31 @@ def detection_study(pairs: DataFrame, recordings: DataFrame, windows: DataFrame,
     """features, thresholds, events, scores and responder split of aligned interval files.
 
     Everything stays keyed by recording: one shuffle brings a series' beats
-    together, and all features, windows and islands reuse it.
+    together. Features and events are read by many branches, so each is
+    written once to the shared folder.
     """
+    scratch = Scratch(pairs.sparkSession, "study")
     require_columns(pairs, "patient_id", "enrollment_id", "recording_id", "algo_id", "ord")
     known = intervals.null_safe_lookup(pairs, recordings, ["patient_id", "enrollment_id", "recording_id"], ["recording_uid"], ["recording_uid"]).where("recording_uid is not null")
     feats = beats.seizure_features(rr_series(known), SERIES, ["ord"], "rr", cfg.n_beats)
-    length = windows.agg(F.first(F.col("win_end_s") - F.col("win_start_s"))).first()[0] or 60.0
+    span = windows.agg(F.min(F.col("win_end_s") - F.col("win_start_s")).alias("a"), F.max(F.col("win_end_s") - F.col("win_start_s")).alias("b")).first()
+    if span["a"] is not None and span["b"] - span["a"] > 1e-6:
+        raise ValueError("windows of different lengths")
+    length = span["b"] or 60.0
     w = intervals.overlap_flag(windows, truth, ["recording_uid"], ["window_idx"], ("win_start_s", "win_end_s"), ("t0", "t1"), block=10 * length, out="window_overlaps_seizure")
+    w = scratch.save(w)
     feats = intervals.floor_window(feats, assert_unique(w, "recording_uid", "window_idx"), ["recording_uid"], "t_s", length, ["is_acceptable", "window_overlaps_seizure"])
+    feats = scratch.save(feats)
     thr = thresholds.segment_thresholds(feats.where(F.col("rr_source") == cfg.calibrate_on), truth, "patient_id", "recording_uid", "t_s", cfg.value, ("t0", "t1"), dict(cfg.segments), cfg.factor, fallback=given)
-    marked = thresholds.attach(feats, thr, "patient_id")
+    thr = scratch.save(thr)
+    marked = scratch.save(thresholds.attach(feats, thr, "patient_id"))
     modes = scoring.with_sqi_modes(marked, "is_acceptable", {"off": None, "on": "is_acceptable"})
     by = ["rr_source", "algo_id", "sqi"]
-    found = events.event_list(modes, [*by, "recording_uid", "patient_id"], ["ord"], "t_s", cfg.value, F.col("threshold"), cfg.gap_s)
+    found = scratch.save(events.event_list(modes, [*by, "recording_uid", "patient_id"], ["ord"], "t_s", cfg.value, F.col("threshold"), cfg.gap_s))
     used = truth.select("recording_uid", "t0", "t1").join(modes.select(*by, "recording_uid", "patient_id").distinct(), "recording_uid")
+    used = scratch.save(used)
     hours = scoring.analyzable_hours(windows, ["recording_uid"], ("win_start_s", "win_end_s"))
-    score = lambda f, u, g: scoring.score(f, u, "recording_uid", ("t_start", "t_end"), ("t0", "t1"), cfg.pad_s, hours, g, block=3600.0)
+    score = lambda f, u, g: scoring.score(f, u, "recording_uid", ("t_start", "t_end"), ("t0", "t1"), cfg.pad_s, hours, g, block=2 * cfg.pad_s + cfg.gap_s)
     split = lambda df: scoring.with_overall(scoring.responders(df, "patient_id", list(cfg.responders)), "is_responder")
     return {"features": marked, "thresholds": thr, "events": found, "scores": score(found, used, by), "responder_scores": score(split(found), split(used), [*by, "is_responder"])}
 

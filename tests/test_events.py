@@ -100,3 +100,31 @@ def test_rr_agreement_by_hand(spark):
     x = spark.createDataFrame([(1, 1.0, 1.0)] * 3 + [(1, 2.0, 1.0)], "r int, a double, b double")
     r = M.rr_agreement(x, K, "a", "b").first()
     assert (r["rr_mae_ms"], r["rr_rmse_ms"], r["mean_hr_ref"], r["mean_hr_test"], r["mean_hr_diff"]) == (250, 500, 48, 60, 12)
+
+
+def test_long_trains_are_cut_at_gaps_alone(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    a, b = np.sort(r.random(3000) * 3000), np.sort(r.random(3000) * 3000)
+    x, y = times(spark, a.tolist()), times(spark, b.tolist())
+    left, right = M.walk(a, b, 0.3)
+    for piece in (1, 64, 10_000):
+        tp = M.greedy_match(x, y, K, "t", 0.3, piece=piece).where("kind = 'TP'").collect()
+        assert sorted((v["t_ref"], v["t_test"]) for v in tp) == list(zip(a[left].tolist(), b[right].tolist()))
+    swept = {v["tol_s"]: v["tp"] for v in M.tolerance_sweep(x, y, K, "t", [0.1, 0.3]).collect()}
+    assert swept == {0.1: len(M.walk(a, b, 0.1)[0]), 0.3: len(left)}
+
+
+def test_refractory_and_prominence_of_long_series(spark):
+    import time
+
+    import numpy as np
+
+    from beatlake.functions import kernels
+
+    began = time.time()
+    t = [0.5 * i for i in range(100_000)]
+    assert V.refractory(times(spark, t), K, "t", 5.0).count() == 10_000
+    x = np.random.default_rng(1).normal(size=200_000)
+    assert len(kernels.prominent_peaks(x, 5, 2.0)) > 1000 and time.time() - began < 60

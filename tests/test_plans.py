@@ -20,7 +20,7 @@ def exchanges(df):
 
 
 def test_features_share_one_exchange(spark):
-    x = B.seizure_features(q_beats.intervals(spark, SF), q_beats.TYPE, q_beats.ORDER)
+    x = B.seizure_features(q_beats.intervals(spark, SF), q_beats.USER, q_beats.ORDER)
     assert exchanges(x) == 1
     assert "Python" not in plan(x) and "Pandas" not in plan(x)
 
