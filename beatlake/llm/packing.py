@@ -154,6 +154,8 @@ class Item:
     loss: np.ndarray | None = None
     #: Tokens of `ids` that are packed.
     at: int = 0
+    #: Tokens, segments and loss-bearing tokens of all that is left, while it waits.
+    need: tuple[int, int, int] = (0, 0, 0)
 
     @property
     def length(self) -> int:
@@ -198,10 +200,15 @@ class Packer:
         while item.length >= self.limits.tokens and item.loss_of(self.limits.tokens) <= self.limits.loss:
             yield self.close([item.take(self.limits.tokens)])
         if item.length:
-            self.waiting.append(item.rest() if item.at else item)
+            self.wait(item.rest() if item.at else item)
         while len(self.waiting) > self.limits.window:
             yield from self.fill()
 
+    def wait(self, item: Item) -> None:
+        n = item.length
+        item.need = n, 1, item.loss_of(n)
+        self.waiting.append(item)
+
     def close(self, pieces: list[tuple]) -> list[tuple]:
         """The pieces with their sequence and offset."""
         out, at = [], 0
@@ -214,7 +221,7 @@ class Packer:
     def fill(self) -> Iterator[list[tuple]]:
         """One bin by the dot-product heuristic over the waiting items."""
         cap = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
-        demand = np.array([(i.length, 1, i.loss_of(i.length)) for i in self.waiting], float)
+        demand = np.array([i.need for i in self.waiting], float)
         left, free, pieces = cap.copy(), np.ones(len(demand), bool), []
         while True:
             # the last segment is kept for a cut that fills the bin
@@ -227,15 +234,23 @@ class Packer:
             free[at] = False
         rest = np.flatnonzero(free)
         if left[0] and left[1] and len(rest):
-            longest = [self.waiting[i].most(int(left[0]), int(left[2])) for i in rest]
+            if left[2] >= left[0]:  # loss can't bind
+                longest = np.minimum(demand[rest, 0], left[0]).astype(int)
+            else:
+                longest = np.array([self.waiting[i].most(int(left[0]), int(left[2])) for i in rest])
             at = int(np.argmax(longest))
             if longest[at]:
-                pieces.append(self.waiting[rest[at]].take(longest[at]))
+                pieces.append(self.waiting[rest[at]].take(int(longest[at])))
                 left[0] -= longest[at]
             elif not pieces:
                 # a token that bears loss, where none may: alone, so that no token is lost
                 pieces.append(self.waiting[rest[0]].take(1))
-        self.waiting = [self.waiting[i] for i in rest if self.waiting[i].length]
+        self.waiting, left_over = [], [self.waiting[i] for i in rest]
+        for item in left_over:
+            if not item.at:
+                self.waiting.append(item)
+            elif item.length:
+                self.wait(item.rest())
         if self.waiting or not left[0]:
             yield self.close(pieces)
         else:
