@@ -186,3 +186,14 @@ def minute_scores(matched: DataFrame, keys: Keys, step: float = 60.0) -> DataFra
 def tolerance_sweep(ref: DataFrame, test: DataFrame, keys: Keys, t: str, tolerances: list[float]) -> DataFrame:
     """Match metrics at each tolerance, all in one plan."""
     return metrics(greedy_match(ref, test, keys, t, tolerances), [*keys, "tol_s"])
+
+
+def ranked(metrics: DataFrame, variants: Keys, keys: Keys | None = None, by: str = "f1") -> DataFrame:
+    """Variants (of detectors, cleaning, tolerances) from the best to the worst, among `keys`; those without a score last, ties by name."""
+    best = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc_nulls_last(by), *variants)
+    return metrics.withColumn("rank", F.row_number().over(best))
+
+
+def pooled(metrics: DataFrame, variants: Keys) -> DataFrame:
+    """Counts summed over recordings, with the rates that they give."""
+    return with_rates(metrics.groupBy(*variants).agg(*(F.sum(c).alias(c) for c in ("tp", "fn", "fp"))))

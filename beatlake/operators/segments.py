@@ -108,6 +108,13 @@ def slices(chunks: DataFrame, spans: DataFrame, keys: Keys, span_id: list[str],
     return g.select(*keys, *span_id, F.flatten(F.transform("_p", lambda p: p["s"])).alias("samples"))
 
 
+def trim_samples(x: Column, fs: float, start_s: float, end_s: float, mode: str = "round") -> Column:
+    """Samples without the first and last seconds, whose numbers are rounded (half to even) or cut; an error for an unknown mode."""
+    count = {"round": round, "cut": int}[mode]
+    a, b = count(start_s * fs), count(end_s * fs)
+    return F.slice(x, F.lit(a + 1), F.greatest(F.size(x) - (a + b), F.lit(0)))
+
+
 def array_stats(x: Column) -> dict[str, Column]:
     """Statistics of a sample array: mean, min, max, population deviation, rms, peak to peak, median."""
     n = F.nullif(F.size(x).cast("double"), F.lit(0.0))

@@ -195,7 +195,18 @@ def wavelet_energy(df: DataFrame, keys: Keys, col: str, levels: int = 4) -> Data
     return x.select(*keys, F.when(F.col("_i") == F.col("_n") - 1, 0).otherwise(F.col("_i") + 1).alias("level"), "energy")
 
 
-def detect_peaks(df: DataFrame, keys: Keys, col: str, fs: float, method: str = "adaptive", **settings) -> DataFrame:
+def wavelet_band(df: DataFrame, keys: Keys, col: str, level: int, levels: int = 4) -> DataFrame:
+    """Each segment rebuilt from one db4 level alone (1 is finest, 0 the rest)."""
+    return per_segment(df, keys, col, f"{col} array<double>", lambda x: {col: K.dwt_band(x, level, levels).tolist()})
+
+
+def amplitude_ratio(df: DataFrame, keys: Keys, col: str, fs: float) -> DataFrame:
+    """Median R over median T amplitude of each segment; null for too few peaks."""
+    x = per_segment(df, keys, col, "rt_ratio double", lambda v: {"rt_ratio": K.wave_ratio(v, fs)})
+    return x.withColumn("rt_ratio", F.nanvl("rt_ratio", F.lit(None).cast("double")))
+
+
+def detect_peaks(df: DataFrame, keys: Keys, col: str, fs: float, method: str = "two_level", **settings) -> DataFrame:
     """A row for each peak (sample index within the segment), by one of the registered detectors."""
     fn = DETECTORS[method]
     x = per_segment(df, keys, col, "peaks array<bigint>", lambda v: {"peaks": fn(v, fs, **settings).tolist()})
@@ -203,8 +214,9 @@ def detect_peaks(df: DataFrame, keys: Keys, col: str, fs: float, method: str = "
 
 
 DETECTORS: dict[str, Callable[..., np.ndarray]] = {
-    "adaptive": K.adaptive_peaks,
-    "high_only": lambda x, fs, **s: K.adaptive_peaks(x, fs, low=1.0, missed=np.inf, **s),
+    "two_level": K.two_level_peaks,
+    "high_only": lambda x, fs: K.two_level_peaks(x, fs, look_back=False),
+    "energy": K.energy_peaks,
     "prominence": lambda x, fs, distance_s=0.3, prominence=0.5: K.prominent_peaks(x, max(1, int(distance_s * fs)), prominence * float(np.std(x))),
 }
 

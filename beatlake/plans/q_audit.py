@@ -13,7 +13,7 @@ from beatlake.operators.segments import event_profile, sliding
 from beatlake.plans.q_beats import ORDER, RR, intervals
 from beatlake.plans.q_events import HOUR, PAIR, TRUTH, USER, rates_sql, trains, truth, walk_sql
 from beatlake.plans.q_quality import WIN, six_hours
-from beatlake.plans.q_signal import FS, PSD, band_sql, segments
+from beatlake.plans.q_signal import FS, PSD, X, band_sql, segments
 from beatlake.plans.registry import E, events_table, query, rounded, table
 
 
@@ -121,13 +121,16 @@ def noise_index(spark, sf_dir):
     return rounded(x.select("vec_id", A.noise_index(F.col("lf"), F.col("hf")).alias("noise_index")), "noise_index")
 
 
-@query("noise_fingerprint")
+@query("noise_fingerprint", f"""WITH {PSD}, g AS (SELECT label, (f * 64 / {FS})::INT AS bin, avg(p) AS power FROM d JOIN embeddings USING (vec_id) GROUP BY 1, 2), t AS (SELECT *, power > coalesce(lag(power) OVER w, -1) AND power >= coalesce(lead(power) OVER w, -1) AS top FROM g WINDOW w AS (PARTITION BY label ORDER BY bin)),
+r AS (SELECT label, bin, power, row_number() OVER (PARTITION BY label ORDER BY power DESC, bin) AS rank FROM t WHERE top) SELECT label, bin, round(power, 9) AS power, rank FROM r WHERE rank <= 3""")
 def noise_fingerprint(spark, sf_dir):
     p = S.psd(segments(spark, sf_dir), ["vec_id", "label"], "samples", FS, 64).select("label", F.posexplode("p").alias("bin", "power")).groupBy("label", "bin").agg(F.avg("power").alias("power"))
     return rounded(A.spectral_peaks(p, ["label"], "bin", "power", 3), "power", digits=9)
 
 
-@query("modulation_depth")
+@query("modulation_depth", f"""WITH {X}, y AS (SELECT vec_id, h, [x[h * 16 + n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 32)) FOR n IN range(32)] AS y FROM x, (SELECT unnest(range(3)) AS h)),
+m AS (SELECT vec_id, k AS bin, sqrt(pow(list_sum([y[n + 1] * cos(2 * pi() * ((k * n) % 32) / 32) FOR n IN range(32)]), 2) + pow(list_sum([y[n + 1] * sin(2 * pi() * ((k * n) % 32) / 32) FOR n IN range(32)]), 2)) AS m FROM y, (SELECT unnest(range(17)) AS k))
+SELECT vec_id, bin::INT AS bin, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, round(stddev_pop(m) / nullif(avg(m), 0), 6) AS depth FROM m GROUP BY 1, 2""")
 def modulation_depth(spark, sf_dir):
     f = S.spectrogram(segments(spark, sf_dir), ["vec_id"], "samples", FS, 0.25, 0.125)
     return rounded(A.modulation(f, ["vec_id"], "t_frame", "magnitude"), "mean", "std", "depth")

@@ -90,17 +90,20 @@ def psd_bands(spark, sf_dir):
     return rounded(S.band_powers(S.psd(segments(spark, sf_dir), KEY, "samples", FS, 64), KEY, {b: (float(lo), float(hi)) for b, (lo, hi) in BANDS.items()}), "power", "share")
 
 
-@query("psd_percentiles")
+@query("psd_percentiles", f"WITH {PSD} SELECT (f * 64 / {FS})::INT AS bin, round(quantile_cont(p, 0.1), 9) AS p10, round(quantile_cont(p, 0.5), 9) AS p50, round(quantile_cont(p, 0.9), 9) AS p90 FROM d GROUP BY f")
 def psd_percentiles(spark, sf_dir):
     return rounded(S.psd_bands(S.psd(segments(spark, sf_dir), KEY, "samples", FS, 64)), "p10", "p50", "p90", digits=9)
 
 
-@query("spectral_uniqueness")
+@query("spectral_uniqueness", f"WITH {PSD}, l AS (SELECT vec_id, f, log10(greatest(p, 1e-20)) AS lp FROM d), m AS (SELECT f, median(lp) AS m FROM l GROUP BY 1) SELECT vec_id, round(sqrt(avg(pow(lp - m, 2))), 6) AS uniqueness FROM l JOIN m USING (f) GROUP BY 1")
 def spectral_uniqueness(spark, sf_dir):
     return rounded(S.spectral_uniqueness(S.psd(segments(spark, sf_dir), KEY, "samples", FS, 64), KEY), "uniqueness")
 
 
-@query("noise_features")
+@query("noise_features", f"""WITH {PSD}, {band_sql({'qrs': (5, 15), 'hf': (40, 64), 'pl': (50, 52)})}, g AS (SELECT vec_id, max(power) FILTER (WHERE band = 'qrs') AS q, max(power) FILTER (WHERE band = 'hf') AS h, max(power) FILTER (WHERE band = 'pl') AS l, max(total) AS total FROM bw GROUP BY 1),
+z AS (SELECT vec_id, sqrt(list_avg([v * v FOR v IN x])) AS rms, list_avg([((x[i + 1] < list_avg(x)) <> (x[i] < list_avg(x)))::INT FOR i IN range(1, 64)]) AS zcr FROM x), n AS (SELECT *, l / total AS pl, 10 * log10(greatest(q, 1e-12) / greatest(h, 1e-12)) AS snr FROM g JOIN z USING (vec_id))
+SELECT vec_id, round(rms, 6) AS rms, 0.0::DOUBLE AS bw_ratio, round(h / total, 6) AS hf_ratio, round(pl, 6) AS pl_ratio, round(zcr, 6) AS zcr, round(snr, 6) AS snr_db,
+round(0.45 + 0.4 * least(greatest(snr / 20, 0), 1) + 0.15 * (1 - least(greatest((pl - 0.01) / 0.19, 0), 1)), 6) AS sqi FROM n""")
 def noise_features(spark, sf_dir):
     cols = ("rms", "bw_ratio", "hf_ratio", "pl_ratio", "zcr", "snr_db")
     x = S.noise_features(segments(spark, sf_dir), KEY, "samples", FS, 51.0)

@@ -13,7 +13,7 @@ from beatlake.session import with_package
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("q_beats", "q_events", "q_quality", "q_scoring", "q_summaries", "q_signal", "q_streams", "q_audit")
+MODULES = ("q_beats", "q_events", "q_quality", "q_scoring", "q_summaries", "q_signal", "q_streams", "q_audit", "q_studies")
 
 # Second 0 of the event tables' axis: 2024-01-01.
 ORIGIN_US = 1_704_067_200_000_000

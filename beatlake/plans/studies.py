@@ -97,7 +97,7 @@ def compare_peaks(ref: DataFrame, test: DataFrame, keys: list[str], t: str = "t"
     return {"shift": shift, "matched": matched, "metrics": matching.metrics(matched, keys), "errors": matching.error_log(matched, 60.0, tol), "agreement": matching.rr_agreement(common, keys, "rr_ref", "rr_test")}
 
 
-def signal_study(chunks: DataFrame, keys: list[str], fs: float, n_beats: int = 100, low: float = 5.0, high: float = 15.0, method: str = "adaptive", quantile: float = 0.995) -> dict[str, DataFrame]:
+def signal_study(chunks: DataFrame, keys: list[str], fs: float, n_beats: int = 100, low: float = 1.2, high: float = 32.0, method: str = "two_level", quantile: float = 0.995) -> dict[str, DataFrame]:
     """From signal segments to detections: band-pass, peaks, intervals, features, thresholds, merged events."""
     clean = signal.band_pass(chunks, keys, "samples", fs, low, high)
     peaks = signal.detect_peaks(clean, keys, "samples", fs, method).withColumn("t", F.col("sample") / fs)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,6 +107,15 @@ def normalise_annotations(raw: DataFrame, recording: str = "path") -> DataFrame:
     )
 
 
+def below_header(rows: DataFrame, first: tuple[str, ...], second: tuple[str, ...], most: int = 10) -> DataFrame:
+    """path, line, name, cell of sheets given as rows (path, line from 1, cells): the header is the first of the `most` top rows that holds a token of `first` in one cell and a token of `second` in one; sheets without it give none."""
+    has = lambda tokens: F.exists("cells", lambda c: reduce(lambda a, b: a | b, [F.lower(c).contains(t.lower()) for t in tokens]))
+    head = rows.where((F.col("line") <= most) & F.coalesce(has(first), F.lit(False)) & F.coalesce(has(second), F.lit(False)))
+    head = head.groupBy("path").agg(F.min(F.struct("line", "cells")).alias("h")).select("path", F.col("h.line").alias("_line"), F.col("h.cells").alias("_names"))
+    x = rows.join(head, "path").where("line > _line").select("path", "line", F.explode(F.arrays_zip(F.col("_names").alias("name"), F.col("cells").alias("cell"))).alias("c"))
+    return x.select("path", "line", F.trim("c.name").alias("name"), "c.cell").where("name <> '' and cell is not null")
+
+
 def annotations_long(wide: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each annotation source (eeg, clinical) of wide rows with <source>_start and <source>_end."""
     rows = F.array(*(F.struct(F.lit(s).alias("source"), F.col(f"{s}_start").alias("start"), F.col(f"{s}_end").alias("end")) for s in ("eeg", "clinical")))

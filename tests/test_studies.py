@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from beatlake.functions import kernels as N
 from beatlake.functions import scalars as C
+from beatlake.operators import matching
 from beatlake.operators import quality as Q
 from beatlake.operators import scoring as S
 from beatlake.operators import segments as G
@@ -108,6 +109,49 @@ def test_detection_from_signal(spark):
     assert np.mean(hit) > 0.97 and got["features"].count() > 100
 
 
+def test_detectors():
+    fs, rng = 256.0, np.random.default_rng(7)
+    beats = np.cumsum(0.8 + 0.05 * rng.standard_normal(140))
+    t = np.arange(int(beats[-1] * fs) + 128) / fs
+    heights = np.where(np.isin(np.arange(len(beats)), (20, 50, 51)), 0.5, 1.0)
+    ecg = 0.03 * rng.standard_normal(len(t)) + sum(h * np.exp(-(((t - b) / 0.012) ** 2)) + 0.2 * np.exp(-(((t - b - 0.3) / 0.05) ** 2)) for b, h in zip(beats, heights))
+    share = lambda p: np.mean([np.abs(p / fs - b).min() < 0.04 for b in beats])
+    whole, high = N.two_level_peaks(ecg, fs), N.two_level_peaks(ecg, fs, look_back=False)
+    assert share(whole) == 1 and abs(len(whole) - len(beats)) <= 2
+    # without the low level the three small beats are missed
+    assert len(high) == len(beats) - 3 and np.diff(whole).min() >= 0.25 * fs
+    assert np.abs(N.two_level_peaks(-ecg, fs)[:, None] - whole).min(1).max() <= 1
+    # the energy's maximum may lie anywhere in its 150 ms window around a beat
+    simple = N.energy_peaks(ecg, fs)
+    assert np.mean([np.abs(simple / fs - b).min() < 0.1 for b in beats]) > 0.95 and abs(len(simple) - len(beats)) <= 3
+    assert N.wave_ratio(ecg, fs) > 2 and np.isnan(N.wave_ratio(ecg[:100], fs))
+    for x in (np.zeros(100), np.ones(4)):
+        assert not len(N.two_level_peaks(x, fs)) and not len(N.energy_peaks(x, fs))
+
+
+def test_high_level_by_hand():
+    # windows of two samples: 0.75 of the first maximum, then of the median of those before
+    x = np.array([1.0, 4.0, 2.0, -9.0, 8.0, 0.0])
+    assert N.rising_levels(x, 1.0).tolist() == [3.0, 3.0, 3.0, 3.0, 2.25, 2.25]
+
+
+@pytest.mark.parametrize("n", [7, 64, 101, 1000])
+def test_wavelet_bands_add_up(n):
+    x = np.random.default_rng(n).normal(0, 1, n)
+    assert np.abs(sum(N.dwt_band(x, j, 4) for j in range(5)) - x).max() < 1e-9
+
+
+def test_small_operators(spark):
+    m = spark.createDataFrame([("a", 1, 1, 0), ("a", 3, 0, 0), ("b", 0, 0, 0), ("c", 1, 0, 0)], "variant string, tp int, fn int, fp int")
+    got = matching.ranked(matching.pooled(m, ["variant"]), ["variant"]).orderBy("rank").collect()
+    assert [(r["variant"], r["tp"], r["f1"] and round(r["f1"], 4)) for r in got] == [("c", 1, 1.0), ("a", 4, 0.8889), ("b", 0, None)]
+    x = spark.createDataFrame([(list(range(10)),), ([],), ([1],)], "s array<int>")
+    assert [r[0] for r in x.select(G.trim_samples(F.col("s"), 1.0, 1.5, 1.5)).collect()] == [[2, 3, 4, 5, 6, 7], [], []]
+    assert x.select(G.trim_samples(F.col("s"), 1.0, 1.5, 1.5, "cut")).first()[0] == [1, 2, 3, 4, 5, 6, 7, 8]
+    rows = spark.createDataFrame([("p", 1, ["log", None]), ("p", 2, ["Start tid", "Slut tid"]), ("p", 3, ["9:00", None]), ("q", 11, ["start", "slut"]), ("q", 12, ["1", "2"])], "path string, line int, cells array<string>")
+    assert [tuple(r) for r in text.below_header(rows, ("start",), ("slut", "end")).collect()] == [("p", 3, "Start tid", "9:00")]
+
+
 def write_tdms(x, fs, start_us):
     text_ = lambda s: struct.pack("<I", len(s)) + s.encode()
     stamp = struct.pack("<Qq", 0, start_us // 1_000_000 + binary.EPOCH_1904_S)
