@@ -45,11 +45,15 @@ class Scratch:
         out.scratch_path = path
         return out
 
-    def bucketed(self, df: DataFrame, buckets: int, *columns: str) -> DataFrame:
-        """Writes `df` once as a table bucketed by `columns`, a file a bucket, so that later joins and groups on them don't exchange it."""
+    def bucketed(self, df: DataFrame, buckets: int, *columns: str, dealt: bool = False) -> DataFrame:
+        """Writes `df` once as a table bucketed by `columns`, a file a bucket, so that later joins and groups on them don't exchange it.
+
+        `dealt` says that `df` is hashed by `columns` already (it ends in a
+        group by them): it isn't exchanged again.
+        """
         self._n += 1
         name = f"scratch_{uuid.uuid4().hex}"
-        df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).option("path", f"{self.root}/{self._n}").format("parquet").saveAsTable(name)
+        (df if dealt else df.repartition(buckets, *columns)).write.bucketBy(buckets, *columns).option("path", f"{self.root}/{self._n}").format("parquet").saveAsTable(name)
         out = self.spark.table(name)
         out.scratch_table = name
         return out
