@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatlake.llm import ann, chat, langid, mixing, oracle, outliers, packing, secrets, simhash, site_quality, toxicity
+from beatlake.llm import ann, chat, langid, lexical, mixing, oracle, outliers, packing, repair, secrets, simhash, site_quality, suffix_dedup, toxicity
 from beatlake.llm.common import table
 from beatlake.session import with_package
 
@@ -77,6 +77,34 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows with faults that follow a checksum of their place: dropped, emptied, without full stops, said twice, or of another role."""
+    place = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    given = turns.select("conv_id", "turn", *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")), (F.crc32(place.cast("binary")) % 20).alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("fault") == 3, 2).otherwise(1)
+    return given.where("fault <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), times)).alias("n")).drop("n")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.Repair(spark, damaged(turns)).conversations().withColumnRenamed("conv_id", "of")
+    every = turns.select("conv_id").distinct()
+    out = every.join(found, every.conv_id.eqNullSafe(found.of), "left").drop("of")
+    return out.na.fill(0, ["gaps", *repair.COUNTS, "cost"]).withColumns({"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))})
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.digests(suffix_dedup.Repeats(spark, docs).removed())
+    return suffix_dedup.of_documents(docs, found, ("n_bytes", "n_removed", "n_spans", "kept_sha256")).drop("text")
+
+
+def op13_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
