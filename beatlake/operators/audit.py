@@ -45,19 +45,19 @@ def time_windows(beats: DataFrame, keys: Keys, t: str, x: str, length: float = 6
     return g.select(*keys, "window_idx", "n", "mean", (F.col("_sd") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv"))
 
 
-def by_segment(points: DataFrame, segments: DataFrame, keys: Keys, idx: list[str], t: str, x: str, s: tuple[str, str], least: int = 3, block: float | None = None) -> DataFrame:
+def by_segment(points: DataFrame, segments: DataFrame, keys: Keys, idx: list[str], t: str, x: str, s: tuple[str, str], least: int = 3) -> DataFrame:
     """Median and mean of the finite values in each segment (start included, end not); null for fewer than `least`."""
     p = points.where(finite(F.col(x))).select(*keys, F.col(t).alias("_t"), F.col(t).alias("_u"), F.col(x).alias("_x"))
-    pairs = overlap_pairs(segments, p, keys, s, ("_t", "_u"), closed=True, block=block).where(F.col("_t") < F.col(s[1]))
+    pairs = overlap_pairs(segments, p, keys, s, ("_t", "_u"), closed=True).where(F.col("_t") < F.col(s[1]))
     g = pairs.groupBy(*keys, *idx).agg(F.count("*").alias("n"), F.median("_x").alias("_m"), F.avg("_x").alias("_a"))
     enough = F.col("n") >= least
     return segments.join(g, [*keys, *idx], "left").select(*keys, *idx, F.coalesce("n", F.lit(0)).alias("n"), F.when(enough, F.col("_m")).alias("median"), F.when(enough, F.col("_a")).alias("mean"))
 
 
-def painted(points: DataFrame, windows: DataFrame, keys: Keys, t: str, w: tuple[str, str], score: str, how: str = "mean", block: float | None = None) -> DataFrame:
+def painted(points: DataFrame, windows: DataFrame, keys: Keys, t: str, w: tuple[str, str], score: str, how: str = "mean") -> DataFrame:
     """Each point with the mean, largest or last-starting score of the windows over it."""
     p = points.select(*keys, t).distinct()
-    pairs = overlap_pairs(p.withColumn("_u", F.col(t)), windows.select(*keys, *w, score), keys, (t, "_u"), w, closed=True, block=block).where(F.col(t) < F.col(w[1]))
+    pairs = overlap_pairs(p.withColumn("_u", F.col(t)), windows.select(*keys, *w, score), keys, (t, "_u"), w, closed=True).where(F.col(t) < F.col(w[1]))
     agg = {"mean": F.avg(score), "max": F.max(score), "last": F.max_by(score, w[0])}[how]
     return points.join(pairs.groupBy(*keys, t).agg(agg.alias(score)), [*keys, t], "left")
 
@@ -100,12 +100,18 @@ def noise_index(lf_share: Column, hf_share: Column) -> Column:
 
 
 def mse_offset(a: DataFrame, b: DataFrame, keys: Keys, i: str, x: str, offsets: list[int]) -> DataFrame:
-    """The shift of b with the smallest mean squared difference from a; the first of equals. All shifts in one job."""
-    spine = F.array(*(F.struct(F.lit(r).alias("rank"), F.lit(o).alias("offset")) for r, o in enumerate(offsets)))
-    moved = b.withColumn("_o", F.explode(spine)).select(*keys, "_o.rank", "_o.offset", (F.col(i) + F.col("_o.offset")).alias(i), F.col(x).alias("_y"))
-    g = a.select(*keys, i, F.col(x).alias("_x")).join(moved, [*keys, i]).groupBy(*keys, "rank", "offset").agg(F.avg((F.col("_x") - F.col("_y")) ** 2).alias("mse"))
+    """The shift of b with the smallest mean squared difference from a; the first of equals.
+
+    Both sides meet in blocks as long as the range of shifts, so a pair of samples is made once, for the one shift that it stands for.
+    """
+    place = F.array_position(F.array(*(F.lit(int(o)) for o in offsets)), (F.col("_i") - F.col("_j")).cast("int")) - 1
+    first, span = min(offsets), max(offsets) - min(offsets) + 1
+    p = a.select(*keys, F.col(i).alias("_i"), F.col(x).alias("_x")).withColumn("_k", F.floor((F.col("_i") - first) / span))
+    q = b.select(*keys, F.col(i).alias("_j"), F.col(x).alias("_y")).withColumn("_k", F.explode(F.array(*(F.floor(F.col("_j") / span) + d for d in (0, 1)))))
+    near = p.join(q, [*keys, "_k"]).withColumn("rank", place).where("rank >= 0")
+    g = near.groupBy(*keys, "rank", (F.col("_i") - F.col("_j")).alias("offset")).agg(F.avg((F.col("_x") - F.col("_y")) ** 2).alias("mse"))
     best = g.groupBy(*keys).agg(F.min(F.struct(F.round("mse", 9).alias("m"), "rank", "offset")).alias("b"))
-    return best.select(*keys, F.col("b.offset").alias("offset"), F.col("b.m").alias("mse"))
+    return best.select(*keys, F.col("b.offset").cast("int").alias("offset"), F.col("b.m").alias("mse"))
 
 
 def spectral_peaks(spectrum: DataFrame, keys: Keys, bin_: str, power: str, n: int = 5) -> DataFrame:

@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from beatlake.operators import scan
+
 Keys = list[str]
 
 
-def island_ids(rows: DataFrame, keys: Keys, order: list[str], t: str, gap: float, out: str = "island") -> DataFrame:
-    """Numbers islands of rows no further apart than `gap` (a larger gap splits)."""
-    w = W.partitionBy(*keys).orderBy(t, *order)
-    new = F.when(F.col(t) - F.lag(t).over(w) > gap, 1).otherwise(0)
-    return rows.withColumn("_new", new).withColumn(out, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+def island_ids(rows: DataFrame, keys: Keys, order: list[str], t: str, gap: float, out: str = "island", block: float | None = None) -> DataFrame:
+    """Numbers islands of rows no further apart than `gap` (a larger gap splits); with a `block` of time, a recording is dealt over tasks (`scan`)."""
+    return scan.groups_apart(rows, keys, order, t, gap, block, out)
 
 
-def event_list(rows: DataFrame, keys: Keys, order: list[str], t: str, value: str, threshold: Column | float, gap: float = 60.0, inclusive: bool = False) -> DataFrame:
+def event_list(rows: DataFrame, keys: Keys, order: list[str], t: str, value: str, threshold: Column | float, gap: float = 60.0, inclusive: bool = False, block: float | None = None) -> DataFrame:
     """Events of values above the threshold: start, end, duration, first time of the peak, peak, count."""
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     over = rows.where((F.col(value) >= limit) if inclusive else (F.col(value) > limit))
-    x = island_ids(over, keys, order, t, gap)
+    x = island_ids(over, keys, order, t, gap, block=block)
     # the largest value, the earliest time among equals
     peak = F.max(F.struct(F.col(value), (-F.col(t)).alias("back")))
     g = x.groupBy(*keys, "island").agg(F.min(t).alias("t_start"), F.max(t).alias("t_end"), peak.alias("_p"), F.count("*").alias("n_points"))
@@ -40,41 +36,28 @@ def ordinal_events(rows: DataFrame, keys: Keys, order: list[str], t: str, on: Co
     return x.groupBy(*keys, "run").agg(F.min(t).alias("t_start"), F.max(t).alias("t_end"), F.min("ord").alias("ord_start"), F.max("ord").alias("ord_end"), F.count("*").alias("n_points"))
 
 
-def merge_overlaps(events: DataFrame, keys: Keys, start: str = "t_start", end: str = "t_end") -> DataFrame:
-    """The union of intervals: those that overlap or touch become one."""
-    w = W.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    x = events.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
-    x = x.withColumn("_m", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+def merge_overlaps(events: DataFrame, keys: Keys, start: str = "t_start", end: str = "t_end", block: float | None = None) -> DataFrame:
+    """The union of intervals: those that overlap or touch become one. With a `block` of time a recording is dealt over tasks (`scan`)."""
+    order = [start, end]
+    reach = F.max(end).over(scan.within(keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    x = scan.blocked(events, start, block)
+    x = scan.carried(x, keys, [F.max(end).alias("_hi")], lambda s: s.withColumn("_far", F.max("_hi").over(scan.earlier(keys))), block, ["_far"])
+    x = x.withColumn("_new", F.when(F.col(start) <= F.greatest(reach, F.col("_far")), 0).otherwise(1))
+    x = scan.running_sum(x, keys, order, "_new", block, "_m")
     return x.groupBy(*keys, "_m").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged")).drop("_m")
 
 
-def refractory(rows: DataFrame, keys: Keys, t: str, hold: float) -> DataFrame:
-    """Times that are at least `hold` after the last one kept: one pass over each recording's sorted times, which carries the last one alone."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    given = rows.select(*keys, F.col(t).cast("double").alias(t)).where(F.col(t).isNotNull())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last = None, -np.inf
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(len(keys))]
-            kept = []
-            for i, x in enumerate(batch.column(len(keys)).to_pylist()):
-                key = tuple(c[i] for c in columns)
-                if key != now:
-                    now, last = key, -np.inf
-                if x - last >= hold:
-                    last = x
-                    kept.append(i)
-            yield batch.take(pa.array(kept, pa.int64()))
-
-    return given.repartition(n, *keys).sortWithinPartitions(*keys, t).mapInArrow(run, given.schema)
+def refractory(rows: DataFrame, keys: Keys, t: str, hold: float, block: float | None = None) -> DataFrame:
+    """Times that are at least `hold` after the last one kept: a pass over sorted times that carries the last one alone; with a `block` of time, a recording is dealt over tasks (`scan`)."""
+    if hold <= 0:
+        return rows.select(*keys, F.col(t).cast("double").alias(t)).where(F.col(t).isNotNull())
+    return scan.kept_apart(rows, keys, t, hold, block)
 
 
-def refractory_events(rows: DataFrame, keys: Keys, order: list[str], t: str, value: str, threshold: Column | float, gap: float, min_duration: float, hold: float) -> DataFrame:
+def refractory_events(rows: DataFrame, keys: Keys, order: list[str], t: str, value: str, threshold: Column | float, gap: float, min_duration: float, hold: float, block: float | None = None) -> DataFrame:
     """Islands of some duration whose peaks keep the refractory time."""
-    found = event_list(rows, keys, order, t, value, threshold, gap).where(F.col("duration_s") >= min_duration)
-    return found.join(refractory(found.select(*keys, "t_peak"), keys, "t_peak", hold).distinct(), [*keys, "t_peak"], "left_semi")
+    found = event_list(rows, keys, order, t, value, threshold, gap, block=block).where(F.col("duration_s") >= min_duration)
+    return found.join(refractory(found.select(*keys, "t_peak"), keys, "t_peak", hold, block).distinct(), [*keys, "t_peak"], "left_semi")
 
 
 def long_runs(rows: DataFrame, keys: Keys, order: list[str], t: str, on: Column, least: float) -> DataFrame:

@@ -102,35 +102,76 @@ def match_counts(pairs: DataFrame, ref: DataFrame, test: DataFrame, keys: Keys)
     return with_rates(g.select(*keys, "tp", (F.col("n_ref") - F.col("tp")).alias("fn"), (F.col("n_test") - F.col("tp")).alias("fp")))
 
 
+def grid(offsets: list[float]) -> tuple[float, float, int]:
+    """First, step and number of evenly spaced, rising offsets."""
+    if len(offsets) < 2:
+        return float(offsets[0]), 1.0, 1
+    first, step = float(offsets[0]), (float(offsets[-1]) - float(offsets[0])) / (len(offsets) - 1)
+    if step <= 0 or any(abs(first + i * step - o) > 1e-6 * step for i, o in enumerate(offsets)):
+        raise ValueError("offsets must rise by even steps")
+    return first, step, len(offsets)
+
+
+def near_pairs(ref: DataFrame, test: DataFrame, keys: Keys, offsets: tuple[float, float, int], tol: float) -> DataFrame:
+    """Pairs of `_r` and `_t` (with the other columns of both) that some offset of the grid brings within `tol`, and `_from` and `_to`, the indices of these offsets.
+
+    Trains are joined on blocks of time as long as the grid, so a pair is made
+    once, whatever the number of offsets.
+    """
+    first, step, n = offsets
+    span = (n - 1) * step + 2 * tol + step
+    a = ref.withColumn("_k", F.floor((F.col("_r") - first) / span))
+    b = test.withColumn("_k", F.explode(F.array(*(F.floor(F.col("_t") / span) + d for d in (-1, 0, 1)))))
+    x = a.join(b, [*keys, "_k"])
+    apart = F.col("_r") - F.col("_t") - first
+    x = x.withColumns({"_from": F.ceil((apart - tol - SLACK) / step), "_to": F.floor((apart + tol + SLACK) / step)})
+    return x.where((F.col("_from") <= F.col("_to")) & (F.col("_to") >= 0) & (F.col("_from") < n)).drop("_k")
+
+
+def swept(pairs: DataFrame, keys: Keys, last: int, sums: dict[str, Column]) -> DataFrame:
+    """Sums over the pairs whose range of indices holds each index at which they change: what begins is added, what ended is taken away, in one running sum."""
+    ends = F.array(F.struct(F.greatest("_from", F.lit(0)).alias("at"), F.lit(1).alias("sign")), F.struct((F.col("_to") + 1).alias("at"), F.lit(-1).alias("sign")))
+    x = pairs.withColumn("_e", F.explode(ends)).where(F.col("_e.at") <= last)
+    x = x.groupBy(*keys, F.col("_e.at").alias("_at")).agg(*(F.sum(v * F.col("_e.sign")).alias(c) for c, v in sums.items()))
+    w = W.partitionBy(*keys).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    return x.select(*keys, "_at", *(F.sum(c).over(w).alias(c) for c in sums))
+
+
 def offset_search(ref: DataFrame, test: DataFrame, keys: Keys, t: str, offsets: list[float], tol: float) -> DataFrame:
-    """For each recording the offset of the test train that matches most reference events; ties to the first of the list.
+    """For each recording the offset of the test train that matches most reference events; ties to the first.
 
-    Offsets are a literal spine, so all are tried in one job.
+    A near pair gives an interval of good offsets. Those of one reference
+    event are made disjoint, so it counts once; their ends, +1 and -1, and one
+    running sum give the count at every offset of an evenly spaced grid. The
+    count changes only where an interval begins or ends, so cost doesn't
+    follow the number of offsets.
     """
-    spine = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(float(o)).alias("offset")) for i, o in enumerate(offsets)))
-    moved = test.withColumn("_o", F.explode(spine)).select(*keys, F.col("_o.rank").alias("rank"), F.col("_o.offset").alias("offset"), (F.col(t) + F.col("_o.offset")).alias(t))
-    block = tol * 2 if tol > 0 else 1.0
-    a = ref.select(*keys, F.col(t).alias("t_ref")).withColumn("_k", F.floor(F.col("t_ref") / block))
-    b = moved.withColumnRenamed(t, "t_test").withColumn("_b", F.floor(F.col("t_test") / block))
-    b = b.withColumn("_k", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1))).drop("_b")
-    hit = a.join(b, [*keys, "_k"]).where(F.abs(F.col("t_test") - F.col("t_ref")) <= tol + SLACK)
-    # a reference event counts once
-    tp = hit.select(*keys, "rank", "offset", "t_ref").distinct().groupBy(*keys, "rank", "offset").agg(F.count("*").alias("tp"))
-    best = tp.groupBy(*keys).agg(F.min(F.struct((-F.col("tp")).alias("m"), "rank", "offset", "tp")).alias("b"))
-    return best.select(*keys, F.col("b.offset").alias("best_offset"), F.col("b.tp").alias("tp"))
+    first, step, n = grid(offsets)
+    a = ref.select(*keys, F.col(t).alias("_r")).where("_r is not null").distinct()
+    b = test.select(*keys, F.col(t).alias("_t")).where("_t is not null").distinct()
+    b = b.withColumn("_next", F.lead("_t").over(W.partitionBy(*keys).orderBy("_t")))
+    x = near_pairs(a, b, keys, (first, step, n), tol)
+    # offsets that bring the next test event near come first, and count there
+    taken = F.floor((F.col("_r") - F.col("_next") - first + tol + SLACK) / step) + 1
+    x = x.withColumn("_from", F.greatest("_from", taken)).where("_from <= _to and _to >= 0")
+    best = swept(x, keys, n - 1, {"tp": F.lit(1)}).where("tp > 0").groupBy(*keys).agg(F.min(F.struct((-F.col("tp")).alias("m"), "_at", "tp")).alias("b"))
+    return best.select(*keys, F.round(first + F.col("b._at") * step, 9).alias("best_offset"), F.col("b.tp").alias("tp"))
 
 
 def rr_delta_search(ref: DataFrame, test: DataFrame, keys: Keys, t: str, rr: str, deltas: list[float], tol: float, least: int = 5) -> DataFrame:
-    """The delta that gives the smallest mean absolute difference of intervals matched by start time, with `least` matches or more; the first of equals."""
-    spine = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(float(o)).alias("delta")) for i, o in enumerate(deltas)))
-    block = tol * 2
-    a = ref.select(*keys, F.col(t).alias("_tr"), F.col(rr).alias("_rr")).withColumn("_k", F.floor(F.col("_tr") / block))
-    b = test.withColumn("_o", F.explode(spine)).select(*keys, "_o.rank", "_o.delta", (F.col(t) + F.col("_o.delta")).alias("_tt"), F.col(rr).alias("_rt"))
-    b = b.withColumn("_k", F.explode(F.array(*(F.floor(F.col("_tt") / block) + d for d in (-1, 0, 1)))))
-    hit = a.join(b, [*keys, "_k"]).where(F.abs(F.col("_tt") - F.col("_tr")) <= tol + SLACK)
-    g = hit.groupBy(*keys, "rank", "delta").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("_rr") - F.col("_rt")) * 1000).alias("mae_ms")).where(F.col("n") >= least)
-    best = g.groupBy(*keys).agg(F.min(F.struct(F.round("mae_ms", 9).alias("m"), "rank", "delta", "n")).alias("b"))
-    return best.select(*keys, F.col("b.delta").alias("best_delta"), F.col("b.m").alias("mae_ms"), F.col("b.n").alias("n"))
+    """The delta that gives the smallest mean absolute difference of intervals matched by start time, with `least` matches or more; the first of equals.
+
+    As `offset_search`: a pair adds itself and its difference to all deltas that match it. Sums are decimals, so what is taken away leaves nothing.
+    """
+    first, step, n = grid(deltas)
+    a = ref.select(*keys, F.col(t).alias("_r"), F.col(rr).alias("_rr"))
+    b = test.select(*keys, F.col(t).alias("_t"), F.col(rr).alias("_rt"))
+    differs = F.coalesce(F.abs(F.col("_rr") - F.col("_rt")) * 1000, F.lit(0.0)).cast("decimal(24,9)")
+    known = (F.col("_rr") - F.col("_rt")).isNotNull().cast("int")
+    x = swept(near_pairs(a, b, keys, (first, step, n), tol), keys, n - 1, {"n": F.lit(1), "_known": known, "_sum": differs})
+    x = x.where(F.col("n") >= least).withColumn("m", F.round(F.col("_sum").cast("double") / F.nullif(F.col("_known"), F.lit(0)), 9))
+    best = x.groupBy(*keys).agg(F.min(F.struct("m", "_at", "n")).alias("b"))
+    return best.select(*keys, F.round(first + F.col("b._at") * step, 9).alias("best_delta"), F.col("b.m").alias("mae_ms"), F.col("b.n").alias("n"))
 
 
 def lag_search(ref: DataFrame, test: DataFrame, keys: Keys, idx: str, most: int) -> DataFrame:

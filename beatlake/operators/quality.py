@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from beatlake.functions.scalars import TINY, finite
+from beatlake.operators.intervals import overlap_pairs
+from beatlake.operators.quantiles import quantiles, with_quantiles
 
 Keys = list[str]
 
@@ -40,13 +42,11 @@ def quality_flags(windows: DataFrame, keys: Keys, flat_std: float, noise_factor:
 
 def recording_quality(flagged: DataFrame, keys: Keys) -> DataFrame:
     """A row a recording: percentiles of window statistics and shares of flagged windows."""
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    share = lambda c: F.avg(F.col(c).cast("int"))
-    return flagged.groupBy(*keys).agg(
-        F.count("*").alias("n_windows"), p("std", 0.5).alias("win_std_median"), p("std", 0.01).alias("win_std_p01"), p("std", 0.99).alias("win_std_p99"),
-        p("range", 0.5).alias("win_range_median"), p("range", 0.99).alias("win_range_p99"), share("is_flatline").alias("frac_flatline"),
-        share("is_noiseburst").alias("frac_noiseburst"), share("is_clipping").alias("frac_clipping"), p("diff_abs_med", 0.5).alias("diff_abs_median"),
-    )
+    flags = {f"frac_{f}": F.avg(F.col(f"is_{f}").cast("int")) for f in ("flatline", "noiseburst", "clipping")}
+    g = flagged.groupBy(*keys).agg(F.count("*").alias("n_windows"), *(v.alias(n) for n, v in flags.items()))
+    wanted = {"win_std_median": ("std", 0.5), "win_std_p01": ("std", 0.01), "win_std_p99": ("std", 0.99), "win_range_median": ("range", 0.5), "win_range_p99": ("range", 0.99), "diff_abs_median": ("diff_abs_med", 0.5)}
+    order = ("win_std_median", "win_std_p01", "win_std_p99", "win_range_median", "win_range_p99", *flags, "diff_abs_median")
+    return with_quantiles(g, flagged, keys, wanted).select(*keys, "n_windows", *order)
 
 
 def acceptable(df: DataFrame, flags: tuple[str, ...] = ("is_flatline", "is_noiseburst", "is_clipping"), out: str = "is_acceptable") -> DataFrame:
@@ -109,9 +109,8 @@ def weighted_summary(df: DataFrame, keys: Keys, metrics: list[str], weight: str)
     """A row for each metric: plain and weighted mean over finite values, median, p10, p90."""
     long = df.select(*keys, F.col(weight).alias("_w"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics))).alias("_m"))
     long = long.select(*keys, "_w", "_m.metric", "_m.x").where(finite(F.col("x")))
-    q = F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    g = long.groupBy(*keys, "metric").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.sum(F.col("x") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("weighted_mean"), q.alias("_q"))
-    return g.select(*keys, "metric", "n", "mean", "weighted_mean", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("p10"), F.col("_q")[2].alias("p90"))
+    g = long.groupBy(*keys, "metric").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.sum(F.col("x") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("weighted_mean"))
+    return with_quantiles(g, long, [*keys, "metric"], {"median": ("x", 0.5), "p10": ("x", 0.1), "p90": ("x", 0.9)})
 
 
 def retention(windows: DataFrame, keys: Keys, duration: Column, accept: str, event: str) -> DataFrame:
@@ -154,7 +153,9 @@ def error_enrichment(errors: DataFrame, windows: DataFrame, keys: Keys, accept:
 
 def rejection_around_onset(windows: DataFrame, events: DataFrame, keys: Keys, start: str, onset: str, accept: str, event_id: list[str], pre: float, post: float, step: float) -> DataFrame:
     """Share of rejected windows by bin of time to the onset: first a mean for each event, then of those."""
-    x = windows.join(events.select(*keys, *event_id, F.col(onset).alias("_on")), keys).withColumn("_rel", F.col(start) - F.col("_on")).where(F.col("_rel").between(-pre, post))
+    near = events.select(*keys, *event_id, F.col(onset).alias("_on"), (F.col(onset) - pre - 1).alias("_e0"), (F.col(onset) + post + 1).alias("_e1"))
+    at = windows.select(*keys, start, accept).withColumn("_s", F.col(start))
+    x = overlap_pairs(at, near, keys, (start, "_s"), ("_e0", "_e1"), closed=True).withColumn("_rel", F.col(start) - F.col("_on")).where(F.col("_rel").between(-pre, post))
     x = x.withColumn("bin_s", F.floor(F.col("_rel") / step) * step)
     each = x.groupBy(*keys, *event_id, "bin_s").agg(F.avg((~F.col(accept)).cast("int")).alias("_r"))
     return each.groupBy("bin_s").agg(F.avg("_r").alias("rejection_rate"), F.count("*").alias("n_events"))
@@ -169,8 +170,10 @@ def window_label(labels: DataFrame, keys: Keys, window: str, label: str) -> Data
 
 def population_thresholds(features: DataFrame, upper: dict[str, float], lower: dict[str, float]) -> DataFrame:
     """One row of percentile thresholds over finite values: infinity (upper) or 0 (lower) where there is none."""
-    get = lambda c, q: F.percentile(F.when(finite(F.col(c)), F.col(c)), F.lit(q))
-    return features.agg(*(F.coalesce(get(c, q), F.lit(float("inf"))).alias(f"{c}_max") for c, q in upper.items()), *(F.coalesce(get(c, q), F.lit(0.0)).alias(f"{c}_min") for c, q in lower.items()))
+    known = lambda c: F.when(finite(F.col(c)), F.col(c))
+    wanted = {f"{c}_max": (known(c), q) for c, q in upper.items()} | {f"{c}_min": (known(c), q) for c, q in lower.items()}
+    got = quantiles(features, [], wanted)
+    return got.select(*(F.coalesce(n, F.lit(float("inf") if n.removesuffix("_max") in upper and n.endswith("_max") else 0.0)).alias(n) for n in wanted))
 
 
 def classify_segments(features: DataFrame, upper: dict[str, float], lower: dict[str, float]) -> DataFrame:

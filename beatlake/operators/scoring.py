@@ -17,7 +17,7 @@ def analyzable_hours(windows: DataFrame, keys: Keys, w: tuple[str, str], accept:
     return one.groupBy(*by).agg((F.sum(F.greatest(F.col(w[1]) - F.col(w[0]), F.lit(0.0))) / 3600.0).alias("hours"))
 
 
-def score(found: DataFrame, truth: DataFrame, recording: str, f: tuple[str, str], e: tuple[str, str], pad: float, hours: DataFrame, by: Keys = (), block: float | None = None) -> DataFrame:
+def score(found: DataFrame, truth: DataFrame, recording: str, f: tuple[str, str], e: tuple[str, str], pad: float, hours: DataFrame, by: Keys = ()) -> DataFrame:
     """By group: events, those that no annotated event (widened by `pad`) overlaps, annotated events found, recall, false alarms an hour.
 
     `truth` has the group columns too: which annotated events count for a
@@ -25,7 +25,7 @@ def score(found: DataFrame, truth: DataFrame, recording: str, f: tuple[str, str]
     """
     by = list(by)
     wide = truth.select(*by, recording, F.col(e[0]).alias("_e0"), F.col(e[1]).alias("_e1"), (F.col(e[0]) - pad).alias("_p0"), (F.col(e[1]) + pad).alias("_p1"))
-    pairs = overlap_pairs(found.select(*by, recording, F.col(f[0]).alias("_f0"), F.col(f[1]).alias("_f1")), wide, [*by, recording], ("_f0", "_f1"), ("_p0", "_p1"), closed=True, block=block)
+    pairs = overlap_pairs(found.select(*by, recording, F.col(f[0]).alias("_f0"), F.col(f[1]).alias("_f1")), wide, [*by, recording], ("_f0", "_f1"), ("_p0", "_p1"), closed=True)
     hit_e = pairs.select(*by, recording, "_e0", "_e1").distinct().groupBy(*by).agg(F.count("*").alias("n_detected"))
     hit_f = pairs.select(*by, recording, "_f0", "_f1").distinct().groupBy(*by).agg(F.count("*").alias("_tp"))
     n_f = found.select(*by, recording, *f).distinct().groupBy(*by).agg(F.count("*").alias("n_events"))

@@ -31,8 +31,8 @@ def segment_index(recordings: DataFrame, events: DataFrame, keys: Keys, duration
     """Tiles labelled seizure_core, seizure_extended (within the buffer) or baseline, the first that applies."""
     w = tiles(recordings, duration, length)
     wide = events.select(*keys, (F.col(e[0]) - buffer).alias("_b0"), (F.col(e[1]) + buffer).alias("_b1"))
-    x = overlap_flag(w, events, keys, ["window_idx"], ("win_start_s", "win_end_s"), e, out="_core", block=length * 10)
-    x = overlap_flag(x, wide, keys, ["window_idx"], ("win_start_s", "win_end_s"), ("_b0", "_b1"), out="_near", block=length * 10)
+    x = overlap_flag(w, events, keys, ["window_idx"], ("win_start_s", "win_end_s"), e, out="_core")
+    x = overlap_flag(x, wide, keys, ["window_idx"], ("win_start_s", "win_end_s"), ("_b0", "_b1"), out="_near")
     label = F.when(F.col("_core"), "seizure_core").when(F.col("_near"), "seizure_extended").otherwise("baseline")
     return x.withColumn("context", label).drop("_core", "_near")
 

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from beatlake.functions import kernels as K
+from beatlake.operators.quantiles import quantiles
 
 Keys = list[str]
 # Bands in Hz.
@@ -261,12 +262,11 @@ def qc_metrics(x: Column, limit: float = 1e-6) -> dict[str, Column]:
 def spectral_uniqueness(psds: DataFrame, keys: Keys) -> DataFrame:
     """Root mean square of each segment's log spectrum against the median spectrum of all."""
     x = psds.select(*keys, F.posexplode("p").alias("bin", "power")).withColumn("lp", F.log10(F.greatest("power", F.lit(1e-20))))
-    mid = x.groupBy("bin").agg(F.median("lp").alias("_m"))
+    mid = quantiles(x, ["bin"], {"_m": ("lp", 0.5)})
     return x.join(mid, "bin").groupBy(*keys).agg(F.sqrt(F.avg((F.col("lp") - F.col("_m")) ** 2)).alias("uniqueness"))
 
 
 def psd_bands(psds: DataFrame) -> DataFrame:
     """Percentiles of all segments' power by bin."""
     x = psds.select(F.posexplode("p").alias("bin", "power"))
-    q = F.percentile("power", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return x.groupBy("bin").agg(q.alias("_q")).select("bin", F.col("_q")[0].alias("p10"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p90"))
+    return quantiles(x, ["bin"], {"p10": ("power", 0.1), "p50": ("power", 0.5), "p90": ("power", 0.9)})

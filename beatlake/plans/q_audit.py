@@ -47,14 +47,14 @@ def time_windows(spark, sf_dir):
 SELECT user_id, window_idx, g.n AS n, round(CASE WHEN g.n >= 3 THEN m END, 6) AS median, round(CASE WHEN g.n >= 3 THEN a END, 8) AS mean FROM w JOIN g USING (user_id, window_idx)""")
 def values_by_segment(spark, sf_dir):
     w = six_hours(spark, sf_dir).select("user_id", "window_idx", "win_start_s", "win_end_s")
-    x = A.by_segment(events_table(spark, sf_dir), w, USER, ["window_idx"], "t", "value", ("win_start_s", "win_end_s"), block=6 * HOUR)
+    x = A.by_segment(events_table(spark, sf_dir), w, USER, ["window_idx"], "t", "value", ("win_start_s", "win_end_s"))
     return rounded(rounded(x, "median"), "mean", digits=8)
 
 
 @query("painted_scores", f"WITH {WIN}, v AS (SELECT user_id, window_idx, win_start_s, win_end_s + 21600 AS win_end_s, mx FROM w) SELECT e.user_id, e.event_id, round(avg(v.mx), 8) AS mx FROM e LEFT JOIN v ON v.user_id = e.user_id AND e.t >= v.win_start_s AND e.t < v.win_end_s GROUP BY 1, 2")
 def painted_scores(spark, sf_dir):
     w = six_hours(spark, sf_dir).withColumn("win_end_s", F.col("win_end_s") + 6 * HOUR)
-    x = A.painted(events_table(spark, sf_dir), w, USER, "t", ("win_start_s", "win_end_s"), "mx", block=6 * HOUR)
+    x = A.painted(events_table(spark, sf_dir), w, USER, "t", ("win_start_s", "win_end_s"), "mx")
     return rounded(x.select("user_id", "event_id", "mx"), "mx", digits=8)
 
 

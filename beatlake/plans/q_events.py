@@ -13,6 +13,8 @@ from beatlake.schema import dedup_first, duplicates
 
 USER, ORDER = ["user_id"], ["event_id"]
 HOUR = 3600.0
+#: Blocks of time that long recordings are cut into.
+BLOCK = 30 * 24 * HOUR
 #: Annotated events: five minutes around each error.
 TRUTH = "truth AS (SELECT user_id, event_id AS seizure_id, t, t - 300 AS t0, t + 300 AS t1 FROM e WHERE event_type = 'error')"
 ISLANDS = """o AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 43200 THEN 1 ELSE 0 END AS b FROM e WHERE value > 20), i AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id) AS isl FROM o),
@@ -25,7 +27,7 @@ def truth(spark, sf_dir):
 
 
 def islands(spark, sf_dir):
-    return V.event_list(events_table(spark, sf_dir), USER, ORDER, "t", "value", 20.0, gap=12 * HOUR)
+    return V.event_list(events_table(spark, sf_dir), USER, ORDER, "t", "value", 20.0, gap=12 * HOUR, block=BLOCK)
 
 
 @query("threshold_events", f"WITH {E}, {ISLANDS} SELECT user_id, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, round(t_end - t_start, 6) AS duration_s, round(t_peak, 6) AS t_peak, peak_value, n_points FROM ev")
@@ -44,19 +46,19 @@ g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED P
 def event_merge(spark, sf_dir):
     e = events_table(spark, sf_dir).where(F.col("event_type").isin("error", "purchase"))
     x = e.select("user_id", (F.col("t") - 6 * HOUR).alias("t_start"), (F.col("t") + 6 * HOUR).alias("t_end"))
-    return rounded(V.merge_overlaps(x, USER), "t_start", "t_end")
+    return rounded(V.merge_overlaps(x, USER, block=BLOCK), "t_start", "t_end")
 
 
 @query("refractory_events", f"""WITH RECURSIVE {E}, s AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM e WHERE value > 10), k AS (SELECT user_id, t, i, t AS kept FROM s WHERE i = 1 UNION ALL
 SELECT s.user_id, s.t, s.i, CASE WHEN s.t - k.kept >= 86400 THEN s.t ELSE k.kept END FROM k JOIN s ON s.user_id = k.user_id AND s.i = k.i + 1) SELECT DISTINCT user_id, round(kept, 6) AS t FROM k""")
 def refractory_events(spark, sf_dir):
-    return rounded(V.refractory(events_table(spark, sf_dir).where("value > 10"), USER, "t", 24 * HOUR), "t")
+    return rounded(V.refractory(events_table(spark, sf_dir).where("value > 10"), USER, "t", 24 * HOUR, BLOCK), "t")
 
 
 @query("refractory_islands", f"""WITH RECURSIVE {E}, {ISLANDS}, d AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t_peak) AS i FROM ev WHERE t_end - t_start >= 3600), k AS (SELECT user_id, t_peak, i, t_peak AS kept, n_points, t_start FROM d WHERE i = 1 UNION ALL
 SELECT d.user_id, d.t_peak, d.i, CASE WHEN d.t_peak - k.kept >= 172800 THEN d.t_peak ELSE k.kept END, d.n_points, d.t_start FROM k JOIN d ON d.user_id = k.user_id AND d.i = k.i + 1) SELECT user_id, round(t_start, 6) AS t_start, round(t_peak, 6) AS t_peak, n_points FROM k WHERE t_peak = kept""")
 def refractory_islands(spark, sf_dir):
-    x = V.refractory_events(events_table(spark, sf_dir), USER, ORDER, "t", "value", 20.0, 12 * HOUR, HOUR, 48 * HOUR)
+    x = V.refractory_events(events_table(spark, sf_dir), USER, ORDER, "t", "value", 20.0, 12 * HOUR, HOUR, 48 * HOUR, BLOCK)
     return rounded(x.select("user_id", "t_start", "t_peak", "n_points"), "t_start", "t_peak")
 
 
@@ -125,13 +127,13 @@ for _name, _closed in (("window_overlap_strict", False), ("window_overlap_closed
 
     @query(_name, f"WITH {E}, {TRUTH}, {WINDOWS} SELECT user_id, window_idx, EXISTS (SELECT 1 FROM truth s WHERE s.user_id = win.user_id AND win.w0 {_lt} s.t1 AND s.t0 {_lt} win.w1) AS overlaps_event FROM win")
     def window_overlap(spark, sf_dir, closed=_closed):
-        x = I.overlap_flag(windows(spark, sf_dir), truth(spark, sf_dir), USER, ["window_idx"], ("w0", "w1"), ("t0", "t1"), closed, block=24 * HOUR)
+        x = I.overlap_flag(windows(spark, sf_dir), truth(spark, sf_dir), USER, ["window_idx"], ("w0", "w1"), ("t0", "t1"), closed)
         return x.select("user_id", "window_idx", "overlaps_event")
 
 
 @query("windows_by_event", f"WITH {E}, {TRUTH}, {WINDOWS} SELECT user_id, seizure_id, count(*) AS n_windows, sum(n) AS n_points FROM win JOIN truth s USING (user_id) WHERE w0 < t1 AND w1 > t0 GROUP BY 1, 2")
 def windows_by_event(spark, sf_dir):
-    x = I.overlap_pairs(windows(spark, sf_dir), truth(spark, sf_dir), USER, ("w0", "w1"), ("t0", "t1"), block=24 * HOUR)
+    x = I.overlap_pairs(windows(spark, sf_dir), truth(spark, sf_dir), USER, ("w0", "w1"), ("t0", "t1"))
     return x.groupBy("user_id", "seizure_id").agg(F.count("*").alias("n_windows"), F.sum("n").alias("n_points"))
 
 
@@ -140,7 +142,7 @@ SELECT p.user_id, p.event_id, w.wid FROM p ASOF JOIN w ON p.user_id = w.user_id
 def asof_window_map(spark, sf_dir):
     e = events_table(spark, sf_dir)
     w = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("wid"), F.col("t").alias("s"), (F.col("t") + 12 * HOUR).alias("en"))
-    return I.asof_window(e.where("event_type <> 'error'").select("user_id", "event_id", "t"), w, USER, "t", "s", "en", ["wid"], ["event_id"]).select("user_id", "event_id", "wid")
+    return I.asof_window(e.where("event_type <> 'error'").select("user_id", "event_id", "t"), w, USER, "t", "s", "en", ["wid"], ["event_id"], BLOCK).select("user_id", "event_id", "wid")
 
 
 @query("floor_window_join", f"""WITH {E}, f AS (SELECT *, t - min(t) OVER (PARTITION BY user_id) AS x FROM e), w AS (SELECT user_id, floor(x / 21600)::BIGINT AS window_idx, avg(value) AS m FROM f WHERE event_type = 'view' GROUP BY 1, 2)
@@ -157,7 +159,7 @@ def floor_window_join(spark, sf_dir):
 SELECT a.user_id, a.event_id, round(CASE WHEN abs(j.dt) <= 7200 THEN j.dt END, 6) AS dt FROM a LEFT JOIN j ON j.event_id = a.event_id AND rn = 1""")
 def nearest_tolerance_join(spark, sf_dir):
     e = events_table(spark, sf_dir)
-    x = I.nearest(e.where("event_type = 'click'"), e.where("event_type = 'view'"), USER, "t", "t", 2 * HOUR)
+    x = I.nearest(e.where("event_type = 'click'"), e.where("event_type = 'view'"), USER, "t", "t", 2 * HOUR, block=BLOCK)
     return rounded(x.select("user_id", "event_id", "dt"), "dt")
 
 
@@ -165,20 +167,20 @@ def nearest_tolerance_join(spark, sf_dir):
 SELECT user_id, round(median(dt), 3) AS delta, count(*) AS n FROM j WHERE rn = 1 AND abs(dt) <= 36000 GROUP BY 1""")
 def nearest_shift(spark, sf_dir):
     e = events_table(spark, sf_dir)
-    x = I.nearest(e.where("event_type = 'click'"), e.where("event_type = 'view'"), USER, "t", "t")
+    x = I.nearest(e.where("event_type = 'click'"), e.where("event_type = 'view'"), USER, "t", "t", block=BLOCK)
     return rounded(M.nearest_shift(x, USER, 10 * HOUR), "delta", digits=3)
 
 
 @query("point_in_interval", f"WITH {E}, {TRUTH} SELECT user_id, event_id, EXISTS (SELECT 1 FROM truth s WHERE s.user_id = e.user_id AND e.t BETWEEN s.t0 - 3600 AND s.t1 + 3600) AS inside FROM e WHERE event_type = 'purchase'")
 def point_in_interval(spark, sf_dir):
     e = events_table(spark, sf_dir).where("event_type = 'purchase'")
-    return I.points_in_intervals(e, truth(spark, sf_dir), USER, "t", ("t0", "t1"), HOUR, block=6 * HOUR).select("user_id", "event_id", "inside")
+    return I.points_in_intervals(e, truth(spark, sf_dir), USER, "t", ("t0", "t1"), HOUR).select("user_id", "event_id", "inside")
 
 
 @query("coverage_fraction", f"""WITH {E}, {TRUTH}, {WINDOWS}, c AS (SELECT user_id, window_idx, sum(least(w1, t1) - greatest(w0, t0)) AS s FROM win JOIN truth USING (user_id) WHERE w0 < t1 AND w1 > t0 GROUP BY 1, 2)
 SELECT user_id, window_idx, round(CASE WHEN w1 > w0 THEN coalesce(s, 0) / (w1 - w0) END, 6) AS coverage FROM win LEFT JOIN c USING (user_id, window_idx)""")
 def coverage_fraction(spark, sf_dir):
-    x = I.coverage(windows(spark, sf_dir), truth(spark, sf_dir), USER, ["window_idx"], ("w0", "w1"), ("t0", "t1"), block=24 * HOUR)
+    x = I.coverage(windows(spark, sf_dir), truth(spark, sf_dir), USER, ["window_idx"], ("w0", "w1"), ("t0", "t1"))
     return rounded(x.select("user_id", "window_idx", "coverage"), "coverage")
 
 
@@ -267,6 +269,14 @@ def offset_grid_search(spark, sf_dir):
     return M.offset_search(a, b, USER, "t", [(i - 10) * HOUR for i in range(21)], 1800.0)
 
 
+@query("offset_fine_search", f"""WITH {E}, p AS (SELECT a.user_id, a.t, unnest(range(greatest(ceil((a.t - b.t + 72000 - 900.000000001) / 12)::BIGINT, 0), least(floor((a.t - b.t + 72000 + 900.000000001) / 12)::BIGINT, 12000) + 1)) AS rank FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view'),
+tp AS (SELECT user_id, rank, count(DISTINCT t) AS tp FROM p GROUP BY ALL) SELECT user_id, rank * 12.0::DOUBLE - 72000 AS best_offset, tp FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tp DESC, rank) AS rn FROM tp) WHERE rn = 1""")
+def offset_fine_search(spark, sf_dir):
+    """12,001 offsets, at the cost of 21."""
+    a, b = trains(spark, sf_dir)
+    return M.offset_search(a, b, USER, "t", [(i - 6000) * 12.0 for i in range(12001)], 900.0)
+
+
 @query("rr_delta_search", f"""WITH {E}, r AS (SELECT user_id, event_type, t, t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t) AS rr FROM e WHERE event_type IN ('click', 'view')), o AS (SELECT i AS rank, (i - 4) * 7200.0::DOUBLE AS off FROM range(9) t(i)),
 g AS (SELECT a.user_id, rank, off, count(*) AS n, round(avg(abs(a.rr - b.rr) * 1000), 9) AS mae FROM r a JOIN r b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND a.rr IS NOT NULL AND b.rr IS NOT NULL JOIN o ON abs(b.t + off - a.t) <= 10800.000000001 GROUP BY ALL HAVING count(*) >= 2)
 SELECT user_id, off AS best_delta, round(mae, 2) AS mae_ms, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mae, rank) AS rn FROM g) WHERE rn = 1""")

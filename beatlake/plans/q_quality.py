@@ -72,7 +72,7 @@ EXISTS (SELECT 1 FROM truth s WHERE s.user_id = w0.user_id AND window_idx * 2160
 def six_hours(spark, sf_dir):
     g = events_table(spark, sf_dir).groupBy("user_id", F.floor(F.col("t") / (6 * HOUR)).cast("bigint").alias("window_idx")).agg(F.max("value").alias("mx"), F.count("*").alias("n"))
     g = g.withColumns({"win_start_s": F.col("window_idx") * 21600.0, "win_end_s": (F.col("window_idx") + 1) * 21600.0, "ok": F.col("mx") <= 25})
-    return I.overlap_flag(g, truth(spark, sf_dir), USER, ["window_idx"], ("win_start_s", "win_end_s"), ("t0", "t1"), block=6 * HOUR, out="ev")
+    return I.overlap_flag(g, truth(spark, sf_dir), USER, ["window_idx"], ("win_start_s", "win_end_s"), ("t0", "t1"), out="ev")
 
 
 @query("retention_overall", f"""WITH {WIN} SELECT user_id, count(*) AS n_all, count(*) FILTER (WHERE ok) AS kept_all, count(*) FILTER (WHERE ev) AS n_event, count(*) FILTER (WHERE ev AND ok) AS kept_event, count(*) FILTER (WHERE NOT ev) AS n_baseline, count(*) FILTER (WHERE NOT ev AND ok) AS kept_baseline,
@@ -84,7 +84,7 @@ def retention_overall(spark, sf_dir):
 
 @query("retention_by_event", f"WITH {WIN} SELECT user_id, seizure_id, count(*) AS n_windows, count(*) FILTER (WHERE ok) AS n_kept, round(avg(ok::INT), 6) AS share_kept FROM w JOIN truth USING (user_id) WHERE win_start_s < t1 AND win_end_s > t0 GROUP BY 1, 2")
 def retention_by_event(spark, sf_dir):
-    p = I.overlap_pairs(six_hours(spark, sf_dir), truth(spark, sf_dir), USER, ("win_start_s", "win_end_s"), ("t0", "t1"), block=6 * HOUR)
+    p = I.overlap_pairs(six_hours(spark, sf_dir), truth(spark, sf_dir), USER, ("win_start_s", "win_end_s"), ("t0", "t1"))
     return rounded(Q.retention_by_event(p, USER, ["window_idx"], ["seizure_id"], "ok"), "share_kept")
 
 

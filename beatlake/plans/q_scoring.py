@@ -93,7 +93,7 @@ n AS (SELECT sqi, count(*) AS n_events, count(*) FILTER (WHERE NOT EXISTS (SELEC
 SELECT sqi, n_events, n_true, n_detected, n_false, round(n_detected / n_true, 6) AS recall, round(n_false / hours, 6) AS far_per_h FROM d JOIN n USING (sqi), h""")
 def scoring_table(spark, sf_dir):
     found, true, hours = study(spark, sf_dir)
-    x = S.score(found, true, "user_id", ("t_start", "t_end"), ("t0", "t1"), 6 * HOUR, hours, ["sqi"], block=24 * HOUR)
+    x = S.score(found, true, "user_id", ("t_start", "t_end"), ("t0", "t1"), 6 * HOUR, hours, ["sqi"])
     return rounded(x.select("sqi", "n_events", "n_true", "n_detected", "n_false", "recall", "far_per_h"), "recall", "far_per_h")
 
 
@@ -104,7 +104,7 @@ SELECT sqi, responder, n_events, n_true, n_detected, n_false, round(n_detected /
 def responder_split(spark, sf_dir):
     found, true, hours = study(spark, sf_dir)
     group = lambda df: S.with_overall(df.withColumn("responder", F.when(F.col("user_id") % 3 == 0, "yes").otherwise("no")), "responder")
-    x = S.score(group(found), group(true), "user_id", ("t_start", "t_end"), ("t0", "t1"), 6 * HOUR, hours, ["sqi", "responder"], block=24 * HOUR)
+    x = S.score(group(found), group(true), "user_id", ("t_start", "t_end"), ("t0", "t1"), 6 * HOUR, hours, ["sqi", "responder"])
     return rounded(x.select("sqi", "responder", "n_events", "n_true", "n_detected", "n_false", "recall", "far_per_h"), "recall", "far_per_h")
 
 

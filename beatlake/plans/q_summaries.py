@@ -26,8 +26,10 @@ def patient_summary(spark, sf_dir):
 SELECT unnest(['n_recordings', 'n_patients', 'total', 'median', 'iqr']) AS metric, unnest([n, p, s, m, q]) AS value FROM a""")
 def dataset_overview(spark, sf_dir):
     v = F.col("o_totalprice")
-    q = F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))
-    return U.overview(table(spark, sf_dir, "orders"), {"n_recordings": F.count("*"), "n_patients": F.countDistinct("o_custkey"), "total": F.round(F.sum(v), 2), "median": F.round(F.median(v), 3), "iqr": F.round(q, 3)})
+    x = U.overview(table(spark, sf_dir, "orders"), {"n_recordings": F.count("*"), "n_patients": F.countDistinct("o_custkey"), "total": F.sum(v)}, {"p25": (v, 0.25), "median": (v, 0.5), "p75": (v, 0.75)})
+    iqr = x.where("metric in ('p25', 'p75')").agg(F.sum(F.when(F.col("metric") == "p75", F.col("value")).otherwise(-F.col("value"))).alias("value"))
+    x = x.where("metric not in ('p25', 'p75')").unionByName(iqr.select(F.lit("iqr").alias("metric"), "value"))
+    return x.withColumn("value", F.when(F.col("metric") == "total", F.round("value", 2)).otherwise(F.round("value", 3)))
 
 
 @query("stability_quantiles", f"WITH {E} SELECT event_type, count(value) AS count, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS min, round(quantile_cont(value, 0.05), 4) AS p050, round(median(value), 4) AS p500, round(quantile_cont(value, 0.95), 4) AS p950, round(quantile_cont(value, 0.99), 4) AS p990, max(value) AS max FROM e GROUP BY 1")
@@ -159,6 +161,20 @@ def fit_two_cuts(spark, sf_dir):
     return rounded(U.fit_two_cuts(classed(spark, sf_dir), "q", "y", [10.0, 20.0, 30.0, 40.0]), "macro_f1")
 
 
+SPLIT = "h AS (SELECT y, q, ('0x' || substr(md5('split:' || k), 1, 12))::UBIGINT::DOUBLE AS h FROM (SELECT CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS y, l_quantity AS q, l_orderkey || '-' || l_linenumber AS k FROM lineitem)), c AS (SELECT y, quantile_cont(h, 0.8) AS cut FROM h GROUP BY 1), s AS (SELECT h.y, q, h <= cut AS train FROM h JOIN c USING (y))"
+
+
+@query("cuts_on_held_out", f"""WITH {SPLIT}, v(c) AS (VALUES (5.0), (10.0), (15.0), (20.0), (25.0), (30.0), (35.0), (40.0), (45.0)), g AS (SELECT row_number() OVER (ORDER BY a.c, b.c) AS r, a.c::DOUBLE AS t1, b.c::DOUBLE AS t2 FROM v a, v b WHERE a.c > b.c),
+n AS (SELECT train, y, q, count(*) AS n FROM s GROUP BY ALL), z AS (SELECT r, t1, t2, train, y, CASE WHEN q >= t1 THEN 1 WHEN q >= t2 THEN 2 ELSE 3 END AS p, n FROM n, g),
+f AS (SELECT r, t1, t2, train, k, 2 * coalesce(sum(n) FILTER (WHERE y = k AND p = k), 0) / greatest(coalesce(sum(n) FILTER (WHERE y = k), 0) + coalesce(sum(n) FILTER (WHERE p = k), 0), 1) AS f FROM z, (VALUES (1), (2), (3)) w(k) GROUP BY ALL), m AS (SELECT r, t1, t2, train, sum(f) / 3 AS m FROM f GROUP BY ALL), b AS (SELECT * FROM m WHERE train ORDER BY round(m, 9) DESC, r LIMIT 1)
+SELECT b.t1, b.t2, round(b.m, 6) AS train_macro_f1, (SELECT count(*) FROM s WHERE NOT train) AS n_test, round(m.m, 6) AS test_macro_f1 FROM b JOIN m ON m.r = b.r AND NOT m.train""")
+def cuts_on_held_out(spark, sf_dir):
+    """Cut points of a quality score fitted on four fifths of the rows of each class and scored on the rest."""
+    flag = F.col("l_returnflag")
+    x = table(spark, sf_dir, "lineitem").select(F.when(flag == "A", 1).when(flag == "N", 2).otherwise(3).alias("y"), F.col("l_quantity").alias("q"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"))
+    return rounded(U.fit_and_test(x, "q", "y", F.col("k"), [5.0 * i for i in range(1, 10)], "split"), "train_macro_f1", "test_macro_f1")
+
+
 @query("filename_parse", r"""WITH x AS (SELECT s_suppkey, 'dir/P' || lpad((s_suppkey % 43)::VARCHAR, 2, '0') || CASE s_suppkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'B' ELSE '' END || '_R' || lpad((s_suppkey % 7)::VARCHAR, 2, '0') || CASE WHEN s_suppkey % 11 = 0 THEN '_oops.csv' ELSE '_NeuroKit_rr_aligned.csv' END AS f FROM supplier)
 SELECT s_suppkey, CASE WHEN s_suppkey % 11 <> 0 THEN s_suppkey % 43 END AS patient_id, CASE WHEN s_suppkey % 11 <> 0 THEN CASE s_suppkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END END AS enrollment_id, CASE WHEN s_suppkey % 11 <> 0 THEN s_suppkey % 7 END AS recording_id, CASE WHEN s_suppkey % 11 <> 0 THEN 'neurokit' END AS algo_id FROM x""")
 def filename_parse(spark, sf_dir):

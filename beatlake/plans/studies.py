@@ -47,7 +47,7 @@ def detection_study(pairs: DataFrame, recordings: DataFrame, windows: DataFrame,
     if span["a"] is not None and span["b"] - span["a"] > 1e-6:
         raise ValueError("windows of different lengths")
     length = span["b"] or 60.0
-    w = intervals.overlap_flag(windows, truth, ["recording_uid"], ["window_idx"], ("win_start_s", "win_end_s"), ("t0", "t1"), block=10 * length, out="window_overlaps_seizure")
+    w = intervals.overlap_flag(windows, truth, ["recording_uid"], ["window_idx"], ("win_start_s", "win_end_s"), ("t0", "t1"), out="window_overlaps_seizure")
     w = scratch.save(w)
     feats = intervals.floor_window(feats, assert_unique(w, "recording_uid", "window_idx"), ["recording_uid"], "t_s", length, ["is_acceptable", "window_overlaps_seizure"])
     feats = scratch.save(feats)
@@ -60,7 +60,7 @@ def detection_study(pairs: DataFrame, recordings: DataFrame, windows: DataFrame,
     used = truth.select("recording_uid", "t0", "t1").join(modes.select(*by, "recording_uid", "patient_id").distinct(), "recording_uid")
     used = scratch.save(used)
     hours = scoring.analyzable_hours(windows, ["recording_uid"], ("win_start_s", "win_end_s"))
-    score = lambda f, u, g: scoring.score(f, u, "recording_uid", ("t_start", "t_end"), ("t0", "t1"), cfg.pad_s, hours, g, block=2 * cfg.pad_s + cfg.gap_s)
+    score = lambda f, u, g: scoring.score(f, u, "recording_uid", ("t_start", "t_end"), ("t0", "t1"), cfg.pad_s, hours, g)
     split = lambda df: scoring.with_overall(scoring.responders(df, "patient_id", list(cfg.responders)), "is_responder")
     return {"features": marked, "thresholds": thr, "events": found, "scores": score(found, used, by), "responder_scores": score(split(found), split(used), [*by, "is_responder"])}
 
@@ -70,8 +70,8 @@ def retention_study(windows: DataFrame, truth: DataFrame) -> dict[str, DataFrame
     w = quality.acceptable(windows)
     length = F.col("win_end_s") - F.col("win_start_s")
     axis = ("win_start_s", "win_end_s")
-    w = intervals.overlap_flag(w, truth, ["recording_uid"], ["window_idx"], axis, ("t0", "t1"), block=600.0, out="overlaps_event")
-    pairs = intervals.overlap_pairs(w, truth, ["recording_uid"], axis, ("t0", "t1"), block=600.0)
+    w = intervals.overlap_flag(w, truth, ["recording_uid"], ["window_idx"], axis, ("t0", "t1"), out="overlaps_event")
+    pairs = intervals.overlap_pairs(w, truth, ["recording_uid"], axis, ("t0", "t1"))
     flags = [f for f in ("is_flatline", "is_noiseburst", "is_clipping") if f in w.columns]
     return {
         "by_recording": quality.retention(w, ["recording_uid"], length, "is_acceptable", "overlaps_event"),
@@ -80,11 +80,11 @@ def retention_study(windows: DataFrame, truth: DataFrame) -> dict[str, DataFrame
     }
 
 
-def compare_peaks(ref: DataFrame, test: DataFrame, keys: list[str], t: str = "t", tol: float = 0.04, refine: bool = True) -> dict[str, DataFrame]:
+def compare_peaks(ref: DataFrame, test: DataFrame, keys: list[str], t: str = "t", tol: float = 0.04, refine: bool = True, block: float | None = None) -> dict[str, DataFrame]:
     """Match metrics of two peak trains for all recordings (and methods) at once: common range, median shift, greedy match, error log, interval agreement."""
     span = intervals.common_range(ref, test, keys, t)
     a, b = (intervals.crop(x, span, keys, t, "overlap_start", "overlap_end") for x in (ref, test))
-    shift = matching.nearest_shift(intervals.nearest(b, a, keys, t, t), keys)
+    shift = matching.nearest_shift(intervals.nearest(b, a, keys, t, t, block=block), keys)
     moved = b.join(shift.select(*keys, "delta"), keys, "left").withColumn(t, F.col(t) + F.coalesce("delta", F.lit(0.0))).drop("delta")
     matched = matching.greedy_match(a, moved, keys, t, tol)
     if refine:

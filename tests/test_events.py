@@ -42,11 +42,10 @@ def test_trim_points(spark):
     assert (r["trim_first"], r["trim_last"]) == (1, 3)
 
 
-@pytest.mark.parametrize("block", [None, 5.0])
-def test_overlap_strict_and_closed(spark, block):
+def test_overlap_strict_and_closed(spark):
     w = spark.createDataFrame([(1, 0, 10.0, 20.0)], "r int, window_idx int, a double, b double")
     e = spark.createDataFrame([(1, 20.0, 30.0)], "r int, t0 double, t1 double")
-    flag = lambda closed: I.overlap_flag(w, e, K, ["window_idx"], ("a", "b"), ("t0", "t1"), closed, block).first()["overlaps_event"]
+    flag = lambda closed: I.overlap_flag(w, e, K, ["window_idx"], ("a", "b"), ("t0", "t1"), closed).first()["overlaps_event"]
     assert not flag(False) and flag(True)
 
 
@@ -55,8 +54,7 @@ def test_overlap_pairs_like_brute_force(spark):
     w, e = ([(int(rng.integers(0, 3)), float(a), float(a + d)) for a, d in zip(rng.uniform(0, 100, 60), rng.exponential(9, 60))] for _ in range(2))
     a, b = spark.createDataFrame(w, "r int, a double, b double"), spark.createDataFrame(e, "r int, c double, d double")
     want = sorted((x[1], y[1]) for x in w for y in e if x[0] == y[0] and x[1] < y[2] and x[2] > y[1])
-    for block in (None, 4.0, 50.0):
-        assert pairs(I.overlap_pairs(a, b, K, ("a", "b"), ("c", "d"), block=block), "a", "c") == want
+    assert pairs(I.overlap_pairs(a, b, K, ("a", "b"), ("c", "d")), "a", "c") == want
 
 
 def test_asof_with_validity(spark):
