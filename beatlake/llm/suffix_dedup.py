@@ -64,8 +64,12 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 
 def lengths(threshold: int) -> list[int]:
     """Growing lengths, each at most twice the one before; the last is the threshold."""
-    steps = [threshold // 8, threshold // 4, threshold // 2, threshold - threshold // 8, threshold - threshold // 64, threshold]
-    return sorted({max(1, s) for s in steps})
+    steps = [threshold, threshold - threshold // 64, threshold - threshold // 8]
+    part = threshold
+    for _ in range(3):
+        part = (part + 1) // 2
+        steps.append(part)
+    return sorted(set(steps))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -189,10 +193,11 @@ class Repeats:
             found.append(scratch.save(settled.select("text_key", "lo", last())))
             if length == threshold:
                 break
-            mixed_ranks = classes.groupBy(*RANK).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*RANK)
+            # written, so that the join reads two exchanges and a frequent rank can be split
+            mixed_ranks = scratch.save(classes.groupBy(*RANK).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*RANK))
             left = classes.join(mixed_ranks, RANK, "left_semi").select("one.text_key", "one.lo", last("one.lo"))
             spans = scratch.save(left.groupBy("text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-            for table in (rows, classes):
+            for table in (rows, classes, mixed_ranks):
                 scratch.drop(table)
             todo = self.texts.join(spans, "text_key")
         every = functools.reduce(DataFrame.unionByName, found)
