@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from beatlake.functions.scalars import correlation, finite
 from beatlake.operators.intervals import overlap_pairs
+from beatlake.operators.ranges import NUMBER, deviation, range_sums, squared
 
 Keys = list[str]
 
@@ -36,13 +37,18 @@ def valid_peri(windows: DataFrame, role: str, seconds: Column, ictal: float = 5.
     return windows.where(F.when(F.col(role) == "ictal", seconds >= ictal).otherwise(seconds >= other))
 
 
-def time_windows(beats: DataFrame, keys: Keys, t: str, x: str, length: float = 60.0, step: float = 30.0) -> DataFrame:
-    """Sliding windows in time from the first beat: count, mean, coefficient of variation of the values in them."""
-    y = beats.withColumn("_t", F.col(t) - F.min(t).over(W.partitionBy(*keys)))
-    first = F.greatest(F.floor((F.col("_t") - length) / step) + 1, F.lit(0))
-    y = y.withColumn("window_idx", F.explode(F.sequence(first.cast("bigint"), F.floor(F.col("_t") / step).cast("bigint"))))
-    g = y.groupBy(*keys, "window_idx").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("_sd"))
-    return g.select(*keys, "window_idx", "n", "mean", (F.col("_sd") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv"))
+def time_windows(beats: DataFrame, keys: Keys, t: str, x: str, length: float = 60.0, step: float = 30.0, block: float | None = None) -> DataFrame:
+    """Sliding windows in time from the first beat: count, mean, coefficient of variation of the values in them.
+
+    From prefix sums (`ranges`): a beat is one row, however many windows hold it.
+    """
+    span = beats.groupBy(*keys).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"))
+    windows = span.withColumn("window_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_t1") - F.col("_t0")) / step).cast("bigint"))))
+    windows = windows.withColumns({"_a": F.col("_t0") + F.col("window_idx") * step, "_b": F.col("_t0") + F.col("window_idx") * step + length})
+    known = F.col(x).isNotNull().cast("bigint")
+    g = range_sums(beats, windows, keys, ["window_idx"], t, ("_a", "_b"), {"_k": known, "_s": F.col(x).cast(NUMBER), "_q": squared(F.col(x))}, block).where("n > 0")
+    mean = F.col("_s").cast("double") / F.nullif(F.col("_k"), F.lit(0))
+    return g.select(*keys, "window_idx", "n", mean.alias("mean"), (deviation(F.col("_k"), F.col("_s"), F.col("_q")) / F.nullif(mean, F.lit(0.0))).alias("cv"))
 
 
 def by_segment(points: DataFrame, segments: DataFrame, keys: Keys, idx: list[str], t: str, x: str, s: tuple[str, str], least: int = 3) -> DataFrame:

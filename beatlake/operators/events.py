@@ -43,7 +43,7 @@ def merge_overlaps(events: DataFrame, keys: Keys, start: str = "t_start", end: s
     x = scan.blocked(events, start, block)
     x = scan.carried(x, keys, [F.max(end).alias("_hi")], lambda s: s.withColumn("_far", F.max("_hi").over(scan.earlier(keys))), block, ["_far"])
     x = x.withColumn("_new", F.when(F.col(start) <= F.greatest(reach, F.col("_far")), 0).otherwise(1))
-    x = scan.running_sum(x, keys, order, "_new", block, "_m")
+    x = scan.running_sums(x, keys, order, {"_m": F.col("_new")}, block)
     return x.groupBy(*keys, "_m").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged")).drop("_m")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from beatlake.operators import scan
+from beatlake.operators.ranges import covered
 
 Keys = list[str]
 #: The finest level's nodes are a second long; a level more doubles them.
@@ -123,11 +124,9 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Keys, t:
     return points.join(hit.withColumn(out, F.lit(True)), [*keys, t], "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
-def coverage(targets: DataFrame, windows: DataFrame, keys: Keys, idx: list[str], a: tuple[str, str], w: tuple[str, str], out: str = "coverage") -> DataFrame:
+def coverage(targets: DataFrame, windows: DataFrame, keys: Keys, idx: list[str], a: tuple[str, str], w: tuple[str, str], out: str = "coverage", block: float | None = None) -> DataFrame:
     """`targets` (unique by keys and idx) with the share of their length that the windows cover (summed overlaps)."""
-    pairs = overlap_pairs(targets, windows.select(*keys, F.col(w[0]).alias("_w0"), F.col(w[1]).alias("_w1")), keys, a, ("_w0", "_w1"))
-    part = F.least(F.col(a[1]), F.col("_w1")) - F.greatest(F.col(a[0]), F.col("_w0"))
-    got = pairs.groupBy(*keys, *idx).agg(F.sum(part).alias("_s"))
+    got = covered(targets, windows, keys, idx, a, w, block).withColumnRenamed("covered", "_s")
     length = F.col(a[1]) - F.col(a[0])
     return targets.join(got, [*keys, *idx], "left").withColumn(out, F.when(length > 0, F.coalesce("_s", F.lit(0.0)) / length)).drop("_s")
 

@@ -60,11 +60,38 @@ def carried(rows: DataFrame, keys: Keys, summary: list[Column], step: Callable[[
     return rows.join(step(rows.groupBy(*keys, "_block").agg(*summary)).select(*keys, "_block", *out), [*keys, "_block"], "left")
 
 
-def running_sum(rows: DataFrame, keys: Keys, order: list[Column | str], value: str, block: float | None, out: str) -> DataFrame:
-    """`rows` (blocked) with the sum of `value` up to each, in the given order."""
-    inside = F.sum(value).over(within(keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    x = carried(rows, keys, [F.sum(value).alias("_part")], lambda s: s.withColumn("_before", F.sum("_part").over(earlier(keys))), block, ["_before"])
-    return x.withColumn(out, inside + F.coalesce("_before", F.lit(0))).drop("_before")
+def running_sums(rows: DataFrame, keys: Keys, order: list[Column | str], values: dict[str, Column], block: float | None) -> DataFrame:
+    """`rows` (blocked) with sums up to each, in the given order, by name."""
+    x = rows.withColumns({f"_x{i}": v for i, v in enumerate(values.values())})
+    before = [f"_b{i}" for i in range(len(values))]
+    step = lambda s: s.withColumns({b: F.sum(f"_y{i}").over(earlier(keys)) for i, b in enumerate(before)})
+    x = carried(x, keys, [F.sum(f"_x{i}").alias(f"_y{i}") for i in range(len(values))], step, block, before)
+    w = within(keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return x.withColumns({name: F.sum(f"_x{i}").over(w) + F.coalesce(f"_b{i}", F.lit(0)) for i, name in enumerate(values)}).drop(*before, *(f"_x{i}" for i in range(len(values))))
+
+
+def lagged(rows: DataFrame, keys: Keys, order: list[str], t: str, value: str, block: float | None, out: str) -> DataFrame:
+    """`rows` with the value of the row before in the given order, which begins with the time."""
+    x = blocked(rows, t, block)
+    last = F.max_by(F.struct(value), F.struct(*order)).alias("_last")
+    x = carried(x, keys, [last], lambda s: s.withColumn("_far", F.lag("_last").over(W.partitionBy(*keys).orderBy("_block"))), block, ["_far"])
+    before = F.lag(F.struct(value)).over(within(keys).orderBy(*order))
+    return x.withColumn(out, F.coalesce(before, "_far")[value]).drop("_far", "_block")
+
+
+def numbered(rows: DataFrame, order: list[Column | str], out: str, first: int = 0) -> DataFrame:
+    """`rows` numbered in one order of all, without a task that holds them: sorted ranges count on from the rows of the ranges before."""
+    from beatlake.scratch import Scratch
+
+    # a row's number within its range is the lower part of the id
+    ids = F.monotonically_increasing_id()
+    x = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", ids)
+    x = Scratch(rows.sparkSession, "numbered").save(x).withColumn("_range", F.shiftright("_id", 33))
+    # a row a range: a few numbers, whatever the rows
+    sizes = x.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_before") + first
+    return x.join(sizes.select("_range", before.alias("_before")), "_range").withColumn(out, place.cast("bigint")).drop("_id", "_range", "_before")
 
 
 def groups_apart(rows: DataFrame, keys: Keys, order: list[str], t: str, gap: float, block: float | None, out: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from beatlake.functions import kernels as K
 from beatlake.operators.quantiles import quantiles
+from beatlake.operators.summaries import top_n
 
 Keys = list[str]
 # Bands in Hz.
@@ -270,3 +271,10 @@ def psd_bands(psds: DataFrame) -> DataFrame:
     """Percentiles of all segments' power by bin."""
     x = psds.select(F.posexplode("p").alias("bin", "power"))
     return quantiles(x, ["bin"], {"p10": ("power", 0.1), "p50": ("power", 0.5), "p90": ("power", 0.9)})
+
+
+def power_outliers(psds: DataFrame, keys: Keys, band: tuple[float, float] = (45.0, 55.0), k: int = 8, by: Keys = ()) -> DataFrame:
+    """The k segments (of each group) with most power in a band, by default around the mains: keys, power, rank; equal powers by keys. Each task keeps its k best."""
+    x = band_powers(psds, [*keys, *(c for c in by if c not in keys)], {"band": band}).drop("band", "share")
+    best = top_n(x, list(by), [F.desc("power"), *keys], k)
+    return best if by else best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("power"), *keys)))

@@ -112,11 +112,24 @@ def quantile_bins(df: DataFrame, keys: Keys, col: str, parts: int = 3, out: str
     return one.withColumn(out, F.when(F.col(col).isNotNull(), 1 + F.size(F.filter(F.array_distinct(F.array(*names)), lambda c: F.col(col) > c)))).drop(*names)
 
 
-def top_n(df: DataFrame, keys: Keys, order: list[Column], n: int) -> DataFrame:
-    """The first n of each group in an order that has no ties; the whole table's, without keys."""
+#: A window's first rows up to this number are cut in each task before rows are exchanged (Spark's limit of ranks pushed down).
+PUSHED = 1000
+
+
+def top_n(df: DataFrame, keys: Keys, order: list[Column], n: int, parts: int = 64) -> DataFrame:
+    """The first n of each group in an order that has no ties; the whole table's, without keys.
+
+    Each task keeps its n best of a group, and only these meet. Above
+    `PUSHED` rows, where Spark doesn't do so by itself, a group is dealt by a
+    hash to `parts` that keep their n best first.
+    """
     if not keys:
         return df.orderBy(*order).limit(n)
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+    x = df
+    if n > PUSHED:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+        x = df.withColumn("_part", part).withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))).where(F.col("_rank") <= n).drop("_part", "_rank")
+    return x.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
 def arg_best(df: DataFrame, keys: Keys, col: str, tie: str, take: list[str], smallest: bool = False) -> DataFrame:

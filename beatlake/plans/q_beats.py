@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from beatlake.functions.scalars import heart_rate
 from beatlake.operators import beats as B
+from beatlake.operators import ranges as R
 from beatlake.plans.registry import E, events_table, query, rounded
 
 USER, ORDER = ["user_id"], ["t", "event_id"]
+DAY = 86400.0
 #: Beats of a window; users have 45 to 99.
 N = 20
 RR = f"""{E}, rr AS (SELECT * FROM (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS rr FROM e) WHERE rr IS NOT NULL)"""
@@ -129,6 +131,18 @@ def hrv_summary(spark, sf_dir):
     return rounded(x.select("user_id", "n_rr", *cols), *cols)
 
 
+@query("window_hrv", f"""WITH {RR}, w AS (SELECT *, floor(t / 864000)::BIGINT AS window_idx FROM rr), d AS (SELECT *, rr - lag(rr) OVER (PARTITION BY user_id, window_idx ORDER BY t, event_id) AS d FROM w), g AS (SELECT user_id, window_idx, count(*) AS n_rr, avg(rr) AS m, stddev_samp(rr) AS nn, sqrt(avg(d * d)) AS rmssd, stddev_samp(d) AS sdsd, avg((abs(d) > 50)::INT) AS pnn50 FROM d GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT user_id, window_idx, n_rr, round(m, 4) AS mean_nn, round(nn, 4) AS sdnn, round(rmssd, 4) AS rmssd, round(sdsd, 4) AS sdsd, round(pnn50, 6) AS pnn50, round(sdsd / sqrt(2.0), 4) AS sd1, round(sqrt(greatest(2 * nn * nn - sdsd * sdsd / 2, 0)), 3) AS sd2 FROM g""")
+def window_hrv(spark, sf_dir):
+    """Variability in windows of ten days that hold 20 intervals or more, from prefix sums."""
+    x = intervals(spark, sf_dir)
+    w = x.select("user_id", F.floor(F.col("t") / (10 * DAY)).cast("bigint").alias("window_idx")).distinct()
+    w = w.withColumns({"t0": F.col("window_idx") * 10 * DAY, "t1": (F.col("window_idx") + 1) * 10 * DAY})
+    out = R.window_hrv(x, w, USER, ["window_idx"], ["event_id"], "t", "rr", ("t0", "t1"), N, 4 * DAY)
+    cols = ("mean_nn", "sdnn", "rmssd", "sdsd", "sd1")
+    return rounded(rounded(rounded(out.select("user_id", "window_idx", "n_rr", *cols, "pnn50", "sd2"), *cols, digits=4), "pnn50"), "sd2", digits=3)
+
+
 @query("rr_irregularity", f"""WITH {RR}, x AS (SELECT user_id, rr - quantile_cont(rr, 0.5) {FRAME.format('5 PRECEDING', '5 FOLLOWING')} AS r FROM rr), m AS (SELECT user_id, median(r) AS m FROM x GROUP BY 1),
 a AS (SELECT user_id, abs(r - m) AS a FROM x JOIN m USING (user_id)), s AS (SELECT user_id, 1.4826 * median(a) AS mad FROM a GROUP BY 1) SELECT user_id, round(avg((a / greatest(mad, 1e-12) > 2.5)::INT), 6) AS irregular FROM a JOIN s USING (user_id) GROUP BY 1""")
 def rr_irregularity(spark, sf_dir):

@@ -14,7 +14,7 @@ from beatlake.schema import dedup_first, duplicates
 USER, ORDER = ["user_id"], ["event_id"]
 HOUR = 3600.0
 #: Blocks of time that long recordings are cut into.
-BLOCK = 30 * 24 * HOUR
+BLOCK = 5 * 24 * HOUR
 #: Annotated events: five minutes around each error.
 TRUTH = "truth AS (SELECT user_id, event_id AS seizure_id, t, t - 300 AS t0, t + 300 AS t1 FROM e WHERE event_type = 'error')"
 ISLANDS = """o AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 43200 THEN 1 ELSE 0 END AS b FROM e WHERE value > 20), i AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id) AS isl FROM o),
@@ -180,7 +180,7 @@ def point_in_interval(spark, sf_dir):
 @query("coverage_fraction", f"""WITH {E}, {TRUTH}, {WINDOWS}, c AS (SELECT user_id, window_idx, sum(least(w1, t1) - greatest(w0, t0)) AS s FROM win JOIN truth USING (user_id) WHERE w0 < t1 AND w1 > t0 GROUP BY 1, 2)
 SELECT user_id, window_idx, round(CASE WHEN w1 > w0 THEN coalesce(s, 0) / (w1 - w0) END, 6) AS coverage FROM win LEFT JOIN c USING (user_id, window_idx)""")
 def coverage_fraction(spark, sf_dir):
-    x = I.coverage(windows(spark, sf_dir), truth(spark, sf_dir), USER, ["window_idx"], ("w0", "w1"), ("t0", "t1"))
+    x = I.coverage(windows(spark, sf_dir), truth(spark, sf_dir), USER, ["window_idx"], ("w0", "w1"), ("t0", "t1"), block=BLOCK)
     return rounded(x.select("user_id", "window_idx", "coverage"), "coverage")
 
 

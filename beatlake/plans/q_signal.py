@@ -95,6 +95,14 @@ def psd_percentiles(spark, sf_dir):
     return rounded(S.psd_bands(S.psd(segments(spark, sf_dir), KEY, "samples", FS, 64)), "p10", "p50", "p90", digits=9)
 
 
+@query("power_outliers", f"""WITH {PSD}, {band_sql({'low': (5, 15)})}, b AS (SELECT b.vec_id, label, power FROM bw b JOIN embeddings e ON e.vec_id = b.vec_id)
+SELECT vec_id, label, round(power, 6) AS power, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(power, 9) DESC, vec_id) AS rank FROM b) WHERE rank <= 8""")
+def power_outliers(spark, sf_dir):
+    """The eight segments of each label with most power in a band."""
+    p = S.psd(segments(spark, sf_dir), KEY, "samples", FS, 64).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return rounded(S.power_outliers(p, KEY, (5.0, 15.0), 8, ["label"]).select("vec_id", "label", "power", "rank"), "power")
+
+
 @query("spectral_uniqueness", f"WITH {PSD}, l AS (SELECT vec_id, f, log10(greatest(p, 1e-20)) AS lp FROM d), m AS (SELECT f, median(lp) AS m FROM l GROUP BY 1) SELECT vec_id, round(sqrt(avg(pow(lp - m, 2))), 6) AS uniqueness FROM l JOIN m USING (f) GROUP BY 1")
 def spectral_uniqueness(spark, sf_dir):
     return rounded(S.spectral_uniqueness(S.psd(segments(spark, sf_dir), KEY, "samples", FS, 64), KEY), "uniqueness")

@@ -10,14 +10,33 @@ from pyspark.sql import functions as F
 
 from beatlake import schema as S
 from beatlake.functions.scalars import parse_date, parse_rr_file, parse_time_seconds, truthy
+from beatlake.operators import scan
 
 HEADER_LINES = 22
 
 
+#: Lines of a file that one task works on where values run on from line to line.
+LINES = 1 << 20
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line (from 1), text of text files: each file whole in one row first, so line numbers are those of the file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("whole"))
-    return whole.select("path", F.posexplode(F.split("whole", r"\r?\n")).alias("i", "text")).select("path", (F.col("i") + 1).alias("line"), "text")
+    """path, line (from 1), text of text files, read by split.
+
+    A split's rows come in order and with rising ids, so a line's number is
+    its id's distance from the split's first one, on from the lines of all
+    splits before: a count and an id a split, no line leaves its task.
+    """
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select(m["file_path"].alias("path"), m["file_block_start"].alias("_split"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("path", "_split").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("path").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("path", "_split", (before - F.col("_first") + 1).alias("_shift"))
+    return lines.join(starts, ["path", "_split"]).select("path", (F.col("_id") + F.col("_shift")).alias("line"), "text")
+
+
+def running(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums up to each line of a file, a block of lines at a time."""
+    return scan.running_sums(scan.blocked(rows, "line", LINES), keys, ["line"], sums, LINES).drop("_block")
 
 
 def decimal(text: Column) -> Column:
@@ -31,7 +50,7 @@ def read_lvm_rr(spark: SparkSession, path: str, skip: int = HEADER_LINES, column
     unit = rows.groupBy("path").agg(F.median("raw").alias("m"))
     factor = F.when(F.col("m") > 10_000, 1e-6).when(F.col("m") > 5, 1e-3).otherwise(1.0)
     x = rows.join(unit, "path").select("path", "line", (F.col("raw") * factor).alias("rr"))
-    return x.withColumn("ord", F.row_number().over(W.partitionBy("path").orderBy("line"))).select("path", "ord", "rr")
+    return running(x, ["path"], {"ord": F.lit(1)}).select("path", F.col("ord").cast("int").alias("ord"), "rr")
 
 
 def read_lvm_start(spark: SparkSession, path: str, skip: int = HEADER_LINES) -> DataFrame:
@@ -49,12 +68,10 @@ def read_lvm_start(spark: SparkSession, path: str, skip: int = HEADER_LINES) ->
 
 def read_lvm_segments(spark: SparkSession, path: str) -> DataFrame:
     """path, segment, ord, rr, t of files with several headers: a header end starts a segment, and time starts anew in it."""
-    lines = numbered_lines(spark, path)
-    w = W.partitionBy("path").orderBy("line")
-    x = lines.withColumn("segment", F.sum(F.col("text").startswith("***End_of_Header***").cast("int")).over(w))
+    x = running(numbered_lines(spark, path), ["path"], {"segment": F.col("text").startswith("***End_of_Header***").cast("int")})
     x = x.withColumn("rr", decimal(F.get(F.split("text", "\t"), F.lit(1)))).where("segment > 0 and rr is not null")
-    s = W.partitionBy("path", "segment").orderBy("line")
-    return x.select("path", "segment", F.row_number().over(s).alias("ord"), "rr", F.sum("rr").over(s).alias("t"))
+    x = running(x, ["path", "segment"], {"ord": F.lit(1), "t": F.col("rr")})
+    return x.select("path", "segment", F.col("ord").cast("int").alias("ord"), "rr", "t")
 
 
 def read_consensus_csv(spark: SparkSession, path: str, first: int = 9) -> DataFrame:
@@ -174,9 +191,7 @@ def recording_index(files: DataFrame) -> DataFrame:
     from beatlake.functions.scalars import parse_recording_file
 
     x = files.select("path", parse_recording_file(F.regexp_extract("path", r"([^/]+)$", 1)).alias("k")).where("k is not null").select("path", "k.*")
-    # numbering needs one order of all files; a catalogue of recordings is small
-    uid = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("patient_id", F.coalesce("enrollment_id", F.lit("")), "recording_id", "path")) - 1
-    return x.withColumn("recording_uid", uid.cast("bigint"))
+    return scan.numbered(x, ["patient_id", F.coalesce("enrollment_id", F.lit("")), "recording_id", "path"], "recording_uid")
 
 
 def annotation_lookup(recordings: DataFrame, files: DataFrame) -> DataFrame:
