@@ -3,7 +3,8 @@
 A sequence is a bin with three limits: tokens, segments (pieces) and
 loss-bearing tokens. A piece is an item with a demand on each. Documents
 longer than a sequence first fill whole sequences of their own; what is left
-of them, and all shorter documents, wait in a window of items. A bin takes,
+of them, and all shorter documents, wait in a window of items that holds a
+bin's tokens at least. A bin takes,
 among the items that fit, the one whose demand has the largest dot product
 with what the bin has left (both as shares of the limits), until none fits;
 then the waiting item of which most tokens fit is cut to fill it. A bin that
@@ -53,11 +54,16 @@ PART_BITS = 36
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 4096
-    segments: int = 256
+    #: None: as many as there are tokens, so this never closes a bin.
+    segments: int | None = None
     loss: int = 4096
-    #: Items that wait for a place.
+    #: Items that wait for a place, or more where they don't hold the tokens of a bin.
     window: int = 512
 
+    @property
+    def caps(self) -> tuple[int, int, int]:
+        return self.tokens, self.tokens if self.segments is None else self.segments, self.loss
+
 
 def latin(*major: str, but: str = "") -> str:
     """The characters below U+0180 whose general category starts with one of `major`, for a character class."""
@@ -193,7 +199,7 @@ class Packer:
     waiting: list[Item] = field(default_factory=list)
 
     def __post_init__(self):
-        self.next = self.first
+        self.next, self.held = self.first, 0
 
     def add(self, item: Item) -> Iterator[list[tuple]]:
         """Full sequences of one document, then bins as long as too many items wait."""
@@ -201,13 +207,15 @@ class Packer:
             yield self.close([item.take(self.limits.tokens)])
         if item.length:
             self.wait(item.rest() if item.at else item)
-        while len(self.waiting) > self.limits.window:
+        tokens, segments, _ = self.limits.caps
+        while len(self.waiting) > self.limits.window and (self.held >= tokens or len(self.waiting) >= segments):
             yield from self.fill()
 
     def wait(self, item: Item) -> None:
         n = item.length
         item.need = n, 1, item.loss_of(n)
         self.waiting.append(item)
+        self.held += n
 
     def close(self, pieces: list[tuple]) -> list[tuple]:
         """The pieces with their sequence and offset."""
@@ -220,7 +228,7 @@ class Packer:
 
     def fill(self) -> Iterator[list[tuple]]:
         """One bin by the dot-product heuristic over the waiting items."""
-        cap = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
+        cap = np.array(self.limits.caps, float)
         demand = np.array([i.need for i in self.waiting], float)
         left, free, pieces = cap.copy(), np.ones(len(demand), bool), []
         while True:
@@ -245,10 +253,11 @@ class Packer:
             elif not pieces:
                 # a token that bears loss, where none may: alone, so that no token is lost
                 pieces.append(self.waiting[rest[0]].take(1))
-        self.waiting, left_over = [], [self.waiting[i] for i in rest]
+        self.waiting, self.held, left_over = [], 0, [self.waiting[i] for i in rest]
         for item in left_over:
             if not item.at:
                 self.waiting.append(item)
+                self.held += item.need[0]
             elif item.length:
                 self.wait(item.rest())
         if self.waiting or not left[0]:

@@ -854,3 +854,42 @@ def test_recall_of_the_graph(spark):
         s[q] = -9
         hits += len({v["vec_id"] for v in got if v["query_id"] == q} & set(np.argsort(-s)[:20].tolist()))
     assert hits / 600 >= 0.9
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 10, 15, 16, 40, 700])
+def test_short_documents_fill_sequences(size):
+    """With the query's limits, of any size of documents."""
+    packer = packing.Packer(packing.Limits())
+    n = max(60, 40_000 // size)
+    seqs = [s for i in range(n) for s in packer.add(packing.Item(i, bytes(4 * size), size))] + list(packer.finish())
+    lengths = [sum(len(p[2]) // 4 for p in s) for s in seqs]
+    padded = sum(x if x & (x - 1) == 0 else 4096 for x in lengths)
+    assert sum(lengths) == n * size and max(lengths) <= 4096 and sum(lengths) >= 0.98 * padded
+    # only what is left at the end is shorter
+    assert sum(x == 4096 for x in lengths) >= n * size // 4096 - 1
+
+
+def test_formatted_conversations_are_packed_by_what_bears_loss(spark):
+    """The spans that the chat operator gives are those that the packing operator counts."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer())
+    rows = [(c, i, ("user", "assistant")[i % 2], prose(10 + (7 * c + 13 * i) % 60, 100 * c + i)) for c in range(25) for i in range(4)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    docs = made.select(F.col("conv_id").alias("doc_id"), F.col("formatted").alias("text"), "loss").coalesce(1)
+    got = packing.pack(docs, tokenizer(), packing.Limits(tokens=512, segments=6, loss=150, window=8), loss="loss").collect()
+    mask = {}
+    for r in docs.collect():
+        at = t.encode(r.text, add_special_tokens=False).offsets
+        mask[r.doc_id] = [any(x < s["end"] and y > s["start"] for s in r.loss) for x, y in at] + [any(s["end"] >= len(r.text) for s in r.loss)]
+        said = "".join(r.text[s["start"] : s["end"]] for s in r.loss)
+        assert chat.unescape(said) == "".join(x for c, i, role, x in rows if c == r.doc_id and role == "assistant")
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for s in sequences.values():
+        bears = sum(sum(mask[r.doc_id][r.start : r.start + r.length]) for r in s)
+        assert sum(r.length for r in s) <= 512 and len(s) <= 6 and bears <= 150
+    assert sum(r.length for r in got) == sum(map(len, mask.values()))
+    # the loss limit binds: tokens alone would take fewer sequences
+    assert len(sequences) >= sum(map(sum, mask.values())) / 150 > sum(map(len, mask.values())) / 512
