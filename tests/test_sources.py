@@ -176,3 +176,93 @@ def test_coverage_like_brute_force(spark):
     for block in BLOCKS:
         got = {x.i: x.coverage for x in I.coverage(t, w, K, ["i"], ("a", "b"), ("c", "d"), block=block).collect()}
         assert got == {i: v if v is None else pytest.approx(v, abs=1e-8) for i, v in want.items()}, block
+
+
+# Signal files in parts
+
+
+def tdms_segment(channels, meta=True, new=True, interleaved=False, blocks=1, big=False, more=()):
+    """A segment's bytes; channels: (path, type code, dtype, samples of all blocks, properties)."""
+    import struct
+
+    o = ">" if big else "<"
+    text_ = lambda s: struct.pack(o + "I", len(s)) + s.encode()
+    body = b""
+    if meta:
+        body = struct.pack(o + "I", len(channels) + len(more))
+        for path, code, _, x, props in [*channels, *more]:
+            body += text_(path)
+            body += struct.pack(o + "I", 0xFFFFFFFF) if x is None else struct.pack(o + "IIIQ", 20, code, 1, len(x) // blocks)
+            body += struct.pack(o + "I", len(props)) + b"".join(text_(k) + struct.pack(o + "Id", 10, v) for k, v in props.items())
+    raw = b""
+    arrays = [np.asarray(x, o + d) for _, _, d, x, _ in channels]
+    for i in range(blocks):
+        parts = [a[len(a) // blocks * i : len(a) // blocks * (i + 1)] for a in arrays]
+        raw += b"".join(a[j : j + 1].tobytes() for j in range(len(parts[0])) for a in parts) if interleaved else b"".join(a.tobytes() for a in parts)
+    toc = 1 << 3 | meta << 1 | new << 2 | interleaved << 5 | big << 6
+    lead = b"TDSm" + struct.pack("<I", toc) + struct.pack(o + "IQQ", 4713, len(body) + len(raw), len(body))
+    return lead + body + raw
+
+
+@pytest.fixture
+def recordings(tmp_path):
+    rng = np.random.default_rng(8)
+    x = lambda n: np.round(rng.normal(0, 100, n))
+    ekg, other = "/'g'/'EKG 1'", "/'g'/'Temp'"
+    both = lambda n, d=("f8", 10): [(other, 10, "f8", x(n), {}), (ekg, d[1], d[0], x(n), {})]
+    first = [(other, 10, "f8", x(3000), {}), (ekg, 10, "f8", x(3000), {"wf_increment": 1 / 256})]
+    parts = [tdms_segment(first, blocks=3, more=[("/", 0, "", None, {"fs": 9.0})]), tdms_segment(both(500), interleaved=True), tdms_segment(both(2000), blocks=2, big=True), tdms_segment(both(700, ("i2", 2)))]
+    # raw data as the segment before has it, without meta data
+    parts.append(tdms_segment(both(700, ("i2", 2)), meta=False, new=False))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "long.tdms").write_bytes(b"".join(parts))
+    (tmp_path / "short.TDMS").write_bytes(tdms_segment([("/'g'/'a'", 3, "i4", range(10), {})]))
+    (tmp_path / "none.tdms").write_bytes(b"")
+    (tmp_path / "note.txt").write_text("x")
+    return tmp_path
+
+
+def test_a_file_in_parts_like_the_whole_file(spark, recordings):
+    from beatlake.sources import binary, tdms_source
+
+    long = str(recordings / "sub" / "long.tdms")
+    with open(long, "rb") as f:
+        name, fs, start, whole = binary.tdms_channel(f.read())
+    assert len(whole) == 6900 and fs == 256 and name == "EKG 1"
+    df = tdms_source.read_tdms_parts(spark, str(recordings), chunk=300, part=600)
+    rows = sorted((r for r in df.collect() if r.path == long), key=lambda r: r.chunk_idx)
+    assert [r.chunk_idx for r in rows] == list(range(len(rows))) and max(len(r.samples) for r in rows) == 300
+    assert np.array_equal(np.concatenate([r.samples for r in rows]), whole)
+    assert [r.start_sample for r in rows] == [0, *np.cumsum([len(r.samples) for r in rows])[:-1]] and {(r.channel, r.fs, r.start_us) for r in rows} == {(name, fs, start)}
+    assert df.rdd.getNumPartitions() >= 12
+    assert [r.samples for r in df.collect() if r.path.endswith("short.TDMS")] == [[float(i) for i in range(10)]]
+
+
+def test_parts_of_a_time_and_a_channel(spark, recordings):
+    from beatlake.sources import binary, tdms_source
+
+    long = str(recordings / "sub" / "long.tdms")
+    with open(long, "rb") as f:
+        _, found = binary.parse_tdms(f.read())
+    df = tdms_source.read_tdms_parts(spark, f"file://{long}", "temp", from_s=2.0, to_s=3.5, chunk=256, part=1)
+    # the rate of a channel without one is the file's
+    assert [(r.start_sample, r.fs) for r in df.orderBy("chunk_idx").collect()] == [(0, 9.0)]
+    df = tdms_source.read_tdms_parts(spark, long, from_s=2.0, to_s=3.5, chunk=256, part=1)
+    got = df.orderBy("chunk_idx").collect()
+    assert [r.start_sample for r in got] == [512, 768] and df.rdd.getNumPartitions() == 2
+    assert np.array_equal(np.concatenate([r.samples for r in got]), found["/'g'/'EKG 1'"][512:1024])
+    assert tdms_source.read_tdms_parts(spark, long, from_s=1e6).count() == 0
+
+
+def test_planning_reads_no_samples(recordings):
+    from beatlake.sources import binary
+
+    data = (recordings / "sub" / "long.tdms").read_bytes()
+    read = []
+
+    def at(place, n):
+        read.append(n)
+        return data[place : place + n]
+
+    _, found = binary.tdms_layout(at, len(data))
+    assert sum(r.n * r.blocks for r in found["/'g'/'EKG 1'"]) == 6900 and sum(read) < 1000
