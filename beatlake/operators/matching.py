@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections import deque
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beatlake.functions.scalars import correlation
+from beatlake.operators import scan
 
 Keys = list[str]
 # Rows either side may be off by in floating point.
 SLACK = 1e-9
-#: Events of a recording that are matched in one task, or as many as have no gap.
-PIECE = 4096
+#: Runs of events without a gap that are matched in one task, where recordings are cut.
+PIECE = 1024
 
 
 def band_match(ref: DataFrame, test: DataFrame, keys: Keys, t: str, tol: float) -> DataFrame:
@@ -26,60 +28,63 @@ def band_match(ref: DataFrame, test: DataFrame, keys: Keys, t: str, tol: float)
     return a.join(b, [*keys, "_k"]).where(F.abs(F.col("t_test") - F.col("t_ref")) <= tol + SLACK).drop("_k")
 
 
-def walk(a: np.ndarray, b: np.ndarray, tol: float) -> tuple[list[int], list[int]]:
-    """Two pointers over sorted times: the earliest pair within the tolerance matches, the earlier of a pair beyond it is passed."""
-    i = j = 0
-    left: list[int] = []
-    right: list[int] = []
-    while i < len(a) and j < len(b):
-        d = b[j] - a[i]
-        if abs(d) <= tol + SLACK:
-            left.append(i)
-            right.append(j)
-            i, j = i + 1, j + 1
-        elif d > 0:
-            i += 1
-        else:
-            j += 1
-    return left, right
-
-
-def greedy_match(ref: DataFrame, test: DataFrame, keys: Keys, t: str, tol: float | list[float], shift: float = 0.0, piece: int = PIECE) -> DataFrame:
+def greedy_match(ref: DataFrame, test: DataFrame, keys: Keys, t: str, tol: float | list[float], shift: float = 0.0, block: float | None = None) -> DataFrame:
     """One row an event: kind TP (t_ref and t_test), FN (t_ref) or FP (t_test); the test train is moved by `shift` first.
 
-    Sequential within a recording, but no match spans a gap longer than the
-    tolerance; so a recording is cut at the first such gap after every `piece`
-    events, and its pieces are matched apart. An empty train leaves only FN or
-    FP. With a list of tolerances each is matched in the same plan, and tol_s
-    is a column.
+    One exchange and one pass over sorted events, which holds those of one
+    train that wait for the other's next: the earliest pair within the
+    tolerance matches, the earlier of a pair beyond it is passed. Sequential within a
+    recording, but no match spans a gap longer than the tolerance; with a
+    `block` of time, recordings are cut at such gaps and dealt over tasks
+    (`scan`). An empty train leaves only FN or FP; events without a time are
+    left out. With a list of tolerances each is matched in the same plan, and
+    tol_s is a column.
     """
     many = isinstance(tol, list)
     spine = F.array(*(F.lit(float(x)) for x in (tol if many else [tol])))
     side = lambda df, s, moved: df.select(*keys, (F.col(t).cast("double") + moved).alias("_t"), F.lit(s).alias("_s"))
-    both = side(ref, 0, 0.0).unionByName(side(test, 1, float(shift))).withColumn("_tol", F.explode(spine))
-    w = W.partitionBy(*keys, "_tol").orderBy("_t", "_s")
-    apart = F.coalesce(F.col("_t") - F.lag("_t").over(w) > F.col("_tol") + 2 * SLACK, F.lit(True))
-    numbered = both.withColumns({"_cut": apart, "_i": F.row_number().over(w)})
-    pieces = numbered.withColumn("_p", F.floor(F.last(F.when(F.col("_cut"), F.col("_i")), True).over(w.rowsBetween(W.unboundedPreceding, 0)) / piece)).drop("_cut", "_i")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (ref.schema[k] for k in keys)) + (", tol_s double" if many else "")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.sort(pdf["_t"][pdf["_s"] == s].to_numpy()) for s in (0, 1))
-        left, right = walk(a, b, float(pdf["_tol"].iloc[0]))
-        fn, fp = np.delete(a, left), np.delete(b, right)
-        out = pd.DataFrame({
-            "kind": ["TP"] * len(left) + ["FN"] * len(fn) + ["FP"] * len(fp),
-            "t_ref": np.concatenate([a[left], fn, np.full(len(fp), np.nan)]),
-            "t_test": np.concatenate([b[right], np.full(len(fn), np.nan), fp]),
-        })
-        out = out.astype({"t_ref": "Float64", "t_test": "Float64"})
-        if many:
-            out.insert(0, "tol_s", pdf["_tol"].iloc[0])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return pieces.groupBy(*keys, "_tol", "_p").applyInPandas(run, f"{fields}, kind string, t_ref double, t_test double")
+    both = side(ref, 0, 0.0).unionByName(side(test, 1, float(shift))).where("_t is not null").withColumn("_tol", F.explode(spine))
+    series = [*keys, "_tol"]
+    piece = F.lit(0)
+    if block is not None:
+        both = scan.groups_apart(both, series, ["_s"], "_t", F.col("_tol") + 2 * SLACK, block, "_p")
+        piece = F.floor(F.col("_p") / PIECE)
+    dealt = both.withColumn("_p", piece.cast("bigint"))
+    schema = T.StructType([*(ref.schema[k] for k in keys), *([T.StructField("tol_s", T.DoubleType())] if many else []), T.StructField("kind", T.StringType()), T.StructField("t_ref", T.DoubleType()), T.StructField("t_test", T.DoubleType())])
+    n = len(keys)
+
+    def make():
+        now: tuple | None = None
+        name: tuple = ()
+        tolerance, waiting, train = 0.0, deque(), 0
+        alone = lambda x: (*name, "FN", x, None) if train == 0 else (*name, "FP", None, x)
+
+        def call(columns):
+            nonlocal now, name, tolerance, train
+            out: list[tuple] = []
+            if columns is None:
+                out.extend(map(alone, waiting))
+                waiting.clear()
+                return out
+            for key, x, of in zip(zip(*columns[: n + 2]), columns[n + 2], columns[n + 3]):
+                if key != now:
+                    out.extend(map(alone, waiting))
+                    waiting.clear()
+                    now, name, tolerance = key, key[: n + 1] if many else key[:n], key[n]
+                while waiting and of != train:
+                    first = waiting.popleft()
+                    if x - first <= tolerance + SLACK:
+                        out.append((*name, "TP", first, x) if of else (*name, "TP", x, first))
+                        break
+                    out.append(alone(first))
+                else:
+                    train = of
+                    waiting.append(x)
+            return out
+
+        return call
+
+    return scan.stream(dealt, [*series, "_p", "_t", "_s"], [*series, "_p", "_t", "_s"], [*series, "_p"], schema, make)
 
 
 def metrics(matched: DataFrame, keys: Keys) -> DataFrame:
@@ -102,60 +107,89 @@ def match_counts(pairs: DataFrame, ref: DataFrame, test: DataFrame, keys: Keys)
     return with_rates(g.select(*keys, "tp", (F.col("n_ref") - F.col("tp")).alias("fn"), (F.col("n_test") - F.col("tp")).alias("fp")))
 
 
-def grid(offsets: list[float]) -> tuple[float, float, int]:
-    """First, step and number of evenly spaced, rising offsets."""
-    if len(offsets) < 2:
-        return float(offsets[0]), 1.0, 1
-    first, step = float(offsets[0]), (float(offsets[-1]) - float(offsets[0])) / (len(offsets) - 1)
-    if step <= 0 or any(abs(first + i * step - o) > 1e-6 * step for i, o in enumerate(offsets)):
-        raise ValueError("offsets must rise by even steps")
-    return first, step, len(offsets)
-
-
-def near_pairs(ref: DataFrame, test: DataFrame, keys: Keys, offsets: tuple[float, float, int], tol: float) -> DataFrame:
-    """Pairs of `_r` and `_t` (with the other columns of both) that some offset of the grid brings within `tol`, and `_from` and `_to`, the indices of these offsets.
-
-    Trains are joined on blocks of time as long as the grid, so a pair is made
-    once, whatever the number of offsets.
+class Grid:
+    """Offsets in rising order, the place of each in the list that was given, and which of them an interval holds."""
+
+    def __init__(self, offsets: list[float]):
+        place: dict[float, int] = {}
+        for i, o in enumerate(map(float, offsets)):
+            place.setdefault(o, i)
+        self.values = sorted(place)
+        self.places = [place[v] for v in self.values]
+        self.first, self.last, self.n = self.values[0], self.values[-1], len(self.values)
+        self.step = (self.last - self.first) / max(self.n - 1, 1) or 1.0
+        self.even = all(abs(self.first + i * self.step - v) <= 1e-6 * self.step for i, v in enumerate(self.values))
+
+    def from_(self, low: Column) -> Column:
+        """Index of the first offset from `low` on; by arithmetic where they are evenly spaced."""
+        if self.even:
+            return F.ceil((low - self.first) / self.step)
+        return F.size(F.filter(F.array(*map(F.lit, self.values)), lambda v: v < low)).cast("bigint")
+
+    def to(self, high: Column) -> Column:
+        """Index of the last offset up to `high`."""
+        if self.even:
+            return F.floor((high - self.first) / self.step)
+        return F.size(F.filter(F.array(*map(F.lit, self.values)), lambda v: v <= high)).cast("bigint") - 1
+
+    def place(self, at: str, until: str) -> Column:
+        """The least place in the given list of the offsets from one index up to another."""
+        if self.places == sorted(self.places):
+            return F.col(at)
+        return F.array_min(F.slice(F.array(*map(F.lit, self.places)), F.col(at).cast("int") + 1, (F.col(until) - F.col(at)).cast("int"))).cast("bigint")
+
+    def value(self, place: Column) -> Column:
+        if self.even and self.places == sorted(self.places):
+            return F.round(self.first + place * self.step, 9)
+        given = dict(zip(self.places, self.values))
+        return F.element_at(F.create_map(*(F.lit(x) for i, v in given.items() for x in (i, v))), place.cast("int"))
+
+
+def near_pairs(ref: DataFrame, test: DataFrame, keys: Keys, grid: Grid, tol: float) -> DataFrame:
+    """Pairs of `_r` and `_t` (with the other columns of both) that some offset brings within `tol`, and `_from` and `_to`, the indices of these offsets.
+
+    Trains are joined on blocks of time as long as the range of offsets, so a
+    pair is made once, whatever the number of offsets.
     """
-    first, step, n = offsets
-    span = (n - 1) * step + 2 * tol + step
-    a = ref.withColumn("_k", F.floor((F.col("_r") - first) / span))
+    span = grid.last - grid.first + 2 * tol + grid.step
+    a = ref.withColumn("_k", F.floor((F.col("_r") - grid.first) / span))
     b = test.withColumn("_k", F.explode(F.array(*(F.floor(F.col("_t") / span) + d for d in (-1, 0, 1)))))
     x = a.join(b, [*keys, "_k"])
-    apart = F.col("_r") - F.col("_t") - first
-    x = x.withColumns({"_from": F.ceil((apart - tol - SLACK) / step), "_to": F.floor((apart + tol + SLACK) / step)})
-    return x.where((F.col("_from") <= F.col("_to")) & (F.col("_to") >= 0) & (F.col("_from") < n)).drop("_k")
+    apart = F.col("_r") - F.col("_t")
+    x = x.withColumns({"_from": grid.from_(apart - tol - SLACK), "_to": grid.to(apart + tol + SLACK)})
+    return x.where((F.col("_from") <= F.col("_to")) & (F.col("_to") >= 0) & (F.col("_from") < grid.n)).drop("_k")
 
 
-def swept(pairs: DataFrame, keys: Keys, last: int, sums: dict[str, Column]) -> DataFrame:
-    """Sums over the pairs whose range of indices holds each index at which they change: what begins is added, what ended is taken away, in one running sum."""
+def swept(pairs: DataFrame, keys: Keys, grid: Grid, sums: dict[str, Column]) -> DataFrame:
+    """Sums over the pairs whose range of indices holds an offset, at each index (`_at`, up to `_until`) where they change: what begins is added, what ended is taken away, in one running sum."""
     ends = F.array(F.struct(F.greatest("_from", F.lit(0)).alias("at"), F.lit(1).alias("sign")), F.struct((F.col("_to") + 1).alias("at"), F.lit(-1).alias("sign")))
-    x = pairs.withColumn("_e", F.explode(ends)).where(F.col("_e.at") <= last)
+    x = pairs.withColumn("_e", F.explode(ends)).where(F.col("_e.at") < grid.n)
     x = x.groupBy(*keys, F.col("_e.at").alias("_at")).agg(*(F.sum(v * F.col("_e.sign")).alias(c) for c, v in sums.items()))
-    w = W.partitionBy(*keys).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
-    return x.select(*keys, "_at", *(F.sum(c).over(w).alias(c) for c in sums))
+    w = W.partitionBy(*keys).orderBy("_at")
+    until = F.coalesce(F.lead("_at").over(w), F.lit(grid.n))
+    x = x.select(*keys, "_at", until.alias("_until"), *(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(c) for c in sums))
+    return x.withColumn("_place", grid.place("_at", "_until"))
 
 
 def offset_search(ref: DataFrame, test: DataFrame, keys: Keys, t: str, offsets: list[float], tol: float) -> DataFrame:
-    """For each recording the offset of the test train that matches most reference events; ties to the first.
+    """For each recording the offset of the test train that matches most reference events; ties to the first of the list.
 
     A near pair gives an interval of good offsets. Those of one reference
     event are made disjoint, so it counts once; their ends, +1 and -1, and one
-    running sum give the count at every offset of an evenly spaced grid. The
-    count changes only where an interval begins or ends, so cost doesn't
-    follow the number of offsets.
+    running sum give the count at every offset. The count changes only where
+    an interval begins or ends, so with evenly spaced offsets cost doesn't
+    follow their number.
     """
-    first, step, n = grid(offsets)
+    grid = Grid(offsets)
     a = ref.select(*keys, F.col(t).alias("_r")).where("_r is not null").distinct()
     b = test.select(*keys, F.col(t).alias("_t")).where("_t is not null").distinct()
     b = b.withColumn("_next", F.lead("_t").over(W.partitionBy(*keys).orderBy("_t")))
-    x = near_pairs(a, b, keys, (first, step, n), tol)
+    x = near_pairs(a, b, keys, grid, tol)
     # offsets that bring the next test event near come first, and count there
-    taken = F.floor((F.col("_r") - F.col("_next") - first + tol + SLACK) / step) + 1
+    taken = grid.to(F.col("_r") - F.col("_next") + tol + SLACK) + 1
     x = x.withColumn("_from", F.greatest("_from", taken)).where("_from <= _to and _to >= 0")
-    best = swept(x, keys, n - 1, {"tp": F.lit(1)}).where("tp > 0").groupBy(*keys).agg(F.min(F.struct((-F.col("tp")).alias("m"), "_at", "tp")).alias("b"))
-    return best.select(*keys, F.round(first + F.col("b._at") * step, 9).alias("best_offset"), F.col("b.tp").alias("tp"))
+    best = swept(x, keys, grid, {"tp": F.lit(1)}).where("tp > 0").groupBy(*keys).agg(F.min(F.struct((-F.col("tp")).alias("m"), "_place", "tp")).alias("b"))
+    return best.select(*keys, grid.value(F.col("b._place")).alias("best_offset"), F.col("b.tp").alias("tp"))
 
 
 def rr_delta_search(ref: DataFrame, test: DataFrame, keys: Keys, t: str, rr: str, deltas: list[float], tol: float, least: int = 5) -> DataFrame:
@@ -163,15 +197,15 @@ def rr_delta_search(ref: DataFrame, test: DataFrame, keys: Keys, t: str, rr: str
 
     As `offset_search`: a pair adds itself and its difference to all deltas that match it. Sums are decimals, so what is taken away leaves nothing.
     """
-    first, step, n = grid(deltas)
+    grid = Grid(deltas)
     a = ref.select(*keys, F.col(t).alias("_r"), F.col(rr).alias("_rr"))
     b = test.select(*keys, F.col(t).alias("_t"), F.col(rr).alias("_rt"))
     differs = F.coalesce(F.abs(F.col("_rr") - F.col("_rt")) * 1000, F.lit(0.0)).cast("decimal(24,9)")
     known = (F.col("_rr") - F.col("_rt")).isNotNull().cast("int")
-    x = swept(near_pairs(a, b, keys, (first, step, n), tol), keys, n - 1, {"n": F.lit(1), "_known": known, "_sum": differs})
+    x = swept(near_pairs(a, b, keys, grid, tol), keys, grid, {"n": F.lit(1), "_known": known, "_sum": differs})
     x = x.where(F.col("n") >= least).withColumn("m", F.round(F.col("_sum").cast("double") / F.nullif(F.col("_known"), F.lit(0)), 9))
-    best = x.groupBy(*keys).agg(F.min(F.struct("m", "_at", "n")).alias("b"))
-    return best.select(*keys, F.round(first + F.col("b._at") * step, 9).alias("best_delta"), F.col("b.m").alias("mae_ms"), F.col("b.n").alias("n"))
+    best = x.groupBy(*keys).agg(F.min(F.struct("m", "_place", "n")).alias("b"))
+    return best.select(*keys, grid.value(F.col("b._place")).alias("best_delta"), F.col("b.m").alias("mae_ms"), F.col("b.n").alias("n"))
 
 
 def lag_search(ref: DataFrame, test: DataFrame, keys: Keys, idx: str, most: int) -> DataFrame:

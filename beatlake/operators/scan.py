@@ -94,8 +94,8 @@ def numbered(rows: DataFrame, order: list[Column | str], out: str, first: int =
     return x.join(sizes.select("_range", before.alias("_before")), "_range").withColumn(out, place.cast("bigint")).drop("_id", "_range", "_before")
 
 
-def groups_apart(rows: DataFrame, keys: Keys, order: list[str], t: str, gap: float, block: float | None, out: str) -> DataFrame:
-    """Numbers runs of rows that are no further apart than `gap`: gaps within blocks are counted there, gaps between them on the blocks' ends."""
+def groups_apart(rows: DataFrame, keys: Keys, order: list[str], t: str, gap: float | Column, block: float | None, out: str) -> DataFrame:
+    """Numbers runs of rows that are no further apart than `gap` (a number, or a column of the keys): gaps within blocks are counted there, gaps between them on the blocks' ends."""
     w = within(keys).orderBy(t, *order)
     x = blocked(rows, t, block).withColumn("_new", F.when(F.col(t) - F.lag(t).over(w) > gap, 1).otherwise(0))
     inside = F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))

@@ -12,6 +12,22 @@ def times(spark, values, value=1.0):
     return spark.createDataFrame([(1, float(t), value) for t in values], "r int, t double, v double")
 
 
+def walk(a, b, tol):
+    """Two pointers over sorted times: the earliest pair within the tolerance matches, the earlier of a pair beyond it is passed."""
+    i = j = 0
+    left, right = [], []
+    while i < len(a) and j < len(b):
+        if abs(b[j] - a[i]) <= tol + M.SLACK:
+            left.append(i)
+            right.append(j)
+            i, j = i + 1, j + 1
+        elif b[j] > a[i]:
+            i += 1
+        else:
+            j += 1
+    return left, right
+
+
 def pairs(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
@@ -106,12 +122,12 @@ def test_long_trains_are_cut_at_gaps_alone(spark):
     r = np.random.default_rng(0)
     a, b = np.sort(r.random(3000) * 3000), np.sort(r.random(3000) * 3000)
     x, y = times(spark, a.tolist()), times(spark, b.tolist())
-    left, right = M.walk(a, b, 0.3)
-    for piece in (1, 64, 10_000):
-        tp = M.greedy_match(x, y, K, "t", 0.3, piece=piece).where("kind = 'TP'").collect()
+    left, right = walk(a, b, 0.3)
+    for block in (None, 7.0, 50.0):
+        tp = M.greedy_match(x, y, K, "t", 0.3, block=block).where("kind = 'TP'").collect()
         assert sorted((v["t_ref"], v["t_test"]) for v in tp) == list(zip(a[left].tolist(), b[right].tolist()))
     swept = {v["tol_s"]: v["tp"] for v in M.tolerance_sweep(x, y, K, "t", [0.1, 0.3]).collect()}
-    assert swept == {0.1: len(M.walk(a, b, 0.1)[0]), 0.3: len(left)}
+    assert swept == {0.1: len(walk(a, b, 0.1)[0]), 0.3: len(left)}
 
 
 def test_refractory_and_prominence_of_long_series(spark):
