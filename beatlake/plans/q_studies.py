@@ -29,6 +29,32 @@ def detector_ranking(spark, sf_dir):
     return rounded(M.ranked(x, ["tol_s"]).select("tol_s", "tp", "fn", "fp", "f1", "rank"), "f1")
 
 
+CUTS = (0, 10, 20, 40)
+VARIANTS = f"""WITH RECURSIVE {E}, v(c) AS (VALUES {", ".join(f"({c})" for c in CUTS)}), a AS (SELECT user_id * 100 + c AS user_id, t, row_number() OVER (PARTITION BY user_id, c ORDER BY t) AS i FROM e, v WHERE event_type = 'click'), b AS (SELECT user_id * 100 + c AS user_id, t, row_number() OVER (PARTITION BY user_id, c ORDER BY t) AS j FROM e, v WHERE event_type = 'view' AND value > c), {walk_sql("21600.0")}"""
+
+
+@query("variant_ranking", f"{VARIANTS}, g AS (SELECT user_id % 100 AS cut, count(*) FILTER (WHERE kind = 'TP') AS tp, count(*) FILTER (WHERE kind = 'FN') AS fn, count(*) FILTER (WHERE kind = 'FP') AS fp FROM mt GROUP BY 1) SELECT cut::INT AS cut, tp, fn, fp, round(2 * tp / nullif(2 * tp + fn + fp, 0), 6) AS f1, row_number() OVER (ORDER BY 2 * tp / nullif(2 * tp + fn + fp, 0) DESC NULLS LAST, cut)::INT AS rank FROM g")
+def variant_ranking(spark, sf_dir):
+    """Detectors with different thresholds, ranked by the beats they find."""
+    a, e = trains(spark, sf_dir)[0], events_table(spark, sf_dir).where("event_type = 'view'")
+    tests = e.withColumn("cut", F.explode(F.array(*map(F.lit, CUTS)))).where(F.col("value") > F.col("cut")).select("user_id", "cut", "t")
+    return rounded(studies.rank_detectors(a, tests, USER, ["cut"], "t", 6 * HOUR).select("cut", "tp", "fn", "fp", "f1", "rank"), "f1")
+
+
+VERSIONS = f"""WITH RECURSIVE {E}, r AS (SELECT user_id, event_type, t, t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t) AS rr FROM e WHERE event_type IN ('click', 'view')), o AS (SELECT i AS rank, (i - 8) * 3600.0::DOUBLE AS off FROM range(17) t(i)),
+h AS (SELECT a.user_id, rank, off, count(*) AS n, round(avg(abs(a.rr - b.rr) * 1000), 9) AS mae FROM r a JOIN r b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND a.rr IS NOT NULL AND b.rr IS NOT NULL JOIN o ON abs(b.t + off - a.t) <= 10800.000000001 GROUP BY ALL HAVING count(*) >= 2),
+best AS (SELECT user_id, off, mae, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mae, rank) AS rn FROM h) WHERE rn = 1),
+a AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM r WHERE event_type = 'click' AND rr IS NOT NULL), b AS (SELECT r.user_id, r.t + coalesce(off, 0) AS t, row_number() OVER (PARTITION BY r.user_id ORDER BY r.t) AS j FROM r LEFT JOIN best USING (user_id) WHERE event_type = 'view' AND rr IS NOT NULL), {walk_sql("7200.0")}"""
+
+
+@query("compare_versions", f"{VERSIONS}, {rates_sql('user_id')} SELECT g.user_id, tp, fn, fp, round(sens, 6) AS sens, round(ppv, 6) AS ppv, round(f1, 6) AS f1, coalesce(off, 0) AS best_delta, round(mae, 2) AS rr_mae_ms, coalesce(n, 0) AS n_common FROM g LEFT JOIN best USING (user_id)")
+def compare_versions(spark, sf_dir):
+    """Two versions of a recording's beats: best shift of their intervals, then the match of the beats."""
+    a, b = (B.rr_from_peaks(x, USER, ["t"]) for x in trains(spark, sf_dir))
+    x = studies.compare_versions(a, b, USER, "t", "rr", [(i - 8) * HOUR for i in range(17)], 3 * HOUR, 2 * HOUR, 2)
+    return rounded(rounded(x, "sens", "ppv", "f1"), "rr_mae_ms", digits=2)
+
+
 @query("refined_shift", f"{PAIR}, {walk_sql('21600.0')} SELECT user_id, round(CASE WHEN count(*) >= 3 THEN greatest(least(median(t_test - t_ref), 1800), -1800) ELSE 0 END, 6) AS delta FROM mt WHERE kind = 'TP' GROUP BY 1")
 def refined_shift(spark, sf_dir):
     a, b = trains(spark, sf_dir)

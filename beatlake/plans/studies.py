@@ -97,6 +97,35 @@ def compare_peaks(ref: DataFrame, test: DataFrame, keys: list[str], t: str = "t"
     return {"shift": shift, "matched": matched, "metrics": matching.metrics(matched, keys), "errors": matching.error_log(matched, 60.0, tol), "agreement": matching.rr_agreement(common, keys, "rr_ref", "rr_test")}
 
 
+def compare_versions(ref: DataFrame, test: DataFrame, keys: list[str], t: str, rr: str, deltas: list[float], tol_rr: float = 0.15, tol: float = 0.04, least: int = 5) -> DataFrame:
+    """Two versions of a recording's beats, for all recordings at once: the delta at which their intervals agree best, the agreement there, and the match of the beats moved by it (by 0 where too few intervals match)."""
+    best = matching.rr_delta_search(ref, test, keys, t, rr, deltas, tol_rr, least)
+    moved = test.join(best.select(*keys, "best_delta"), keys, "left").withColumn(t, F.col(t) + F.coalesce("best_delta", F.lit(0.0))).drop("best_delta")
+    scores = matching.metrics(matching.greedy_match(ref, moved, keys, t, tol), keys).select(*keys, "tp", "fn", "fp", "sens", "ppv", "f1")
+    return scores.join(best.select(*keys, "best_delta", F.col("mae_ms").alias("rr_mae_ms"), F.col("n").alias("n_common")), keys, "left").withColumns({"best_delta": F.coalesce("best_delta", F.lit(0.0)), "n_common": F.coalesce("n_common", F.lit(0))})
+
+
+def read_versions(spark, ref: str, test: str) -> tuple[DataFrame, DataFrame]:
+    """path, t, rr of beats in two LabVIEW interval files (or folders of files with equal names): times from each file's start."""
+    from beatlake.sources import text
+
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    out = []
+    for path in (ref, test):
+        start = text.read_lvm_start(spark, path).select(name.alias("recording"), (F.unix_micros(F.col("start").cast("timestamp")) / 1e6).alias("_start"))
+        x = text.running(text.read_lvm_rr(spark, path).withColumnRenamed("ord", "line"), ["path"], {"_t": F.col("rr")})
+        x = x.select(name.alias("recording"), "rr", (F.col("_t") - F.col("rr")).alias("_t"))
+        out.append(x.join(start, "recording", "left").select("recording", (F.coalesce("_start", F.lit(0.0)) + F.col("_t")).alias("t"), "rr"))
+    return out[0], out[1]
+
+
+def rank_detectors(ref: DataFrame, tests: DataFrame, keys: list[str], variants: list[str], t: str, tol: float) -> DataFrame:
+    """Detectors (and cleanings) from the best to the worst F1 over all recordings: `tests` has the beats of every variant, all are matched in one plan, and one that found nothing has its misses."""
+    every = tests.select(F.collect_set(F.struct(*variants))).scalar()  # a few names
+    spread = ref.select(*keys, t).withColumn("_every", every).select(*keys, t, F.explode("_every").alias("_v")).select(*keys, t, "_v.*")
+    return matching.ranked(matching.pooled(matching.metrics(matching.greedy_match(spread, tests, [*keys, *variants], t, tol), [*keys, *variants]), variants), variants)
+
+
 def signal_study(chunks: DataFrame, keys: list[str], fs: float, n_beats: int = 100, low: float = 1.2, high: float = 32.0, method: str = "two_level", quantile: float = 0.995) -> dict[str, DataFrame]:
     """From signal segments to detections: band-pass, peaks, intervals, features, thresholds, merged events."""
     clean = signal.band_pass(chunks, keys, "samples", fs, low, high)

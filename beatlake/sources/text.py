@@ -92,9 +92,11 @@ def read_annotators_csv(spark: SparkSession, path: str, annotators: int = 4) ->
 
 def class_at(intervals: DataFrame, points: DataFrame, t: str) -> DataFrame:
     """The class of each point of a file: that of the last row that covers it (0 without one)."""
-    a, b = points.alias("a"), intervals.alias("b")
-    hit = a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col(f"a.{t}") >= F.col("b.start")) & (F.col(f"a.{t}") < F.col("b.end")))
-    best = hit.groupBy(F.col("a.path").alias("path"), F.col(f"a.{t}").alias(t)).agg(F.max_by("class", "ord").alias("class"))
+    from beatlake.operators.intervals import overlap_pairs
+
+    at = points.select("path", F.col(t), F.col(t).alias("_u")).distinct()
+    hit = overlap_pairs(at, intervals.select("path", "start", "end", "ord", "class"), ["path"], (t, "_u"), ("start", "end"), closed=True).where(F.col(t) < F.col("end"))
+    best = hit.groupBy("path", t).agg(F.max_by("class", "ord").alias("class"))
     return points.join(best, ["path", t], "left").na.fill(0, ["class"])
 
 

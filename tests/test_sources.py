@@ -266,3 +266,38 @@ def test_planning_reads_no_samples(recordings):
 
     _, found = binary.tdms_layout(at, len(data))
     assert sum(r.n * r.blocks for r in found["/'g'/'EKG 1'"]) == 6900 and sum(read) < 1000
+
+
+def test_two_versions_of_interval_files(spark, tmp_path):
+    from beatlake.plans import studies
+
+    rng = np.random.default_rng(4)
+    rr = np.round(rng.uniform(600, 1100, 400), 1)
+    head = lambda clock: ["Date\t2023/05/04", f"Time\t{clock}", *["x"] * 20]
+    body = lambda v: [f"{i}\t{str(x).replace('.', ',')}" for i, x in enumerate(v)]
+    for folder, clock, values in (("whole", "10:00:00,000", rr), ("trimmed", "10:00:01,500", rr[:390])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "p1.lvm").write_text("\n".join(head(clock) + body(values)))
+    a, b = studies.read_versions(spark, str(tmp_path / "whole"), str(tmp_path / "trimmed"))
+    r = studies.compare_versions(a, b, ["recording"], "t", "rr", [round(-2 + 0.05 * i, 2) for i in range(81)]).collect()
+    assert len(r) == 1 and r[0].recording == "p1.lvm" and r[0].best_delta == -1.5
+    assert (r[0].tp, r[0].fn, r[0].fp, r[0].n_common) == (390, 10, 0, 390) and r[0].rr_mae_ms == pytest.approx(0, abs=1e-6)
+
+
+def test_detectors_are_ranked_with_those_that_find_little(spark):
+    from beatlake.plans import studies
+
+    ref = spark.createDataFrame([(r, float(t)) for r in (1, 2) for t in range(10)], "r int, t double")
+    found = [(r, "good", t + 0.01) for r in (1, 2) for t in range(10)] + [(1, "half", t + 0.02) for t in range(0, 10, 2)] + [(2, "wild", t + 0.5) for t in range(30)]
+    tests = spark.createDataFrame([(r, n, float(t)) for r, n, t in found], "r int, name string, t double")
+    got = studies.rank_detectors(ref, tests, K, ["name"], "t", 0.04).orderBy("rank").collect()
+    assert [(x.name, x.tp, x.fn, x.fp) for x in got] == [("good", 20, 0, 0), ("half", 5, 15, 0), ("wild", 0, 20, 30)]
+
+
+def test_classes_at_points_like_a_scan(spark):
+    rng = np.random.default_rng(3)
+    iv = [("f", i, int(a), int(a + d), int(rng.integers(1, 4))) for i, (a, d) in enumerate(zip(rng.integers(0, 900, 60), rng.integers(1, 200, 60)))]
+    rows = spark.createDataFrame(iv, "path string, ord bigint, start bigint, end bigint, class bigint")
+    points = spark.createDataFrame([("f", t) for t in range(1200)], "path string, t bigint")
+    want = [next((c for _, _, a, b, c in reversed(iv) if a <= t < b), 0) for t in range(1200)]
+    assert [r["class"] for r in text.class_at(rows, points, "t").orderBy("t").collect()] == want
