@@ -49,23 +49,26 @@ def same(a: str, b: str, columns: Keys) -> Column:
     return functools.reduce(operator.and_, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns))
 
 
-def quantiles(df: DataFrame, keys: Keys, wanted: dict[str, tuple[Column | str, float]], small: int = SMALL) -> DataFrame:
-    """A row a group (one row, without keys): its keys and, by name, the quantile of a column or expression."""
+def quantiles(df: DataFrame, keys: Keys, wanted: dict[str, tuple[Column | str, float]], small: int = SMALL, every: bool = True) -> DataFrame:
+    """A row a group (one row, without keys): its keys and, by name, the quantile of a column or expression.
+
+    Groups without any value have no row where `every` is false, which saves a pass over `df`.
+    """
     spark = df.sparkSession
     scratch = Scratch(spark, "quantiles")
     columns: dict[str, int] = {}
     number = {name: columns.setdefault(str(c), len(columns)) for name, (c, _) in wanted.items()}
     values = list({columns[str(c)]: (F.col(c) if isinstance(c, str) else c) for c, _ in wanted.values()}.values())
     one = [F.struct(F.lit(i).alias("_c"), v.cast("double").alias("_x")) for i, v in enumerate(values)]
-    every = df.select(*keys, F.explode(F.array(*one)).alias("_v")).select(*keys, "_v.*")
     group = [*keys, "_c"]
-    rows = scratch.save(every.where("_x is not null"))
+    rows = scratch.save(df.select(*keys, F.explode(F.array(*one)).alias("_v")).select(*keys, "_v.*").where("_x is not null"))
     spine = F.array(*(F.struct(F.lit(name).alias("_name"), F.lit(number[name]).alias("_c"), F.lit(float(q)).alias("_q")) for name, (_, q) in wanted.items()))
-    size = scratch.save(rows.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")))
+    size = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    full = (lambda given: every_group(df, keys, given)) if every else (lambda given: given)
     if (size.agg(F.max("_n").alias("n")).first()["n"] or 0) <= small:
         qs = sorted({float(q) for _, q in wanted.values()})
         each = rows.groupBy(*group).agg(F.percentile("_x", F.array(*map(F.lit, qs))).alias("_p"))
-        return every_group(df, keys, each.groupBy(*keys).agg(*(F.max(F.when(F.col("_c") == number[n], F.col("_p")[qs.index(float(q))])).alias(n) for n, (_, q) in wanted.items())))
+        return full(each.groupBy(*keys).agg(*(F.max(F.when(F.col("_c") == number[n], F.col("_p")[qs.index(float(q))])).alias(n) for n, (_, q) in wanted.items())))
     # an interpolated quantile needs the ranks around its place
     place = F.col("_q") * (F.col("_n") - 1)
     wants = size.withColumn("_w", F.explode(F.filter(spine, lambda s: s["_c"] == F.col("_c")))).select(*group, "_n", "_lo", "_hi", "_w._name", "_w._q")
@@ -109,7 +112,7 @@ def quantiles(df: DataFrame, keys: Keys, wanted: dict[str, tuple[Column | str, f
     both = a.join(lo, same("a", "l", group) & (F.col("a._below") == F.col("l._rank"))).join(hi, same("a", "h", group) & (F.col("a._above") == F.col("h._rank")))
     between = F.when(F.col("a._below") == F.col("a._above"), F.col("l._value")).otherwise((F.col("a._above") - F.col("a._place")) * F.col("l._value") + (F.col("a._place") - F.col("a._below")) * F.col("h._value"))
     names = both.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a._name").alias("_name"), between.alias("_value"))
-    return every_group(df, keys, names.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in wanted)))
+    return full(names.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in wanted)))
 
 
 def every_group(df: DataFrame, keys: Keys, given: DataFrame) -> DataFrame:
@@ -122,7 +125,7 @@ def every_group(df: DataFrame, keys: Keys, given: DataFrame) -> DataFrame:
 
 def with_quantiles(grouped: DataFrame, df: DataFrame, keys: Keys, wanted: dict[str, tuple[Column | str, float]]) -> DataFrame:
     """`grouped` (a row a group of `df`) with columns of quantiles."""
-    found = quantiles(df, keys, wanted)
+    found = quantiles(df, keys, wanted, every=False)
     if not keys:
         return grouped.withColumn("_one", F.lit(1)).join(found.withColumn("_one", F.lit(1)), "_one").drop("_one")
     a, b = grouped.alias("a"), found.alias("b")

@@ -263,14 +263,14 @@ def qc_metrics(x: Column, limit: float = 1e-6) -> dict[str, Column]:
 def spectral_uniqueness(psds: DataFrame, keys: Keys) -> DataFrame:
     """Root mean square of each segment's log spectrum against the median spectrum of all."""
     x = psds.select(*keys, F.posexplode("p").alias("bin", "power")).withColumn("lp", F.log10(F.greatest("power", F.lit(1e-20))))
-    mid = quantiles(x, ["bin"], {"_m": ("lp", 0.5)})
+    mid = quantiles(x, ["bin"], {"_m": ("lp", 0.5)}, every=False)
     return x.join(mid, "bin").groupBy(*keys).agg(F.sqrt(F.avg((F.col("lp") - F.col("_m")) ** 2)).alias("uniqueness"))
 
 
 def psd_bands(psds: DataFrame) -> DataFrame:
     """Percentiles of all segments' power by bin."""
     x = psds.select(F.posexplode("p").alias("bin", "power"))
-    return quantiles(x, ["bin"], {"p10": ("power", 0.1), "p50": ("power", 0.5), "p90": ("power", 0.9)})
+    return quantiles(x, ["bin"], {"p10": ("power", 0.1), "p50": ("power", 0.5), "p90": ("power", 0.9)}, every=False)
 
 
 def power_outliers(psds: DataFrame, keys: Keys, band: tuple[float, float] = (45.0, 55.0), k: int = 8, by: Keys = ()) -> DataFrame:

@@ -15,7 +15,7 @@ Keys = list[str]
 def quantile_threshold(df: DataFrame, keys: Keys, value: str, q: float, where: Column | None = None, out: str = "threshold") -> DataFrame:
     """A quantile of finite values by key (or of all, without keys)."""
     ok = finite(F.col(value)) if where is None else finite(F.col(value)) & where
-    return quantiles(df.where(ok), keys, {out: (value, q)})
+    return quantiles(df.where(ok), keys, {out: (value, q)}, every=False)
 
 
 def baseline_first_threshold(df: DataFrame, keys: Keys, order: list[str], value: str, q: float, beats: int, width: int, out: str = "threshold") -> DataFrame:
