@@ -41,12 +41,14 @@ def quality_flags(windows: DataFrame, keys: Keys, flat_std: float, noise_factor:
 
 
 def recording_quality(flagged: DataFrame, keys: Keys) -> DataFrame:
-    """A row a recording: percentiles of window statistics and shares of flagged windows."""
-    flags = {f"frac_{f}": F.avg(F.col(f"is_{f}").cast("int")) for f in ("flatline", "noiseburst", "clipping")}
-    g = flagged.groupBy(*keys).agg(F.count("*").alias("n_windows"), *(v.alias(n) for n, v in flags.items()))
-    wanted = {"win_std_median": ("std", 0.5), "win_std_p01": ("std", 0.01), "win_std_p99": ("std", 0.99), "win_range_median": ("range", 0.5), "win_range_p99": ("range", 0.99), "diff_abs_median": ("diff_abs_med", 0.5)}
-    order = ("win_std_median", "win_std_p01", "win_std_p99", "win_range_median", "win_range_p99", *flags, "diff_abs_median")
-    return with_quantiles(g, flagged, keys, wanted).select(*keys, "n_windows", *order)
+    """A row a recording: percentiles of window statistics (a recording's windows are few) and shares of flagged windows."""
+    p = lambda c, q: F.percentile(c, F.lit(q))
+    share = lambda c: F.avg(F.col(c).cast("int"))
+    return flagged.groupBy(*keys).agg(
+        F.count("*").alias("n_windows"), p("std", 0.5).alias("win_std_median"), p("std", 0.01).alias("win_std_p01"), p("std", 0.99).alias("win_std_p99"),
+        p("range", 0.5).alias("win_range_median"), p("range", 0.99).alias("win_range_p99"), share("is_flatline").alias("frac_flatline"),
+        share("is_noiseburst").alias("frac_noiseburst"), share("is_clipping").alias("frac_clipping"), p("diff_abs_med", 0.5).alias("diff_abs_median"),
+    )
 
 
 def acceptable(df: DataFrame, flags: tuple[str, ...] = ("is_flatline", "is_noiseburst", "is_clipping"), out: str = "is_acceptable") -> DataFrame:

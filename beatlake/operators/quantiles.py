@@ -26,7 +26,7 @@ from beatlake.scratch import Scratch
 
 Keys = list[str]
 #: Values that are sorted in one task, and bins of a pass.
-SMALL, BINS = 100_000, 2048
+SMALL, BINS = 500_000, 2048
 #: Where NaN and infinite values lie on the scales of the bins, and what makes the logarithm of the least double positive.
 NAN, MOST, LEAST = 2000.0, 1.7e308, 745.0
 

@@ -26,13 +26,13 @@ def truth(spark, sf_dir):
     return e.select("user_id", F.col("event_id").alias("seizure_id"), "t", (F.col("t") - 300).alias("t0"), (F.col("t") + 300).alias("t1"))
 
 
-def islands(spark, sf_dir):
-    return V.event_list(events_table(spark, sf_dir), USER, ORDER, "t", "value", 20.0, gap=12 * HOUR, block=BLOCK)
+def islands(spark, sf_dir, block=None):
+    return V.event_list(events_table(spark, sf_dir), USER, ORDER, "t", "value", 20.0, gap=12 * HOUR, block=block)
 
 
 @query("threshold_events", f"WITH {E}, {ISLANDS} SELECT user_id, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, round(t_end - t_start, 6) AS duration_s, round(t_peak, 6) AS t_peak, peak_value, n_points FROM ev")
 def threshold_events(spark, sf_dir):
-    return rounded(islands(spark, sf_dir), "t_start", "t_end", "duration_s", "t_peak")
+    return rounded(islands(spark, sf_dir, BLOCK), "t_start", "t_end", "duration_s", "t_peak")
 
 
 @query("ordinal_events", f"""WITH {E}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS ord FROM e), f AS (SELECT *, CASE WHEN ord - lag(ord) OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 > 2 THEN 1 ELSE 0 END AS b FROM o WHERE value >= 25),
