@@ -93,5 +93,5 @@ def test_clean_documents_stay(spark, folder):
 
 def test_registered(spark):
     q = queries.queries()
-    assert [k.split("_")[0] for k in q] == [f"op{i}" for i in range(1, 11)] + ["pipeline"] and set(queries.oracle_sql()) <= set(q)
+    assert [k.split("_")[0] for k in q] == [f"op{i}" for i in range(1, 14)] + ["pipeline"] and set(queries.oracle_sql()) <= set(q)
     assert all(map(callable, q.values()))
