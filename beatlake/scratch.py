@@ -64,6 +64,19 @@ class Scratch:
 
     def drop(self, table: DataFrame) -> None:
         """Deletes a saved table that no later step reads."""
+        self._delete(table.scratch_path)
+
+    def close(self) -> None:
+        """Deletes all tables of the job, once nothing reads what it returned; also at the end of a `with` block."""
+        self._delete(self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def _delete(self, where: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -301,3 +301,15 @@ def test_classes_at_points_like_a_scan(spark):
     points = spark.createDataFrame([("f", t) for t in range(1200)], "path string, t bigint")
     want = [next((c for _, _, a, b, c in reversed(iv) if a <= t < b), 0) for t in range(1200)]
     assert [r["class"] for r in text.class_at(rows, points, "t").orderBy("t").collect()] == want
+
+
+def test_scratch_tables_go_when_closed(spark):
+    import os
+
+    from beatlake.scratch import Scratch
+
+    with Scratch(spark, "test") as scratch:
+        kept = scratch.save(spark.range(5))
+        folder = scratch.root.removeprefix("file://")
+        assert kept.count() == 5 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
