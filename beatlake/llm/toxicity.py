@@ -1,7 +1,8 @@
 """Toxicity by classifier chains.
 
-Each category has a linear (logistic) model over word and word-prefix
-features. The categories stand in a fixed order, and every model also gets
+Each category has a linear (logistic) model over words and word prefixes that
+a text holds, and over those that it holds often (a syllable may stand once in
+any clean text, and in every other sentence of a toxic one). The categories stand in a fixed order, and every model also gets
 the log-odds that the models before it gave. While training, those log-odds
 are out-of-fold, so a later link learns from what an earlier one says about
 texts it has not seen.
@@ -12,11 +13,12 @@ the training sample fall into `GROUPS` kinds by the features they share
 (cuts along principal directions), and each kind is a category.
 
 Training reads at most `max_train` labelled documents (those whose id hashes
-lowest, one row for each id). Features are counted on Spark, and those with
-the most evidence for a category are kept, `max_features` in all; a feature
-of one document only tells nothing about others. Only the selected features
-of that bounded sample reach the driver. Scoring is one pass over whole texts
-without a shuffle.
+lowest, one row for each id). Features are counted on Spark, and every one
+with significant evidence for a category (a log-likelihood ratio of
+`min_gain` or more) is kept, so a small language's features don't compete
+with a large one's; a feature of one document only tells nothing about
+others. Only the selected features of that bounded sample reach the driver.
+Scoring is one pass over whole texts without a shuffle.
 
 Defined results: null and empty texts have no feature and get the prior;
 without labels, or with labels of one class only, a category's probability
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,18 +51,28 @@ LABEL = "toxic"
 #: Kinds of toxic documents where no further category is labelled.
 GROUPS = 2
 MAX_TRAIN = 20_000
-MAX_FEATURES = 2_000
+#: Half the chi-square quantile for 0.99 at one degree of freedom.
+MIN_GAIN = 3.317
 FOLDS = 4
 PREFIXES = (4, 5, 6)
+#: A word or prefix is frequent in a text that holds it twice, and once in so many words.
+OFTEN = 100
 THRESHOLD = 0.5
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str | None) -> set[str]:
-    """Distinct lower-case words, and their prefixes marked by a star."""
-    words = set(WORD.findall((text or "").lower()))
-    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in PREFIXES))
+    """Distinct lower-case words, their prefixes marked by a star, and those of both that are frequent, marked by a plus."""
+    words = WORD.findall((text or "").lower())
+    counts = Counter(words)
+    prefixes: Counter[str] = Counter()
+    for w, k in counts.items():
+        for n in PREFIXES:
+            if len(w) > n:
+                prefixes[w[:n] + "*"] += k
+    counts.update(prefixes)
+    return counts.keys() | {f + "+" for f, k in counts.items() if k > 1 and k * OFTEN >= len(words)}
 
 
 @dataclass(frozen=True)
@@ -169,7 +182,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, .
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = (), groups: int = GROUPS, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Chain:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = (), groups: int = GROUPS, max_train: int = MAX_TRAIN, min_gain: float = MIN_GAIN) -> Chain:
     """`docs` has doc_id and text; `labels` doc_id, toxic (0/1), and a column (0/1) for each of `categories`."""
     require(docs, "doc_id", "text")
     require(labels, "doc_id", LABEL, *categories)
@@ -191,8 +204,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: tup
         return Chain(names, {}, tuple(np.zeros(i) for i in range(len(names))), tuple(math.log(0.05 / 0.95) for _ in names))
     counts = sample.select(F.explode("words").alias("word"), "y").groupBy("word").agg(F.count("*").alias("d"), *(F.sum(F.col("y")[i]).alias(f"k{i}") for i in range(len(labelled))))
     gains = [gain(F.col(f"k{i}"), F.col("d"), total[f"p{i}"] or 0, total["n"]) for i in range(len(labelled))]
-    scored = counts.where("d > 1").withColumn("gain", F.greatest(*gains) if len(gains) > 1 else gains[0]).where("gain > 0")
-    words = [r["word"] for r in scored.orderBy(F.desc("gain"), "word").limit(max_features).select("word").collect()]
+    scored = counts.where("d > 1").withColumn("gain", F.greatest(*gains) if len(gains) > 1 else gains[0]).where(F.col("gain") >= min_gain)
+    words = [r["word"] for r in scored.select("word").orderBy("word").collect()]
     hits, folds, y = collected(sample, words)
     if not categories:
         toxic = np.flatnonzero(y[:, -1])
