@@ -195,6 +195,11 @@ def test_features_of_frequent_words_like_a_plain_count():
     assert "xachli*+" in often and "xachlichen+" not in often and "other+" in often
     assert "other+" not in toxicity.features(text + " filler" * 100)
     assert toxicity.features(None) == toxicity.features("") == set()
+    # a chain finds the known ones among them
+    known = ["xach*", "xachli*+", "other", "other+", "fill*+", "filler", "filler+", "absent", "wordy*", "here+"]
+    chain = toxicity.Chain((), {f: i for i, f in enumerate(known)}, (), ())
+    for t in (text, text + " filler" * 100, "other Other wordily wordyness", "", None):
+        assert chain.hits(t) == sorted(i for f, i in chain.index.items() if f in toxicity.features(t))
 
 
 def test_a_small_language_is_learned_beside_a_large_one(spark):
