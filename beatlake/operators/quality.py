@@ -83,9 +83,12 @@ def add_variants(df: DataFrame, variants: list[Variant]) -> DataFrame:
 
 
 def classify_recordings(q: DataFrame, flat: float = 0.2, noise: float = 0.2, clip: float = 0.05, flat_warn: float = 0.05, noise_warn: float = 0.05, clip_warn: float = 0.01, std_low: float = 1e-6, error: str | None = None) -> DataFrame:
-    """quality_label bad, borderline or good by the first rule that applies, with all reasons of that grade."""
+    """quality_label bad, borderline or good by the first rule that applies, with all reasons of that grade.
+
+    Shares are printed as C does it: the double's own value to three places, halves to even.
+    """
     err = (F.col(error).isNotNull() & (F.col(error) != "")) if error else F.lit(False)
-    say = lambda cond, text, c: F.when(cond, F.concat(F.lit(text), F.format_string("%.3f", F.col(c))))
+    say = lambda cond, text, c: F.when(cond, F.concat(F.lit(text), F.format_number(c, 3)))
     bad = F.concat_ws(
         "; ", F.when(err, F.concat(F.lit("load error: "), F.col(error))) if error else F.lit(None).cast("string"),
         say(F.col("frac_flatline") > flat, "flatline share ", "frac_flatline"), say(F.col("frac_noiseburst") > noise, "noise share ", "frac_noiseburst"),
