@@ -23,6 +23,12 @@ def correlation(a: str, b: str) -> Column:
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
+def scaled_round(x: Column, digits: int) -> Column:
+    """Rounded as SQL engines round doubles: scaled, halves away from 0, scaled back. Spark's own rounds the shortest decimal form, which may lie at the other side of a half."""
+    scale = float(10**digits)
+    return F.round(x * scale) / scale
+
+
 def heart_rate(rr_s: Column) -> Column:
     """Beats a minute of an interval in seconds."""
     return 60.0 / F.greatest(rr_s, F.lit(TINY))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatlake.functions.scalars import correlation
+from beatlake.functions.scalars import correlation, scaled_round
 from beatlake.operators import scan
 
 Keys = list[str]
@@ -203,7 +203,7 @@ def rr_delta_search(ref: DataFrame, test: DataFrame, keys: Keys, t: str, rr: str
     differs = F.coalesce(F.abs(F.col("_rr") - F.col("_rt")) * 1000, F.lit(0.0)).cast("decimal(24,9)")
     known = (F.col("_rr") - F.col("_rt")).isNotNull().cast("int")
     x = swept(near_pairs(a, b, keys, grid, tol), keys, grid, {"n": F.lit(1), "_known": known, "_sum": differs})
-    x = x.where(F.col("n") >= least).withColumn("m", F.round(F.col("_sum").cast("double") / F.nullif(F.col("_known"), F.lit(0)), 9))
+    x = x.where(F.col("n") >= least).withColumn("m", scaled_round(F.col("_sum").cast("double") / F.nullif(F.col("_known"), F.lit(0)), 9))
     best = x.groupBy(*keys).agg(F.min(F.struct("m", "_place", "n")).alias("b"))
     return best.select(*keys, grid.value(F.col("b._place")).alias("best_delta"), F.col("b.m").alias("mae_ms"), F.col("b.n").alias("n"))
 

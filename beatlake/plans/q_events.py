@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from beatlake.functions.scalars import scaled_round
 from beatlake.operators import events as V
 from beatlake.operators import intervals as I
 from beatlake.operators import matching as M
@@ -284,7 +285,8 @@ def rr_delta_search(spark, sf_dir):
     from beatlake.operators.beats import rr_from_peaks
 
     a, b = (rr_from_peaks(x, USER, ["t"]) for x in trains(spark, sf_dir))
-    return rounded(M.rr_delta_search(a, b, USER, "t", "rr", [(i - 4) * 7200.0 for i in range(9)], 3 * HOUR, 2), "mae_ms", digits=2)
+    x = M.rr_delta_search(a, b, USER, "t", "rr", [(i - 4) * 7200.0 for i in range(9)], 3 * HOUR, 2)
+    return x.withColumn("mae_ms", scaled_round(F.col("mae_ms"), 2))
 
 
 @query("lag_search", f"""WITH {E}, x AS (SELECT user_id, event_type, floor(t / 600)::BIGINT AS m FROM e), l AS (SELECT a.user_id, b.m - a.m AS lag, count(*) AS n FROM x a JOIN x b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND abs(b.m - a.m) <= 36 GROUP BY 1, 2)
