@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from beatlake.functions.scalars import duration_text
+from beatlake.functions.scalars import duration_text, scaled_round
 from beatlake.operators import audit as A
 from beatlake.operators import beats as B
 from beatlake.operators import matching as M
@@ -52,7 +52,7 @@ def compare_versions(spark, sf_dir):
     """Two versions of a recording's beats: best shift of their intervals, then the match of the beats."""
     a, b = (B.rr_from_peaks(x, USER, ["t"]) for x in trains(spark, sf_dir))
     x = studies.compare_versions(a, b, USER, "t", "rr", [(i - 8) * HOUR for i in range(17)], 3 * HOUR, 2 * HOUR, 2)
-    return rounded(rounded(x, "sens", "ppv", "f1"), "rr_mae_ms", digits=2)
+    return rounded(x, "sens", "ppv", "f1").withColumn("rr_mae_ms", scaled_round(F.col("rr_mae_ms"), 2))
 
 
 @query("refined_shift", f"{PAIR}, {walk_sql('21600.0')} SELECT user_id, round(CASE WHEN count(*) >= 3 THEN greatest(least(median(t_test - t_ref), 1800), -1800) ELSE 0 END, 6) AS delta FROM mt WHERE kind = 'TP' GROUP BY 1")

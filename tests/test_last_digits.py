@@ -39,3 +39,8 @@ def halves(spark, tmp_path):
 def test_rr_delta_search_rounds_as_its_sql(halves):
     got, want = halves("rr_delta_search", "mae_ms")
     assert got == want == {218: 303981303.65, 936: 108129943.78}
+
+
+def test_compare_versions_rounds_as_its_sql(halves):
+    got, want = halves("compare_versions", "rr_mae_ms")
+    assert got == want and got[218] == 303981303.65
