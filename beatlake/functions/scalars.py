@@ -45,7 +45,8 @@ def unit_score(x: Column, low: float, high: float, inverse: bool = False) -> Col
 
 
 def snr_db(signal_power: Column, noise_power: Column) -> Column:
-    return F.when(noise_power == 0, F.lit(float("inf"))).otherwise(10 * F.log10(signal_power / noise_power))
+    """Ratio of powers in decibels: infinite without noise, else minus infinite without signal; null for a negative ratio."""
+    return F.when(noise_power == 0, F.lit(float("inf"))).when(signal_power == 0, F.lit(float("-inf"))).otherwise(10 * F.log10(signal_power / noise_power))
 
 
 def three_bins(x: Column, t1: float, t2: float, higher_is_better: bool = True) -> Column:

@@ -44,3 +44,8 @@ def test_rr_delta_search_rounds_as_its_sql(halves):
 def test_compare_versions_rounds_as_its_sql(halves):
     got, want = halves("compare_versions", "rr_mae_ms")
     assert got == want and got[218] == 303981303.65
+
+
+def test_snr_without_signal_is_minus_infinity(spark):
+    x = spark.createDataFrame([(0.0, 3.0), (30.0, 3.0), (3.0, 0.0), (None, 3.0)], "s double, n double")
+    assert [r[0] for r in x.select(C.snr_db(F.col("s"), F.col("n"))).collect()] == [float("-inf"), 10.0, float("inf"), None]
