@@ -69,10 +69,14 @@ WIN = f"""{E}, {TRUTH}, w0 AS (SELECT user_id, floor(t / 21600)::BIGINT AS windo
 EXISTS (SELECT 1 FROM truth s WHERE s.user_id = w0.user_id AND window_idx * 21600.0 < s.t1 AND (window_idx + 1) * 21600.0 > s.t0) AS ev FROM w0)"""
 
 
-def six_hours(spark, sf_dir):
+def six_hour_windows(spark, sf_dir):
     g = events_table(spark, sf_dir).groupBy("user_id", F.floor(F.col("t") / (6 * HOUR)).cast("bigint").alias("window_idx")).agg(F.max("value").alias("mx"), F.count("*").alias("n"))
-    g = g.withColumns({"win_start_s": F.col("window_idx") * 21600.0, "win_end_s": (F.col("window_idx") + 1) * 21600.0, "ok": F.col("mx") <= 25})
-    return I.overlap_flag(g, truth(spark, sf_dir), USER, ["window_idx"], ("win_start_s", "win_end_s"), ("t0", "t1"), out="ev")
+    return g.withColumns({"win_start_s": F.col("window_idx") * 21600.0, "win_end_s": (F.col("window_idx") + 1) * 21600.0, "ok": F.col("mx") <= 25})
+
+
+def six_hours(spark, sf_dir):
+    """The windows with whether an annotated event overlaps them."""
+    return I.overlap_flag(six_hour_windows(spark, sf_dir), truth(spark, sf_dir), USER, ["window_idx"], ("win_start_s", "win_end_s"), ("t0", "t1"), out="ev")
 
 
 @query("retention_overall", f"""WITH {WIN} SELECT user_id, count(*) AS n_all, count(*) FILTER (WHERE ok) AS kept_all, count(*) FILTER (WHERE ev) AS n_event, count(*) FILTER (WHERE ev AND ok) AS kept_event, count(*) FILTER (WHERE NOT ev) AS n_baseline, count(*) FILTER (WHERE NOT ev AND ok) AS kept_baseline,

@@ -11,7 +11,7 @@ from beatlake.operators import thresholds as T
 from beatlake.plans import studies
 from beatlake.plans.q_beats import FEATURES, ORDER, RR, N, intervals
 from beatlake.plans.q_events import HOUR, TRUTH, USER, truth
-from beatlake.plans.q_quality import WIN, six_hours
+from beatlake.plans.q_quality import WIN, six_hour_windows
 from beatlake.plans.registry import E, events_table, query, rounded
 
 
@@ -67,7 +67,7 @@ def over_threshold_points(spark, sf_dir):
 
 @query("analyzable_hours", f"WITH {WIN} SELECT user_id, round(sum(win_end_s - win_start_s) / 3600, 4) AS hours FROM w WHERE ok GROUP BY 1")
 def analyzable_hours(spark, sf_dir):
-    return rounded(S.analyzable_hours(six_hours(spark, sf_dir), USER, ("win_start_s", "win_end_s"), F.col("ok"), USER), "hours", digits=4)
+    return rounded(S.analyzable_hours(six_hour_windows(spark, sf_dir), USER, ("win_start_s", "win_end_s"), F.col("ok"), USER), "hours", digits=4)
 
 
 #: Points with their window's verdict, islands by SQI mode, and the scores of each mode and responder group.
@@ -80,7 +80,7 @@ IN_GROUP = "(g.responder = 'all' OR (g.responder = 'yes') = (user_id % 3 = 0))"
 
 def study(spark, sf_dir):
     """Points with acceptance, by SQI mode; detected events; annotated events of recordings that have points."""
-    e, w = events_table(spark, sf_dir), six_hours(spark, sf_dir)
+    e, w = events_table(spark, sf_dir), six_hour_windows(spark, sf_dir)
     x = e.withColumn("window_idx", F.floor(F.col("t") / (6 * HOUR)).cast("bigint")).join(w.select("user_id", "window_idx", "ok"), ["user_id", "window_idx"], "left")
     q = S.with_sqi_modes(x, "ok", {"off": None, "on": "ok"})
     found = V.event_list(q, ["sqi", "user_id"], ["event_id"], "t", "value", 15.0, 12 * HOUR)
@@ -103,15 +103,15 @@ n AS (SELECT sqi, responder, count(*) AS n_events, count(*) FILTER (WHERE NOT EX
 SELECT sqi, responder, n_events, n_true, n_detected, n_false, round(n_detected / n_true, 6) AS recall, round(n_false / hours, 6) AS far_per_h FROM d JOIN n USING (sqi, responder), h""")
 def responder_split(spark, sf_dir):
     found, true, hours = study(spark, sf_dir)
-    group = lambda df: S.with_overall(df.withColumn("responder", F.when(F.col("user_id") % 3 == 0, "yes").otherwise("no")), "responder")
-    x = S.score(group(found), group(true), "user_id", ("t_start", "t_end"), ("t0", "t1"), 6 * HOUR, hours, ["sqi", "responder"])
+    group = lambda df: df.withColumn("responder", F.when(F.col("user_id") % 3 == 0, "yes").otherwise("no"))
+    x = S.score(group(found), group(true), "user_id", ("t_start", "t_end"), ("t0", "t1"), 6 * HOUR, hours, ["sqi", "responder"], "responder")
     return rounded(x.select("sqi", "responder", "n_events", "n_true", "n_detected", "n_false", "recall", "far_per_h"), "recall", "far_per_h")
 
 
 @query("sqi_sweep", f"""WITH {WIN}, p AS (SELECT e.*, w.mx FROM e LEFT JOIN w ON w.user_id = e.user_id AND w.window_idx = floor(e.t / 21600)::BIGINT), q AS (SELECT v.m AS variant, p.* FROM p, (VALUES ('none', 1e9::DOUBLE), ('loose', 40), ('strict', 20)) v(m, lim) WHERE coalesce(mx <= lim, TRUE))
 SELECT variant, count(*) AS n_points, count(DISTINCT user_id) AS n_recordings, round(avg((value > 15)::INT), 6) AS share_over FROM q GROUP BY 1""")
 def sqi_sweep(spark, sf_dir):
-    e, w = events_table(spark, sf_dir), six_hours(spark, sf_dir)
+    e, w = events_table(spark, sf_dir), six_hour_windows(spark, sf_dir)
     x = e.withColumn("window_idx", F.floor(F.col("t") / (6 * HOUR)).cast("bigint")).join(w.select("user_id", "window_idx", "mx"), ["user_id", "window_idx"], "left")
     x = x.withColumns({"loose": F.col("mx") <= 40, "strict": F.col("mx") <= 20})
     q = S.with_sqi_modes(x, "loose", {"none": None, "loose": "loose", "strict": "strict"}, "variant")

@@ -60,9 +60,9 @@ def detection_study(pairs: DataFrame, recordings: DataFrame, windows: DataFrame,
     used = truth.select("recording_uid", "t0", "t1").join(modes.select(*by, "recording_uid", "patient_id").distinct(), "recording_uid")
     used = scratch.save(used)
     hours = scoring.analyzable_hours(windows, ["recording_uid"], ("win_start_s", "win_end_s"))
-    score = lambda f, u, g: scoring.score(f, u, "recording_uid", ("t_start", "t_end"), ("t0", "t1"), cfg.pad_s, hours, g)
-    split = lambda df: scoring.with_overall(scoring.responders(df, "patient_id", list(cfg.responders)), "is_responder")
-    return {"features": marked, "thresholds": thr, "events": found, "scores": score(found, used, by), "responder_scores": score(split(found), split(used), [*by, "is_responder"])}
+    score = lambda f, u, g, overall=None: scoring.score(f, u, "recording_uid", ("t_start", "t_end"), ("t0", "t1"), cfg.pad_s, hours, g, overall)
+    split = lambda df: scoring.responders(df, "patient_id", list(cfg.responders))
+    return {"features": marked, "thresholds": thr, "events": found, "scores": score(found, used, by), "responder_scores": score(split(found), split(used), [*by, "is_responder"], "is_responder")}
 
 
 def retention_study(windows: DataFrame, truth: DataFrame) -> dict[str, DataFrame]:
