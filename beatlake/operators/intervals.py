@@ -59,7 +59,8 @@ def overlap_pairs(windows: DataFrame, events: DataFrame, keys: Keys, w: tuple[st
     for k in keys:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     once = (F.col("a._level") == F.greatest("a._own", "b._own")) & (F.col("a._node") == F.floor(later / F.pow(F.lit(2.0), F.col("a._level"))))
-    out = x.join(y, on & once & overlaps(w0, w1, e0, e1, closed))
+    # rows a node are many times what Spark expects from the size of files, so it may not choose to send a side whole to all tasks
+    out = x.join(y.hint("merge"), on & once & overlaps(w0, w1, e0, e1, closed))
     return out.select(*(F.col(f"a.{c}") for c in windows.columns), *(F.col(f"b.{c}") for c in events.columns if c not in keys))
 
 
@@ -134,7 +135,8 @@ def coverage(targets: DataFrame, windows: DataFrame, keys: Keys, idx: list[str],
 def floor_window(points: DataFrame, windows: DataFrame, keys: Keys, t: str, length: float, take: list[str], idx: str = "window_idx") -> DataFrame:
     """Each point with columns of window number floor(t / length); null where there is none."""
     x = points.withColumn(idx, F.floor(F.col(t) / length).cast("bigint"))
-    return x.join(windows.select(*keys, idx, *take), [*keys, idx], "left")
+    # windows grow with the recordings, and their files are far smaller than their rows: never sent whole to all tasks
+    return x.join(windows.select(*keys, idx, *take).hint("merge"), [*keys, idx], "left")
 
 
 def null_safe_lookup(rows: DataFrame, table: DataFrame, on: list[str], take: list[str], order: list[str], strict: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from beatlake.operators import intervals as I
 from beatlake.operators import scoring as S
 
 
@@ -39,3 +40,11 @@ def test_score_reads_each_side_once_and_makes_no_pairs(spark):
     hours = spark.createDataFrame([(2.0,)], "hours double")
     p = plan(S.score(x, x, "r", ("a", "b"), ("a", "b"), 1.0, hours))
     assert "Join" not in p and len(re.findall(r"\bRange \(", p)) == 2
+
+
+def test_sides_that_grow_are_not_broadcast(spark, tmp_path):
+    """Files of a few kilobytes, which Spark would send whole to all tasks, however many rows they hold."""
+    spark.range(1000).select(F.lit(1).alias("r"), F.col("id").alias("window_idx"), F.col("id").cast("double").alias("a"), (F.col("id") + 1.0).alias("b"), F.lit(True).alias("ok")).write.parquet(f"{tmp_path}/w")
+    w = spark.read.parquet(f"{tmp_path}/w")
+    assert "BroadcastHashJoin" not in plan(I.floor_window(w.select("r", "a"), w, ["r"], "a", 1.0, ["ok"]))
+    assert "BroadcastHashJoin" not in plan(I.overlap_pairs(w, w.select("r", "a", "b"), ["r"], ("a", "b"), ("a", "b")))
