@@ -229,10 +229,13 @@ def hash_place(ident: Column, seed: str) -> Column:
 
 
 def stratified_split(df: DataFrame, label: str, ident: Column, seed: str, share: float = 0.8, out: str = "is_train") -> DataFrame:
-    """`df` with whether a row is of the training part: in each class the `share` of rows with the least hashes, the same in any run."""
+    """`df` with whether a row is of the training part: in each class the `share` of rows with the least hashes, the same in any run.
+
+    Classes are few and their rows many: the cuts, a row a class, go to the rows, which aren't exchanged by class.
+    """
     x = df.withColumn("_h", hash_place(ident, seed))
     cut = quantiles(x, [label], {"_cut": ("_h", share)})
-    return x.alias("a").join(cut.alias("b"), same("a", "b", [label])).select(*(F.col(f"a.{c}").alias(c) for c in df.columns), (F.col("a._h") <= F.col("b._cut")).alias(out))
+    return x.alias("a").join(F.broadcast(cut).alias("b"), same("a", "b", [label])).select(*(F.col(f"a.{c}").alias(c) for c in df.columns), (F.col("a._h") <= F.col("b._cut")).alias(out))
 
 
 def fit_and_test(df: DataFrame, score: str, truth: str, ident: Column, cuts: list[float], seed: str, share: float = 0.8, higher_is_better: bool = True) -> DataFrame:
